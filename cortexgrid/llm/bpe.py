@@ -12,7 +12,7 @@ Work is one narrow pass: no shuffle, nothing collected, a lost task is just run
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Characters of text whose distinct words share one trie.
 CHUNK_CHARS = 2_000_000
 #: Entries of a worker's table of encoded words, and of its table of tested token pairs.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 PAIRS_KEPT = 500_000
 #: Words over so many bytes are encoded but not kept.
 LONG_WORD = 64
@@ -44,30 +44,46 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class TrieEncoder:
-    """Encodes words of one vocabulary file; lives in a Python worker."""
+class Vocabulary:
+    """Bytes of each token of a vocabulary file; decodes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.spec = json.load(f)
         byte = _byte_of_char()
-        vocab = spec["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.ids: dict[bytes, int] = {}
+        vocab = self.spec["model"]["vocab"]
+        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self.token: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for text, i in vocab.items():
             if text not in self.special:
-                self.ids[raw := bytes(byte[c] for c in text)] = i
-                self.token[i] = raw
+                self.token[i] = bytes(byte[c] for c in text)
+        self.plain = [i for text, i in vocab.items() if text not in self.special]
         for text, i in self.special.items():
             self.token[i] = text.encode()
+
+    def decode(self, packed: bytes) -> str:
+        """Text of packed ids; bytes that are no UTF-8 become U+FFFD. Ids outside the vocabulary stand for nothing."""
+        token, n = self.token, len(self.token)
+        ids = np.frombuffer(packed, "<u4")
+        ids = (ids if not ids.size or ids.max() < n else ids[ids < n]).tolist()
+        return b"".join(map(token.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class TrieEncoder(Vocabulary):
+    """Encodes words of one vocabulary file; lives in a Python worker."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocab = self.spec["model"]["vocab"]
+        self.ids = {self.token[i]: i for i in self.plain}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for r, merge in enumerate(spec["model"]["merges"]):
+        for r, merge in enumerate(self.spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             pair = vocab[a], vocab[b]
             self.rank.setdefault(pair, r)
             self.parts.setdefault(vocab[a + b], (*pair, r))
+        del self.spec
         self.starts = {raw[:n] for raw in self.ids for n in range(1, len(raw) + 1)}
         self.suffixes: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -171,47 +187,32 @@ class TrieEncoder:
                 del known[word]
         return out
 
-    def decode(self, packed: bytes) -> str:
-        """Text of packed ids; bytes that are no UTF-8 become U+FFFD. Ids outside the vocabulary stand for nothing."""
-        token, n = self.token, len(self.token)
-        ids = np.frombuffer(packed, "<u4")
-        ids = (ids if not ids.size or ids.max() < n else ids[ids < n]).tolist()
-        return b"".join(map(token.__getitem__, ids)).decode("utf-8", "replace")
-
-
-_encoders: dict[str, TrieEncoder] = {}
-
 
-def _encoder(path: str) -> TrieEncoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = TrieEncoder(path)
-    return _encoders[path]
+_loaded: dict[tuple[type, str], Vocabulary] = {}
 
 
-def _chunks(texts: pa.ChunkedArray | pa.Array) -> Iterator[list[str]]:
-    chunk: list[str] = []
-    chars = 0
-    for x in texts:
-        s = x.as_py() or ""
-        chunk.append(s)
-        chars += len(s)
-        if chars >= CHUNK_CHARS:
-            yield chunk
-            chunk, chars = [], 0
-    if chunk:
-        yield chunk
+def _load(kind: type, path: str):
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
-def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.DataType, fn) -> DataFrame:
-    """df with one more column computed over Arrow batches; fn takes the batch's column and gives a list."""
+def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.DataType, fn: Callable[[list], list]) -> DataFrame:
+    """df with one more column computed over chunks of rows; fn takes the column's values and gives a list."""
     schema = T.StructType([*df.schema.fields, field])
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(fn(batch.column(at)), arrow_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, field.name])
+            values = batch.column(at)
+            start, held = 0, 0
+            for i in range(batch.num_rows):
+                held += len(values[i].as_py() or ())
+                if held >= CHUNK_CHARS or i == batch.num_rows - 1:
+                    part = batch.slice(start, i + 1 - start)
+                    made = pa.array(fn(part.column(at).to_pylist()), arrow_type)
+                    yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, field.name])
+                    start, held = i + 1, 0
 
     return df.mapInArrow(run, schema)
 
@@ -225,14 +226,14 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "bp
     """
     if ids in df.columns:
         raise ValueError(f"column {ids} exists")
-    return _added(df, text, T.StructField(ids, T.BinaryType(), False), pa.binary(), lambda texts: [p for chunk in _chunks(texts) for p in _encoder(tokenizer).encode(chunk)])
+    return _added(df, text, T.StructField(ids, T.BinaryType(), False), pa.binary(), lambda texts: _load(TrieEncoder, tokenizer).encode([x or "" for x in texts]))
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", text: str = "decoded") -> DataFrame:
     """df with the text of a packed id column, special tokens included. Null ids give an empty text."""
     if text in df.columns:
         raise ValueError(f"column {text} exists")
-    return _added(df, ids, T.StructField(text, T.StringType(), False), pa.string(), lambda packed: [_encoder(tokenizer).decode(x.as_py() or b"") for x in packed])
+    return _added(df, ids, T.StructField(text, T.StringType(), False), pa.string(), lambda packed: [_load(Vocabulary, tokenizer).decode(x or b"") for x in packed])
 
 
 def n_ids(packed: Column | str) -> Column:
