@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexgrid.llm import bpe, jaccard
+from cortexgrid.llm import bpe, jaccard, language, lines, mixing
 
 
 def tokenizer_path() -> str:
@@ -43,7 +43,33 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op10_jaccard_join": op10_jaccard_join}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.document_languages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
+
+
+def op2_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(_table(spark, sf_dir, "pages")).withColumn("confidence", F.round("confidence", 6))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lines.dedup_lines(docs.withColumn("old_chars", F.length("text"))).select("doc_id", "text", "lang", "source", "n_chars", "old_chars")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
+    "op2_language_pages": op2_language_pages,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_jaccard_join": r"""
