@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexgrid.llm import bpe, jaccard, language, lines, mixing
+from cortexgrid.llm import bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, warc
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,20 @@ def op2_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_languages(_table(spark, sf_dir, "pages")).withColumn("confidence", F.round("confidence", 6))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.document_fingerprints(_table(spark, sf_dir, "documents"))
+    text = fingerprints.as_text
+    return found.select("doc_id", "n_chars", "edited_sha256", text(F.col("sketch")).alias("fingerprint"), text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -62,16 +76,39 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs.withColumn("old_chars", F.length("text"))).select("doc_id", "text", "lang", "source", "n_chars", "old_chars")
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.document_shards(_table(spark, sf_dir, "documents"), 24)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
     "op2_language_pages": op2_language_pages,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_line_dedup": op7_line_dedup,
+    "op8_shards": op8_shards,
+    "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS low FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS fives FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+FROM v
+""",
     "op10_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
