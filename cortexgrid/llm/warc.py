@@ -110,8 +110,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).alias("n"))
     equal = given.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     equal = materialize(equal.where("rows > 1 and first is not null").select("digest", "first"), "equal")
-    salted = given.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    spread = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = given.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("bigint"))
+    spread = equal.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     joined = salted.join(spread, ["digest", "salt"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
 
