@@ -10,7 +10,8 @@ Weights follow a cost model: tug-of-war sketches, summed over all documents, est
 segments with so many that one-deletion keys elsewhere cost less get 0 and as many of the quietest get 2. The slack
 pays for segments that are empty in a set, which make no keys; a set with too many of them (rare) keeps those keys too.
 
-Keys lead to candidates, which are verified exactly on whole sets. Components need no all-pairs output: first every
+Keys lead to candidates. Their odd sketches (the parity of tokens in each of ODD_BITS cells) differ in no more bits than
+the sets do in tokens, which rules most false ones out within the join, and the rest is verified exactly on whole sets. Components need no all-pairs output: first every
 set of a key is held against the key's smallest one; then, only within keys that still join different components, the
 pairs across components. Every similar pair is either verified or already connected.
 """
@@ -24,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.llm.tokens import mix, shingle_hashes
@@ -34,6 +35,8 @@ from cortexgrid.plans import materialize
 #: Sketch counters for each segment, and rows that a one-deletion neighbourhood costs against one colliding pair.
 COUNTERS = 4
 ROW_COST = 8
+#: Bits of an odd sketch, a multiple of 64.
+ODD_BITS = 512
 #: Key rows in one Arrow batch.
 BATCH = 200_000
 
@@ -102,8 +105,13 @@ def _keys_of(tokens: np.ndarray, percent: int, level: int, weights: dict[int, di
     return np.unique(np.concatenate(out))
 
 
+def _odd(tokens: np.ndarray) -> list[int]:
+    cells = (tokens >> np.uint64(20)) % np.uint64(ODD_BITS)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=ODD_BITS) & 1).view(np.int64).tolist()
+
+
 def document_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """One row for each document: doc_id, text_hash, n_shingles, set_hash (null without words); and sketch rows.
+    """One row for each document: doc_id, text_hash, n_shingles, set_hash, odd (both null without words); sketch rows.
 
     Sketch rows (level and segment not null) hold one task's counters for the cost model.
     """
@@ -111,15 +119,16 @@ def document_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: dict[int, np.ndarray] = {}
         docs_at: dict[int, int] = {}
-        names = ["doc_id", "text_hash", "n_shingles", "set_hash", "level", "segment", "counters", "at_level"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        names = ["doc_id", "text_hash", "n_shingles", "set_hash", "odd", "level", "segment", "counters", "at_level"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
         rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, odd = [], [], []
             for text in batch.column(2):
                 tokens = shingle_hashes(text.as_py(), words)
                 sizes.append(len(tokens))
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                odd.append(_odd(tokens) if len(tokens) else None)
                 if not len(tokens):
                     continue
                 for level in _levels(percent, len(tokens)):
@@ -133,15 +142,15 @@ def document_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFra
                     sketch[level][number] += 1 - 2 * ((keys[:, None] >> np.arange(COUNTERS, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
                     docs_at[level] = docs_at.get(level, 0) + 1
             none = [None] * len(sizes)
-            yield rows(batch.column(0), batch.column(1), sizes, digests, none, none, none, none)
+            yield rows(batch.column(0), batch.column(1), sizes, digests, odd, none, none, none, none)
         for level, counters in sketch.items():
             used = np.flatnonzero(counters.any(axis=1))
             none = [None] * len(used)
             if len(used):
-                yield rows(none, none, none, none, np.full(len(used), level), used, counters[used].tolist(), np.full(len(used), docs_at[level]))
+                yield rows(none, none, none, none, none, np.full(len(used), level), used, counters[used].tolist(), np.full(len(used), docs_at[level]))
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return given.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, level int, segment int, counters array<long>, at_level long")
+    return given.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, odd array<long>, level int, segment int, counters array<long>, at_level long")
 
 
 def segment_weights(sketches: DataFrame) -> dict[int, dict[int, int]]:
@@ -192,6 +201,16 @@ def index_keys(docs: DataFrame, weights: dict[int, dict[int, int]], words: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long")
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """False only for pairs whose sets differ in more tokens than similar ones can; columns are named odd_a, n_a and so on."""
+    bits = sum((F.bit_count(F.col(f"odd_{a}")[i].bitwiseXOR(F.col(f"odd_{b}")[i])) for i in range(ODD_BITS // 64)), F.lit(0))
+    return bits * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent)
+
+
+def _sketched(df: DataFrame, sketches: DataFrame, side: str, on: str) -> DataFrame:
+    return df.join(sketches.select(F.col("doc_id").alias(on), F.col("n_shingles").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}")), on)
+
+
 def verify_pairs(pairs: DataFrame, docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """The pairs (a, b) whose documents' whole sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -227,7 +246,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     of a document with an id. Other columns of docs are ignored. An empty docs gives no rows.
     """
     found = materialize(document_sets(docs, words, percent), "sets")
-    sets = found.where("level is null").select("doc_id", "text_hash", "n_shingles", "set_hash")
+    sets = found.where("level is null").select("doc_id", "text_hash", "n_shingles", "set_hash", "odd")
     weights = segment_weights(found.where("level is not null"))
     named = sets.where("set_hash is not null and doc_id is not null")
     one = named.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("rows"))
@@ -241,14 +260,18 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     )
     # a key of one set has its leader as only row
     shared = materialize(near.where("doc_id != leader or after is not null").select("key", "doc_id", "leader"), "shared")
-    star = materialize(shared.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    members = shared.select("doc_id").distinct()
+    sketches = materialize(named.join(members, "doc_id", "left_semi").select("doc_id", "n_shingles", F.col("odd")).distinct(), "sketches")
+    met = shared.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = materialize(_sketched(_sketched(met, sketches, "a", "a"), sketches, "b", "b").where(_may_link("a", "b", percent)).select("a", "b").distinct(), "star")
     linked = materialize(verify_pairs(star, docs, words, percent), "linked")
     part = materialize(components_of_edges(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "part")
     placed = shared.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_keys = materialize(placed.join(mixed, "key", "left_semi"), "open")
-    x, y = (open_keys.select("key", F.col("doc_id").alias(i), F.col("component").alias(f"c{i}")) for i in "ab")
-    across = x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    open_keys = placed.join(mixed, "key", "left_semi").join(sketches, "doc_id")
+    open_keys = materialize(open_keys, "open")
+    x, y = (open_keys.select("key", F.col("doc_id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n_{i}"), F.col("odd").alias(f"odd_{i}")) for i in "ab")
+    across = x.join(y, "key").where("a < b and ca != cb").where(_may_link("a", "b", percent)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(verify_pairs(materialize(across, "across"), docs, words, percent), "more")
     edges = linked.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     whole = materialize(components_of_edges(edges), "whole")
