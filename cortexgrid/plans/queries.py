@@ -19,6 +19,9 @@ from cortexgrid.operators import patches as C
 from cortexgrid.operators import resample as D
 from cortexgrid.operators import sections as S
 from cortexgrid.plans import fixtures as fx
+from cortexgrid.plans.cut import scratch_path
+from cortexgrid.sources import volumes as V
+from cortexgrid.streaming.pending import log_stream, pending_after, pending_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -576,8 +579,8 @@ def f13_score_edges(spark, sf_dir):
     return rounded(H.score_edges(_met(spark, sf_dir)), "merge_score")
 
 
-@query("f13_score_edges_quantile", _CONTACTS + """, h AS (SELECT u, v, CAST(floor(a * 255) AS INT) AS bin, count(*) AS n FROM met GROUP BY ALL), s AS (SELECT u, v, bin, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
-SELECT u, v, CAST(min(total) AS BIGINT) AS contacts, round(1 - min(bin) / 255.0::DOUBLE, 6) AS merge_score FROM s WHERE upto >= 0.25 * total GROUP BY u, v""")
+@query("f13_score_edges_quantile", _CONTACTS + """, h AS (SELECT u, v, CAST(floor(a * 255) AS INT) AS bin, count(*) AS n FROM met GROUP BY ALL), q AS (SELECT u, v, bin, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
+SELECT u, v, CAST(min(total) AS BIGINT) AS contacts, round(1 - min(bin) / 255.0::DOUBLE, 6) AS merge_score FROM q WHERE upto >= 0.25 * total GROUP BY u, v""")
 def f13_score_edges_quantile(spark, sf_dir):
     return rounded(H.score_edges(_met(spark, sf_dir), "quantile"), "merge_score")
 
@@ -679,3 +682,60 @@ def g6_incomplete(spark, sf_dir):
 @query("g11_dataset_pairs", "SELECT a.n_name AS source, b.n_name AS target FROM nation a JOIN nation b ON a.n_name <> b.n_name")
 def g11_dataset_pairs(spark, sf_dir):
     return S.dataset_pairs(fx.table(spark, sf_dir, "nation"), "n_name")
+
+
+def _container(spark, sf_dir) -> str:
+    """The raw volume written as a chunked container in the shared folder."""
+    path = scratch_path(spark, "volume") + ".zarr"
+    V.write_volume(fx.raw(spark, sf_dir).withColumnRenamed("raw", "value"), path, "volumes/raw", (depth(spark, sf_dir), 8, 8), (32, 8, 8), "|u1", {"offset": [0, 0, 0], "resolution": [40, 4, 4]})
+    return path
+
+
+@query("a1_read_volume", f"WITH d AS {_N} SELECT z, y, x, CAST(raw AS BIGINT) AS value FROM fx_raw, d WHERE z >= 10 AND z < n - 5 AND x < 6")
+def a1_read_volume(spark, sf_dir):
+    n = depth(spark, sf_dir)
+    return V.read_volume(spark, _container(spark, sf_dir), "volumes/raw", ((10, 0, 0), (n - 5, 8, 6))).drop("volume_id")
+
+
+@query("a4_write_volume", "SELECT z, y, x, label AS value FROM fx_labels_bg")
+def a4_write_volume(spark, sf_dir):
+    path = scratch_path(spark, "volume") + ".zarr"
+    V.write_volume(fx.labels_bg(spark, sf_dir).withColumn("value", F.col("label")), path, "volumes/labels/neuron_ids", (depth(spark, sf_dir), 8, 8), (64, 4, 8), "<u8")
+    return V.read_volume(spark, path, "volumes/labels/neuron_ids").drop("volume_id")
+
+
+@query("a5_list_datasets", "SELECT DISTINCT CASE WHEN vec_id >= 0 THEN 'volumes/raw' END AS dataset FROM embeddings")
+def a5_list_datasets(spark, sf_dir):
+    return V.list_datasets(spark, _container(spark, sf_dir))
+
+
+@query("a6_read_volumes", "SELECT z, y, x, CAST(2 * raw AS BIGINT) AS total FROM fx_raw")
+def a6_read_volumes(spark, sf_dir):
+    both = V.read_volumes(spark, [_container(spark, sf_dir), _container(spark, sf_dir)], "volumes/raw")
+    return both.groupBy("z", "y", "x").agg(F.sum("value").alias("total"))
+
+
+@query("a7_copy_datasets", "SELECT z, y, x, CAST(raw AS BIGINT) AS value FROM fx_raw")
+def a7_copy_datasets(spark, sf_dir):
+    source = _container(spark, sf_dir)
+    target = scratch_path(spark, "copies")
+    V.copy_datasets(spark, [source], target, ["volumes/raw", "volumes/none"])
+    return V.read_volume(spark, f"{target}/{source.rsplit('/', 1)[-1]}", "volumes/raw").drop("volume_id")
+
+
+@query("f23_write_rag", "SELECT e.u, e.v, e.contacts FROM fx_rag_edges e JOIN fx_rag_nodes a ON a.node = e.u JOIN fx_rag_nodes b ON b.node = e.v WHERE (a.center_z + b.center_z) / 2 >= 5 AND (a.center_z + b.center_z) / 2 < 25 AND (a.center_y + b.center_y) / 2 >= 0 AND (a.center_y + b.center_y) / 2 < 4000 AND (a.center_x + b.center_x) / 2 >= 0 AND (a.center_x + b.center_x) / 2 < 50")
+def f23_write_rag(spark, sf_dir):
+    path = scratch_path(spark, "rag")
+    nodes = fx.graph_nodes(spark, sf_dir)
+    H.write_rag(nodes, H.edge_centers(_edge_list(spark, sf_dir), nodes), path, (5, 0, 0), (20, 4000, 50), (10, 2000, 50))
+    return spark.read.parquet(f"{path}/edges").select("u", "v", "contacts")
+
+
+@query("g4_pending_stream", "SELECT block_id FROM fx_log WHERE block_id NOT IN (SELECT block_id FROM fx_done)")
+def g4_pending_stream(spark, sf_dir):
+    done = fx.done(spark, sf_dir).select("block_id", F.col("start").cast("timestamp").alias("start"), F.col("duration").cast("double").alias("duration"), "worker")
+    entries, out = scratch_path(spark, "entries"), scratch_path(spark, "finished")
+    done.unionByName(done).write.parquet(entries)  # each row twice
+    grid = fx.log(spark, sf_dir).select("block_id")
+    pending_stream(grid, log_stream(spark, entries), out, scratch_path(spark, "stream")).awaitTermination()
+    return pending_after(spark, grid, out)

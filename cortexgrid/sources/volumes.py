@@ -30,6 +30,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(store.exists(p))
 
 
+def _json(spark: SparkSession, path: str) -> dict:
+    """A small metadata file; Spark's readers skip names that begin with a dot."""
+    p, store = _hadoop(spark, path)
+    stream = store.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def check_format(path: str) -> None:
     """Only .zarr containers are known; other suffixes are errors."""
     if not path.rstrip("/").endswith((".zarr", ".zr")):
@@ -42,8 +52,7 @@ def volume_meta(spark: SparkSession, path: str, dataset: str) -> tuple[str, dict
     for name in (dataset, f"{dataset}/s0"):
         at = f"{path.rstrip('/')}/{name}"
         if _exists(spark, f"{at}/.zarray"):
-            read = lambda f: json.loads(bytes(spark.read.format("binaryFile").load(f"{at}/{f}").select("content").first()[0]))
-            return at, read(".zarray"), read(".zattrs") if _exists(spark, f"{at}/.zattrs") else {}
+            return at, _json(spark, f"{at}/.zarray"), _json(spark, f"{at}/.zattrs") if _exists(spark, f"{at}/.zattrs") else {}
     raise FileNotFoundError(f"{path}/{dataset}")
 
 
@@ -125,9 +134,14 @@ def write_volume(df: DataFrame, path: str, dataset: str, shape: Sequence[int], c
 
 def list_datasets(spark: SparkSession, path: str) -> DataFrame:
     """A5: (dataset,) of every array below a container."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".zarray").load(path)
-    inner = F.regexp_extract("path", r"\.za?rr?/(.*)/\.zarray$", 1)
-    return found.select(inner.alias("dataset")).orderBy("dataset")
+    p, store = _hadoop(spark, path)
+    top, found = store.makeQualified(p).toString().rstrip("/"), []
+    files = store.listFiles(p, True)
+    while files.hasNext():  # the container's listing: names, no data
+        name = files.next().getPath().toString()
+        if name.endswith("/.zarray"):
+            found.append((name[len(top) + 1 : -len("/.zarray")],))
+    return spark.createDataFrame(sorted(found), "dataset string")
 
 
 def read_volumes(spark: SparkSession, paths: Sequence[str], dataset: str) -> DataFrame:
