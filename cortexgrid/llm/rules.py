@@ -36,17 +36,21 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(bare, SPACE), "")
     worded = F.filter(F.split(bare, "\n", -1), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.when(F.size("_words") < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
+
+    def windows(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        return F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(some)
+
+    repeats = lambda x: F.when(F.size(x) == F.size(F.array_distinct(x)), F.lit(0)).otherwise(_repeated(x))
+    counted = bound(words, lambda w: F.struct(F.size(w).alias("n"), bound(windows(w), repeats).alias("repeats")))
     return (
-        docs.withColumn("_words", words)
-        .withColumn("_lines", worded)
-        .withColumn("n_words", F.size("_words").cast("long"))
+        docs.withColumn("_counted", counted)
+        .withColumn("n_words", F.col("_counted.n").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(bare, SPACE, "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(bare, SYMBOLS, "")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_windows", windows)
-        .withColumn("n_repeat_words", F.when(F.size("_windows") == F.size(F.array_distinct("_windows")), F.lit(0)).otherwise(_repeated(F.col("_windows"))).cast("long"))
-        .drop("_words", "_lines", "_windows")
+        .withColumn("n_dup_lines", bound(worded, lambda l: F.size(l) - F.size(F.array_distinct(l))).cast("long"))
+        .withColumn("n_repeat_words", F.col("_counted.repeats").cast("long"))
+        .drop("_counted")
     )
 
 
@@ -56,12 +60,20 @@ def _repeated(windows: Column) -> Column:
     Windows are sorted by hash, then place; those with an equal neighbour repeat. Their places in order, each covers
     WINDOW words less the overlap with the one before.
     """
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    h = F.transform(pairs, lambda p: p["h"])
-    shared = F.filter(F.transform(pairs, lambda p, k: F.when((p["h"] == F.get(h, k - 1)) | (p["h"] == F.get(h, k + 1)), p["i"])), lambda i: i.isNotNull())
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last"))
-    return F.aggregate(F.sort_array(shared), start, step, lambda a: a["n"])
+
+    def covered(pairs: Column) -> Column:
+        h = lambda k: F.get(pairs, k)["h"]
+        shared = F.filter(F.transform(pairs, lambda p, k: F.when((p["h"] == h(k - 1)) | (p["h"] == h(k + 1)), p["i"])), lambda i: i.isNotNull())
+        return F.aggregate(F.sort_array(shared), start, step, lambda a: a["n"])
+
+    return bound(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with value computed once: a lambda's own argument isn't computed again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 @dataclass(frozen=True)
