@@ -61,8 +61,9 @@ def balanced_rates(counts: DataFrame, targets: DataFrame, most: float = MOST) ->
     wanted = targets.where("source_size > 0 and target > 0").select("source", "target")
     dual = materialize(wanted.withColumn("m", F.lit(0.0)), "dual")
     for _ in range(STEPS):
-        tilted = counts.join(dual, counts.source.eqNullSafe(dual.source)).select(dual.source, "target", "m", (F.col("size") * F.col("n") * F.exp("m")).alias("tokens"))
-        sums = tilted.groupBy("source", "target", "m").agg(F.sum("tokens").alias("tokens"))
+        tilted = counts.join(dual, counts.source.eqNullSafe(dual.source)).select(dual.source, "target", "m", (F.col("size") * F.col("n")).alias("tokens"))
+        # whole numbers are summed, so that the order of rows can't change the result
+        sums = tilted.groupBy("source", "target", "m").agg((F.sum("tokens") * F.exp("m")).alias("tokens"))
         dual = materialize(sums.select("source", "target", F.greatest(F.lit(-50.0), F.col("m") + F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("target") / F.col("tokens") - 1))).alias("m"), (F.abs(F.col("tokens") / F.col("target") - 1)).alias("off")), "dual")
         if not (dual.agg(F.max("off")).first()[0] or 0.0) > 1e-9:
             break
@@ -70,14 +71,14 @@ def balanced_rates(counts: DataFrame, targets: DataFrame, most: float = MOST) ->
 
 
 def _running(df: DataFrame, value: Column) -> DataFrame:
-    """df (source, part, salt, size, key) with before, the sum of value over the source's rows in front."""
+    """df (source, part, salt, size, key) with before, the sum of value, a bigint, over the source's rows in front."""
     cells = Window.partitionBy("source", "part", "salt")
     rows = cells.orderBy("size", "key").rowsBetween(Window.unboundedPreceding, -1)
     valued = df.withColumn("value", value)
-    inner = valued.withColumn("inner", F.coalesce(F.sum("value").over(rows), F.lit(0.0)))
+    inner = valued.withColumn("inner", F.coalesce(F.sum("value").over(rows), F.lit(0)))
     sums = valued.groupBy("source", "part", "salt").agg(F.sum("value").alias("cell"))
     ahead = Window.partitionBy("source").orderBy("part", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.select("source", "part", "salt", F.coalesce(F.sum("cell").over(ahead), F.lit(0.0)).alias("outer")), "cells")
+    sums = materialize(sums.select("source", "part", "salt", F.coalesce(F.sum("cell").over(ahead), F.lit(0)).alias("outer")), "cells")
     same = inner.source.eqNullSafe(sums.source) & (inner.part == sums.part) & (inner.salt == sums.salt)
     return inner.join(sums, same).select(*(inner[c] for c in df.columns), (F.col("outer") + F.col("inner")).alias("before"))
 
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     plan = targets.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
     plan = materialize(plan.select(F.col("source").alias("_source"), "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate")), "rates")
     rated = sized.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    laid = _running(rated, F.col("rate"))
+    laid = _running(rated, F.lit(1).cast("long")).withColumn("before", F.col("before") * F.col("rate"))
     at = lambda c: F.floor(c + 0.5 + F.lit(1e-9))
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(int(most)), at(F.col("before") + F.col("rate")) - at(F.col("before"))))
     taken = materialize(laid.withColumn("copies", whole.cast("long")).drop("before"), "copies")
@@ -111,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     short = materialize(short.withColumnRenamed("source", "_source"), "short")
     open_ = (F.col("size") > 0) & (F.col("size") <= F.abs("short")) & F.when(F.col("short") > 0, F.col("copies") < int(most)).otherwise(F.col("copies") > 0)
     again = taken.join(short, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("part", -F.col("part")).withColumn("open", open_)
-    moved = _running(again, F.when(F.col("open"), F.col("size")).otherwise(0).cast("double"))
+    moved = _running(again, F.when(F.col("open"), F.col("size")).otherwise(0).cast("long"))
     change = F.when(F.col("open") & (F.col("before") + F.col("size") <= F.abs("short")), F.signum("short")).otherwise(0).cast("long")
     return moved.select("doc_id", "text_hash", "source", "size", "source_size", "target", "rate", (F.col("copies") + change).alias("copies"))
 
