@@ -73,8 +73,8 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs (doc_id, text and carried columns) with next_<column> of the row that follows by (doc_id, text).
+def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """docs (doc_id, text) with the carried columns and next_<column> of the row that follows by (doc_id, text).
 
     A null doc_id comes last; the first row follows the last. Rows are bucketed by doc_id quantiles, and the first row
     of each bucket is also laid at the end of the one before, so no sort gathers the table in one task.
@@ -89,13 +89,13 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     coarse = upto(longs([f[0] for f in fine[1:]]))
     inside = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(coarse * 256 + upto(F.get(F.array(*map(longs, fine)), coarse)))
     placed = docs.withColumn("_bucket", inside).withColumn("_kind", F.lit(0))
-    whole = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text"), *carried)
+    whole = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text"))
     heads = placed.groupBy("_bucket").agg(F.min(whole).alias("_head"))
     # one row a bucket: each head goes to the bucket with rows before it, the first one to the last bucket
     order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
     last = F.max("_bucket").over(Window.partitionBy(F.lit(0)))
     moved = heads.select(F.col("_head.*"), F.coalesce(F.lag("_bucket").over(order), last).alias("_bucket"), F.lit(1).alias("_kind")).drop("none")
-    rows = placed.unionByName(moved).repartition(max(1, len(bounds) + 1), "_bucket")
+    rows = placed.unionByName(moved).withColumns(carried).repartition(max(1, len(bounds) + 1), "_bucket")
     by = Window.partitionBy("_bucket").orderBy("_kind", F.col("doc_id").asc_nulls_last(), "text")
     names = ["text", *carried]
     return rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in names}).where("_kind = 0").drop("_bucket", "_kind")
@@ -110,7 +110,7 @@ def document_fingerprints(docs: DataFrame, words: int = SHINGLE, k: int = K) ->
     other columns are ignored. Empty docs give no rows.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = with_next(given.withColumn("sketch", sketch(F.col("text"), words, k)), ["sketch"])
+    made = with_next(given, {"sketch": sketch(F.col("text"), words, k)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
