@@ -546,6 +546,14 @@ def f9_components(spark, sf_dir):
     return components_of_edges(_edge_list(spark, sf_dir).where("merge_score <= 0.01 and u % 7 = 0").select("u", "v"))
 
 
+@query("f9_components_all")
+def f9_components_all(spark, sf_dir):
+    """All edges of the region graph; f9_components takes the seventh of them that its recursive SQL can check."""
+    from cortexgrid.operators.components import components_of_edges
+
+    return components_of_edges(_edge_list(spark, sf_dir).where("merge_score <= 0.01").select("u", "v"))
+
+
 @query("f10_filter_fragments", "WITH k AS (SELECT label FROM fx_labels JOIN fx_affs USING (volume_id, z, y, x) GROUP BY label HAVING avg((affs[2] + affs[3]) / 2) < 0.45) SELECT volume_id, z, y, x, CASE WHEN label IN (SELECT label FROM k) THEN 0 ELSE label END AS label FROM fx_labels")
 def f10_filter_fragments(spark, sf_dir):
     return R.filter_fragments(fx.labels(spark, sf_dir).drop("raw"), fx.affs(spark, sf_dir), 0.45, True, "label")

@@ -14,6 +14,8 @@ from cortexgrid.operators import oplog as L
 from cortexgrid.operators import resample as D
 from cortexgrid.operators import sections as S
 from cortexgrid.operators.components import connected_components
+from cortexgrid.plans import fixtures as fx
+from cortexgrid.plans.queries import QUERIES
 from cortexgrid.sources import volumes as V
 
 
@@ -34,6 +36,34 @@ def test_components_against_union_find(spark):
     assert {r.node: r.component for r in got.collect()} == {n: find(n) for n in nodes}
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def whole_graph(spark):
+    """(nodes, edges, the smallest node of each node's component) of the whole region graph, by union-find."""
+    nodes = [r.node for r in fx.graph_nodes(spark, SF).select("node").collect()]
+    edges = [(r.u, r.v, r.merge_score) for r in fx.graph_edges(spark, SF).select("u", "v", "merge_score").collect()]
+    place = {n: n for n in {*nodes, *(x for u, v, _ in edges for x in (u, v))}}
+
+    def find(i):
+        while place[i] != i:
+            i = place[i]
+        return i
+
+    for u, v, score in edges:
+        if score is not None and score <= 0.01:
+            a, b = sorted((find(u), find(v)))
+            place[b] = a
+    return nodes, edges, {n: find(n) for n in place}
+
+
+def test_components_of_the_whole_graph(spark, whole_graph):
+    _, edges, place = whole_graph
+    want = {x: place[x] for u, v, score in edges if score is not None and score <= 0.01 for x in (u, v)}
+    assert {r.node: r.component for r in QUERIES["f9_components_all"](spark, SF).collect()} == want and any(n % 7 for n in want if n < 1000000)
+
+
 def test_components_without_edges(spark):
     got = connected_components(spark.createDataFrame([(5,), (5,)], "node long"), spark.createDataFrame([], "u long, v long"))
     assert [tuple(r) for r in got.collect()] == [(5, 5)]
