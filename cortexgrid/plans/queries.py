@@ -635,6 +635,26 @@ def f18_contract_nodes(spark, sf_dir):
     return H.contract(*_small_graph(spark, sf_dir), 0.01)[0].select("node", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
+# the whole region graph; f17 and f18 above take the fifth of it that their recursive SQL can check
+def _whole_graph(spark, sf_dir):
+    return fx.graph_nodes(spark, sf_dir), _edge_list(spark, sf_dir)
+
+
+@query("f17_segment_all")
+def f17_segment_all(spark, sf_dir):
+    return H.segment(*_whole_graph(spark, sf_dir), 0.01)
+
+
+@query("f18_contract_all")
+def f18_contract_all(spark, sf_dir):
+    return H.contract(*_whole_graph(spark, sf_dir), 0.01)[1]
+
+
+@query("f18_contract_nodes_all")
+def f18_contract_nodes_all(spark, sf_dir):
+    return H.contract(*_whole_graph(spark, sf_dir), 0.01)[0].select("node", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
 @query("f19_relabel", "SELECT volume_id, z, y, x, CASE WHEN label % 3 = 1 THEN label + 1000 ELSE label END AS label FROM fx_labels")
 def f19_relabel(spark, sf_dir):
     df = fx.labels(spark, sf_dir).drop("raw")
