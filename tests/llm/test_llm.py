@@ -319,6 +319,42 @@ def test_line_dedup(spark, none):
     assert dropped and lines.dedup_lines(none).count() == 0
 
 
+def edited(rng, line, similarity, whole_words):
+    """line with about as many edits as the similarity allows: of single characters, or of whole words."""
+    left = int((1 - similarity) * len(line))
+    if whole_words:
+        parts = line.split(" ")
+        for at in rng.sample(range(len(parts)), len(parts)):
+            if len(parts[at]) <= left:
+                left -= len(parts[at])
+                parts[at] = "".join(rng.choice("abcdefgh") for _ in parts[at])
+        return " ".join(parts)
+    chars = list(line)
+    for at in rng.sample(range(len(chars)), left):
+        chars[at] = rng.choice("abcdefgh")
+    return "".join(chars)
+
+
+def test_line_dedup_finds_lines_by_edit_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    # least share found, by similarity and kind of edit: the README has what is found of many more pairs
+    least = {(0.85, True): 0.8, (0.9, True): 0.9, (0.95, True): 1, (0.85, False): 0.1, (0.9, False): 0.5, (0.95, False): 0.95}
+    rows, want = [], {}
+    for i in range(120):
+        line = " ".join(word() for _ in range((5, 10, 16, 30, 60)[i % 5]))
+        kind = ((0.85, 0.9, 0.95)[i % 3], i % 2 == 0)
+        near = edited(rng, line, *kind)
+        rows += [(i, line, "en", "a", 0), (1000 + i, near, "en", "a", 0)]
+        if 100 * distance(line, near) <= 20 * max(len(line), len(near)):
+            want[1000 + i] = kind
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect() if r.text == ""}
+    assert got <= set(want) and len(want) > 100
+    for kind, share in least.items():
+        own = {i for i, k in want.items() if k == kind}
+        assert len(got & own) >= share * len(own), (kind, len(got & own), len(own))
+
+
 def test_shards(docs, none):
     rows = shards.document_shards(docs, 24).collect()
     want = sorted((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in documents() if d is not None)
