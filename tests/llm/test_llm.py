@@ -355,6 +355,17 @@ def test_line_dedup_finds_lines_by_edit_similarity(spark):
         assert len(got & own) >= share * len(own), (kind, len(got & own), len(own))
 
 
+def test_line_dedup_has_no_switch_by_length(spark):
+    rng = random.Random(12)
+    pairs = []
+    for n in (8, 15, 16, 17, 30) * 4:
+        line = " ".join("".join(rng.choice("klmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+        pairs.append((line, line + " more"))
+    rows = [(2 * i + j, line, "en", "a", 0) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect() if r.text == ""}
+    assert got == {2 * i + 1 for i in range(len(pairs))}
+
+
 def test_shards(docs, none):
     rows = shards.document_shards(docs, 24).collect()
     want = sorted((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in documents() if d is not None)
