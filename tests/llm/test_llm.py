@@ -366,6 +366,12 @@ def test_line_dedup_has_no_switch_by_length(spark):
     assert got == {2 * i + 1 for i in range(len(pairs))}
 
 
+def test_line_dedup_keeps_lines_that_differ_in_digits(spark):
+    texts = ["1987", "2024", "12.5 8.1", "93.7 4.6", "1987"]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert got == {0: "1987", 1: "2024", 2: "12.5 8.1", 3: "93.7 4.6", 4: ""}
+
+
 def test_shards(docs, none):
     rows = shards.document_shards(docs, 24).collect()
     want = sorted((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in documents() if d is not None)
