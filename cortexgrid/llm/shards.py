@@ -2,7 +2,8 @@
 
 A node splits along its widest metadata dimension at a weighted median: the point that shares its bytes out in
 proportion to the leaves on each side. All nodes of a level are split together. A split point is found by histograms:
-one grouped sum of bytes over BINS bins a node, narrowed ROUNDS times around the target. The driver sees no rows, only
+one grouped sum of bytes over BINS bins a node, narrowed around the target until the bin there holds at most SHARE of a
+leaf, or one row. The driver sees no rows, only
 a node's range and bins, whose number depends on the shard count alone.
 """
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from cortexgrid.plans import materialize
 
-#: Bins of a histogram and times that it is narrowed: a split point is found to 1 in BINS ** ROUNDS of its range.
-BINS, ROUNDS = 256, 3
+#: Bins of a histogram, and the part of a leaf's bytes that the bin of a split point may hold.
+BINS, SHARE = 256, 1e-3
+#: Most times that a histogram is narrowed; BINS ** ROUNDS is the resolution of a double, so equal rows end it.
+ROUNDS = 6
 #: Rows that a cell of slot numbers should have, and the fewest cells of a shard.
 CELL_ROWS, LEAST_SALTS = 100_000, 8
 
@@ -57,18 +60,22 @@ def kd_shards(df: DataFrame, size: str, dimensions: Mapping[str, Column], shards
                 continue
             best = max(range(len(names) - 1), key=lambda i: r[f"high_kd{i}"] - r[f"low_kd{i}"]) if len(names) > 1 else 0
             left = leaves[k] // 2
-            state[k] = {"dim": best, "low": r[f"low_kd{best}"], "high": r[f"high_kd{best}"], "want": r.bytes * left / leaves[k], "left": left}
+            state[k] = {"dim": best, "low": r[f"low_kd{best}"], "high": r[f"high_kd{best}"], "want": r.bytes * left / leaves[k], "left": left, "leaf": r.bytes / leaves[k]}
+        narrowing = dict(state)
         for _ in range(ROUNDS):
-            if not state:
+            if not narrowing:
                 break
-            picked = _by_node({k: [float(s["dim"]), s["low"], max(s["high"] - s["low"], 1e-300)] for k, s in state.items()})
+            picked = _by_node({k: [float(s["dim"]), s["low"], max(s["high"] - s["low"], 1e-300)] for k, s in narrowing.items()})
             value = F.element_at(F.array(*names), F.get(picked, F.lit(0)).cast("int") + 1)
             bin_ = F.floor((value - F.get(picked, F.lit(1))) / F.get(picked, F.lit(2)) * BINS)
-            inside = open_rows.where((bin_ >= 0) & (bin_ <= BINS)).groupBy(F.col("_kdn.first").alias("node"), F.least(bin_, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("_kdw").alias("bytes"))
+            inside = open_rows.where((bin_ >= 0) & (bin_ <= BINS)).groupBy(F.col("_kdn.first").alias("node"), F.least(bin_, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("_kdw").alias("bytes"), F.count(F.lit(1)).alias("rows"))
             bins: dict[int, dict[int, float]] = {}
+            single = set()
             for r in inside.collect():  # at most BINS rows a node
                 bins.setdefault(r.node, {})[r.bin] = r.bytes
-            for k, s in state.items():
+                if r.rows == 1:
+                    single.add((r.node, r.bin))
+            for k, s in narrowing.items():
                 step = (s["high"] - s["low"]) / BINS
                 gone = 0.0
                 for b in sorted(bins.get(k, {})):
@@ -80,6 +87,8 @@ def kd_shards(df: DataFrame, size: str, dimensions: Mapping[str, Column], shards
                 s["near"] = gone + bins.get(k, {}).get(b, 0.0) - s["want"] < s["want"] - gone
                 s["want"] -= gone
                 s["low"], s["high"] = s["low"] + b * step, s["low"] + (b + 1) * step
+                s["done"] = (k, b) in single or bins.get(k, {}).get(b, 0.0) <= SHARE * s["leaf"]
+            narrowing = {k: s for k, s in narrowing.items() if not s["done"]}
         cut = _by_node({k: [float(s["dim"]), s["high"] if s["near"] else s["low"], float(s["left"])] for k, s in state.items()})
         value = F.element_at(F.array(*names), F.get(cut, F.lit(0)).cast("int") + 1)
         below, left = value < F.get(cut, F.lit(1)), F.get(cut, F.lit(2)).cast("int")
