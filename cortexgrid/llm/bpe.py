@@ -50,6 +50,10 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
+        self._read()
+        del self.spec
+
+    def _read(self) -> None:
         byte = _byte_of_char()
         vocab = self.spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
@@ -61,6 +65,9 @@ class Vocabulary:
         for text, i in self.special.items():
             self.token[i] = text.encode()
 
+    def forget(self) -> None:
+        pass
+
     def decode(self, packed: bytes) -> str:
         """Text of packed ids; bytes that are no UTF-8 become U+FFFD. Ids outside the vocabulary stand for nothing."""
         token, n = self.token, len(self.token)
@@ -72,8 +79,8 @@ class Vocabulary:
 class TrieEncoder(Vocabulary):
     """Encodes words of one vocabulary file; lives in a Python worker."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def _read(self) -> None:
+        super()._read()
         vocab = self.spec["model"]["vocab"]
         self.ids = {self.token[i]: i for i in self.plain}
         self.rank: dict[tuple[int, int], int] = {}
@@ -83,7 +90,6 @@ class TrieEncoder(Vocabulary):
             pair = vocab[a], vocab[b]
             self.rank.setdefault(pair, r)
             self.parts.setdefault(vocab[a + b], (*pair, r))
-        del self.spec
         self.starts = {raw[:n] for raw in self.ids for n in range(1, len(raw) + 1)}
         self.suffixes: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -165,6 +171,11 @@ class TrieEncoder(Vocabulary):
             before = raw
         return out
 
+    def forget(self) -> None:
+        """Leave only what comes from the vocabulary file."""
+        for table in (self.known, self.pairs, self.suffixes, self.edges):
+            table.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         split: list[list[str]] = []
@@ -197,22 +208,32 @@ def _load(kind: type, path: str):
     return _loaded[kind, path]
 
 
-def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.DataType, fn: Callable[[list], list]) -> DataFrame:
-    """df with one more column computed over chunks of rows; fn takes the column's values and gives a list."""
+def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.DataType, kind: type, path: str, fn: Callable[[Vocabulary, list], list]) -> DataFrame:
+    """df with one more column computed over chunks of rows; fn takes the vocabulary and the column's values and gives a list.
+
+    A worker keeps the vocabulary for its next task, but not the words that this one has met.
+    """
     schema = T.StructType([*df.schema.fields, field])
     at = df.columns.index(column)
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        values = batch.column(at)
+        start, held = 0, 0
+        for i in range(batch.num_rows):
+            held += len(values[i].as_py() or ())
+            if held >= CHUNK_CHARS or i == batch.num_rows - 1:
+                yield batch.slice(start, i + 1 - start)
+                start, held = i + 1, 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(at)
-            start, held = 0, 0
-            for i in range(batch.num_rows):
-                held += len(values[i].as_py() or ())
-                if held >= CHUNK_CHARS or i == batch.num_rows - 1:
-                    part = batch.slice(start, i + 1 - start)
-                    made = pa.array(fn(part.column(at).to_pylist()), arrow_type)
+        coder = _load(kind, path)
+        try:
+            for batch in batches:
+                for part in parts(batch):
+                    made = pa.array(fn(coder, part.column(at).to_pylist()), arrow_type)
                     yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, field.name])
-                    start, held = i + 1, 0
+        finally:
+            coder.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -226,14 +247,14 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "bp
     """
     if ids in df.columns:
         raise ValueError(f"column {ids} exists")
-    return _added(df, text, T.StructField(ids, T.BinaryType(), False), pa.binary(), lambda texts: _load(TrieEncoder, tokenizer).encode([x or "" for x in texts]))
+    return _added(df, text, T.StructField(ids, T.BinaryType(), False), pa.binary(), TrieEncoder, tokenizer, lambda coder, texts: coder.encode([x or "" for x in texts]))
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", text: str = "decoded") -> DataFrame:
     """df with the text of a packed id column, special tokens included. Null ids give an empty text."""
     if text in df.columns:
         raise ValueError(f"column {text} exists")
-    return _added(df, ids, T.StructField(text, T.StringType(), False), pa.string(), lambda packed: [_load(Vocabulary, tokenizer).decode(x or b"") for x in packed])
+    return _added(df, ids, T.StructField(text, T.StringType(), False), pa.string(), Vocabulary, tokenizer, lambda coder, packed: [coder.decode(x or b"") for x in packed])
 
 
 def n_ids(packed: Column | str) -> Column:

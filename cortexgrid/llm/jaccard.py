@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cortexgrid.llm.tokens import mix, shingle_hashes
+from cortexgrid.llm.tokens import mix, shingle_sets
 from cortexgrid.operators.components import components_of_edges
 from cortexgrid.plans import materialize
 
@@ -71,10 +71,9 @@ def _levels(percent: int, size: int) -> tuple[int, int]:
 
 def _segments(tokens: np.ndarray, level: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, token counts and key sums of the segments with tokens; then each token's segment and value."""
-    spread = mix(tokens + np.uint64(level))
-    segment = ((spread >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    segment, values = segment[order], spread[order]
+    values = np.sort(mix(tokens + np.uint64(level)))
+    # in proportion to the value, so that sorted values have sorted segments
+    segment = (((values >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     return segment[first], np.diff(np.append(first, len(segment))), np.add.reduceat(values, first), segment, values
 
@@ -124,8 +123,7 @@ def document_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFra
         rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
         for batch in batches:
             sizes, digests, odd = [], [], []
-            for text in batch.column(2):
-                tokens = shingle_hashes(text.as_py(), words)
+            for tokens in shingle_sets(batch.column(2), words):
                 sizes.append(len(tokens))
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 odd.append(_odd(tokens) if len(tokens) else None)
@@ -183,8 +181,7 @@ def index_keys(docs: DataFrame, weights: dict[int, dict[int, int]], words: int =
         ids, keys, held = [], [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = shingle_hashes(text.as_py(), words)
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
                 if doc_id is None or not len(tokens):
                     continue
                 for level in _levels(percent, len(tokens)):
@@ -222,12 +219,10 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, words: int = 4, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            before: tuple[str | None, np.ndarray] = (None, shingle_hashes(None, words))
-            for ta, tb in zip(batch.column(2), batch.column(3)):
-                x = ta.as_py()
-                if x != before[0]:
-                    before = x, shingle_hashes(x, words)
-                a, b = before[1], shingle_hashes(tb.as_py(), words)
+            last = None
+            for ta, b in zip(batch.column(2), shingle_sets(batch.column(3), words)):
+                if ta != last:  # pairs come sorted by their first end
+                    last, a = ta, next(shingle_sets([ta], words))
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 kept.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
             mask = pa.array(kept, pa.bool_())

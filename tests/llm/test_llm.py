@@ -6,15 +6,18 @@ import random
 import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cortexgrid.llm import bpe, fingerprints, jaccard, language, licenses, lines, mixing, queries, rules, shards, tokens, warc
+from cortexgrid.llm import bpe, edits, fingerprints, jaccard, language, licenses, lines, mixing, queries, rules, shards, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -301,10 +304,9 @@ def test_line_dedup(spark, none):
     near = [b + " tail" for b in base]
     rows = [(1, "\n".join(base[:3]), "en", "a", 0), (2, "\n".join([near[0], "own line of two", base[4], "", base[4]]), "en", "a", 0), (3, None, "en", "a", 0), (4, base[1].upper() + "!", "en", "a", 0), (5, near[4], "en", "a", 0), (None, base[2], "en", "a", 0), (6, "", "en", "a", 0)]
     df = spark.createDataFrame(rows, DOCS)
-    order = [(d, i, [b" ".join(w).decode() for w in lines.normalised_lines(t)][i]) for d, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) for i in range(len((t or "").split("\n")))]
+    order = [(d, i, lines.normalised_lines(t)[i].decode()) for d, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) for i in range(len((t or "").split("\n")))]
     order = [x for x in order if x[2]]
-    sims = {x[2]: int(lines._simhashes([x[2].encode().split()])[0]) for x in order}
-    linked = lambda a, b: a == b or ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= lines.DISTANCE and 100 * distance(a, b) <= 20 * max(len(a), len(b))
+    linked = lambda a, b: 100 * distance(a, b) <= 20 * max(len(a), len(b))
     group = list(range(len(order)))
     for i in range(len(order)):
         for j in range(i):
@@ -355,6 +357,33 @@ def test_line_dedup_finds_lines_by_edit_similarity(spark):
         assert len(got & own) >= share * len(own), (kind, len(got & own), len(own))
 
 
+def test_line_dedup_finds_the_similar_lines_of_a_table(spark):
+    texts = [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    given = sorted({line.decode() for t in texts for line in lines.normalised_lines(t) if line})
+    want = set()
+    for i, a in enumerate(given):
+        others = [b for b in given[:i] if 100 * abs(len(a) - len(b)) <= 20 * max(len(a), len(b)) and 100 * sum(((Counter(a) - Counter(b)) | (Counter(b) - Counter(a))).values()) <= 40 * max(len(a), len(b))]
+        near = edits.within([a] * len(others), others, np.array([max(len(a), len(b)) // 5 for b in others], np.int64))
+        want |= {tuple(sorted((a, b))) for b, hit in zip(others, near) if hit}
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    digest = {xxhash.xxh3_64_intdigest(x.encode()): x for x in given}
+    part = {digest[r.node % 2**64]: r.component for r in lines.line_groups(docs).collect()}
+    found = [a in part and part[a] == part.get(b) for a, b in want]
+    assert len(want) >= 40 and sum(found) >= 0.9 * len(want), (sum(found), len(want))
+
+
+def test_line_dedup_of_lines_that_share_a_passage(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(6))
+    passage, rows, want = " ".join(word() for _ in range(30)), [], set()
+    for i in range(300):  # 300 lines that differ, each with a near copy
+        own = [word() for _ in range(20)]
+        rows += [(2 * i, passage + " " + " ".join(own), "en", "a", 0), (2 * i + 1, passage + " " + " ".join([*own[:-1], word()]), "en", "a", 0)]
+        want.add(2 * i + 1)
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect() if r.text == ""}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
 def test_line_dedup_has_no_switch_by_length(spark):
     rng = random.Random(12)
     pairs = []
@@ -425,5 +454,23 @@ def test_pipeline(spark, docs, none):
 
 
 def test_tokens():
-    assert len(tokens.shingle_hashes("a b c", 4)) == 1 and len(tokens.shingle_hashes(None, 4)) == 0
-    assert (tokens.shingle_hashes("A b c d e", 4) == tokens.shingle_hashes("a  b\tc d e", 4)).all()
+    given = ["a b c", None, "A b c d e", "a  b\tc d e", "", "x" * 9000, "x" * 9001, "ab c", "a bc"]
+    sets = list(tokens.shingle_sets(pa.array(given), 4))
+    assert [len(s) for s in sets] == [1, 0, 2, 2, 0, 1, 1, 1, 1] and (sets[2] == sets[3]).all()
+    assert len({int(s[0]) for s in sets if len(s) == 1}) == 5
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abAB \n\té日") for _ in range(rng.randrange(300))) for _ in range(200)]
+    assert [len(s) for s in tokens.shingle_sets(pa.array(texts), 2)] == [len(shingles(t, 2)) for t in texts]
+
+
+def test_edit_distances(monkeypatch):
+    rng = random.Random(5)
+    left = ["".join(rng.choice("abcd\u00e9  ") for _ in range(rng.choice((0, 1, 30, 64, 65, 130)))) for _ in range(300)]
+    right = ["".join(c if rng.random() < 0.9 else rng.choice(("", "x", c + "y")) for c in t) for t in left]
+    want = np.array([distance(a, b) for a, b in zip(left, right)])
+    for worth in (0, 16, 10**9):
+        monkeypatch.setattr(edits, "WORTH", worth)
+        assert (edits.edit_distances(left, right) == want).all()
+    for long in (5, 40, 256):
+        monkeypatch.setattr(edits, "LONG", long)
+        assert all((edits.within(left, right, np.full(len(left), most)) == (want <= most)).all() for most in (0, 2, 5, 9))
