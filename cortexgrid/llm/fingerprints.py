@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 #: Hashes kept: the standard error of a resemblance r is sqrt(r * (1 - r) / K).
 K = 128
 SHINGLE = 5
-#: Rows of one bucket of neighbours in the order of doc_id.
+#: Rows of one bucket of neighbours in the order of doc_id; the driver holds a bound for each.
 BUCKET_ROWS = 5_000
-MOST_BUCKETS = 65_536
 SPACE = r"[\x20\x09-\x0D]+"
 _RANGE = 2.0**64
 
@@ -73,32 +72,36 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
-    """docs (doc_id, text) with the carried columns and next_<column> of the row that follows by (doc_id, text).
+def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """docs (doc_id, text) with columns computed for each row, and next_<column> (text too) of the row that follows.
 
-    A null doc_id comes last; the first row follows the last. Rows are bucketed by doc_id quantiles, and the first row
-    of each bucket is also laid at the end of the one before, so no sort gathers the table in one task.
+    The order is (doc_id, text); a null doc_id comes last, and the first row follows the last. Rows are bucketed by
+    doc_id quantiles, a partition each, and the first row of each bucket is also laid at the end of the one before, so
+    no sort gathers the table in one task. Rows that repeat one doc_id share a bucket: a doc_id is taken to be near unique.
     """
-    buckets = min(MOST_BUCKETS, max(1, -(-docs.count() // BUCKET_ROWS)))
-    found = docs.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    steps = [i / buckets for i in range(1, buckets)]
+    found = docs.where("doc_id is not null").approxQuantile("doc_id", steps, 0.2 / buckets) if steps else []
     bounds = sorted({int(b) for b in found})
-    # two steps of at most 256 comparisons each find the bucket
-    fine = [bounds[i : i + 256] for i in range(0, len(bounds), 256)] or [[]]
+    # steps of at most 256 comparisons each find the bucket
     longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
     upto = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
-    coarse = upto(longs([f[0] for f in fine[1:]]))
-    inside = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(coarse * 256 + upto(F.get(F.array(*map(longs, fine)), coarse)))
-    placed = docs.withColumn("_bucket", inside).withColumn("_kind", F.lit(0))
+    inside = F.lit(0)
+    if bounds:
+        fine = [bounds[i : i + 256] for i in range(0, len(bounds), 256)]
+        coarse = upto(longs([f[0] for f in fine[1:]]))
+        inside = coarse * 256 + upto(F.get(F.array(*map(longs, fine)), coarse))
+    placed = docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(inside).cast("int")).withColumn("_kind", F.lit(0))
     whole = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text"))
     heads = placed.groupBy("_bucket").agg(F.min(whole).alias("_head"))
-    # one row a bucket: each head goes to the bucket with rows before it, the first one to the last bucket
+    # each head goes to the bucket with rows before it, the first one to the last bucket; a row of two numbers a bucket
     order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
     last = F.max("_bucket").over(Window.partitionBy(F.lit(0)))
-    moved = heads.select(F.col("_head.*"), F.coalesce(F.lag("_bucket").over(order), last).alias("_bucket"), F.lit(1).alias("_kind")).drop("none")
-    rows = placed.unionByName(moved).withColumns(carried).repartition(max(1, len(bounds) + 1), "_bucket")
+    moves = placed.select("_bucket").distinct().withColumn("_to", F.coalesce(F.lag("_bucket").over(order), last))
+    moved = heads.join(moves, "_bucket").select(F.col("_head.*"), F.col("_to").alias("_bucket"), F.lit(1).alias("_kind")).drop("none")
+    rows = placed.unionByName(moved).repartitionById(len(bounds) + 2, F.col("_bucket")).withColumns(columns)
     by = Window.partitionBy("_bucket").orderBy("_kind", F.col("doc_id").asc_nulls_last(), "text")
-    names = ["text", *carried]
-    return rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in names}).where("_kind = 0").drop("_bucket", "_kind")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in ["text", *columns]}).where("_kind = 0").drop("_bucket", "_kind")
 
 
 def document_fingerprints(docs: DataFrame, words: int = SHINGLE, k: int = K) -> DataFrame:

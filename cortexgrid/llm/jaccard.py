@@ -278,11 +278,11 @@ def drop_near_copies(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     """docs with one document of each group: the one with the smallest doc_id.
 
     Documents without words all stay, and rows with a null doc_id that are no copies. Of rows that repeat a doc_id one
-    stays.
+    stays. An empty docs gives no rows. Names beginning with _jac must not be in docs.
     """
     groups = materialize(jaccard_groups(docs, words, percent), "groups")
-    gone = materialize(groups.where("doc_id != component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    gone = materialize(groups.where("doc_id != component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_jac_gone"), F.col("text_hash").alias("_jac_text")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_jac_gone")) & (F.xxhash64("text") == F.col("_jac_text")), "left_anti")
     repeats = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeats.isEmpty():
         empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0

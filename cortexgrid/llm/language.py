@@ -69,11 +69,11 @@ def _profiles(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     return logs.astype(np.float32)
 
 
-def text_evidence(df: DataFrame, text: str, profiles: np.ndarray) -> DataFrame:
-    """df without text but with logs, the log likelihood of each language and OTHER; null where the text has no letter."""
+def text_evidence(df: DataFrame, text: str, profiles: np.ndarray, evidence_pairs: int = EVIDENCE_PAIRS) -> DataFrame:
+    """df without text but with _lid_logs, the log likelihood of each language and OTHER; null where the text has no letter."""
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(profiles)
-    schema = T.StructType([*df.drop(text).schema.fields, T.StructField("logs", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*df.drop(text).schema.fields, T.StructField("_lid_logs", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
@@ -87,10 +87,10 @@ def text_evidence(df: DataFrame, text: str, profiles: np.ndarray) -> DataFrame:
                 total = np.zeros(logs.shape[1])
                 for i in range(0, len(data) - 1, 1 << 20):
                     total += logs[_pairs(data[i : i + (1 << 20) + 1])].sum(axis=0, dtype=np.float64)
-                made.append((total * min(1.0, EVIDENCE_PAIRS / (len(data) - 1))).tolist())
+                made.append((total * min(1.0, evidence_pairs / (len(data) - 1))).tolist())
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.list_(pa.float64()))], names=[*names, "logs"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.list_(pa.float64()))], names=[*names, "_lid_logs"])
 
     return df.mapInArrow(run, schema)
 
@@ -101,7 +101,7 @@ def _best(scores: Column, n: int) -> Column:
 
 
 def _counts(n: int) -> Column:
-    return F.array(*(F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)).cast("double") for i in range(n)))
+    return F.array(*(F.sum(F.when(F.col("_lid_best") == i + 1, 1).otherwise(0)).cast("double") for i in range(n)))
 
 
 def _smoothed(own: Column, above: Column, weight: float) -> Column:
@@ -109,12 +109,14 @@ def _smoothed(own: Column, above: Column, weight: float) -> Column:
     return F.zip_with(own, above, lambda x, p: (x + F.lit(weight) * p) / (total + F.lit(weight)))
 
 
-def identify_languages(df: DataFrame, text: str, declared: str, host: str | None = None, suffix: Column | None = None, languages: tuple[str, ...] = LANGUAGES, threshold: float = 0.5) -> DataFrame:
+def identify_languages(df: DataFrame, text: str, declared: str, host: str | None = None, suffix: Column | None = None, languages: tuple[str, ...] = LANGUAGES, threshold: float = 0.5, evidence_pairs: int = EVIDENCE_PAIRS) -> DataFrame:
     """df without text, plus language, confidence (posterior of language) and kept.
 
     Texts without a letter, null ones too, have a null language and confidence 0. kept is true if the language is one
     of languages and its confidence reaches threshold. A null or unknown declared language, host or suffix is a value
     of its own. Repeated rows get equal results, ties go to the language listed first, an empty df gives no rows.
+    The log likelihood of a longer text is scaled down to that of evidence_pairs byte pairs, as neighbouring pairs depend
+    on each other: a text that long or longer outweighs declarations and priors by as much as a text of that length.
     Names beginning with _lid are used inside; the three result names must be new.
     """
     names = [*languages, OTHER]
@@ -124,8 +126,8 @@ def identify_languages(df: DataFrame, text: str, declared: str, host: str | None
     given = given.withColumn("_lid_host", F.coalesce(F.col(host), F.lit("")) if host else F.lit(""))
     given = given.withColumn("_lid_suffix", F.coalesce(suffix, F.lit("")) if suffix is not None else F.lit(""))
     profiles = _profiles(byte_pair_counts(given, text, "_lid_declared", languages), languages)
-    rows = materialize(text_evidence(given, text, profiles).withColumn("best", _best(F.col("logs"), n)), "evidence")
-    seen = rows.where("logs is not null")
+    rows = materialize(text_evidence(given, text, profiles, evidence_pairs).withColumn("_lid_best", _best(F.col("_lid_logs"), n)), "evidence")
+    seen = rows.where("_lid_logs is not null")
     even = F.array(*(F.lit(1.0 / n) for _ in names))
     hosts = materialize(seen.groupBy("_lid_suffix", "_lid_host").agg(_counts(n).alias("own")), "hosts")
     add = lambda of: F.array(*(F.coalesce(F.sum(F.get(of, F.lit(i))), F.lit(0.0)) for i in range(n)))
@@ -140,7 +142,7 @@ def identify_languages(df: DataFrame, text: str, declared: str, host: str | None
     trust = trust.select("_lid_declared", F.zip_with("own", "each", lambda x, t: (x + DECLARED_COUNT * F.col("all") / F.col("rows")) / (t + DECLARED_COUNT)).alias("_lid_trust"))
     trust = materialize(trust, "trust")
     joined = rows.join(prior, ["_lid_suffix", "_lid_host"], "left").join(trust, "_lid_declared", "left")
-    scores = F.zip_with(F.zip_with("logs", "_lid_prior", lambda a, p: a + F.log(p)), "_lid_trust", lambda a, p: a + F.log(p))
+    scores = F.zip_with(F.zip_with("_lid_logs", "_lid_prior", lambda a, p: a + F.log(p)), "_lid_trust", lambda a, p: a + F.log(p))
     joined = joined.withColumn("_lid_scores", scores)
     best = _best(F.col("_lid_scores"), n)
     top = F.array_max("_lid_scores")
@@ -151,13 +153,20 @@ def identify_languages(df: DataFrame, text: str, declared: str, host: str | None
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, language, confidence, kept): lang is the declared language, source the host."""
+    """(doc_id, text_hash, language, confidence, kept) for each row: lang is the declared language, source the host.
+
+    A source's last part, after a dot or hyphen, is its address suffix. Nulls, repeated rows and empty docs as in
+    identify_languages; other columns are ignored.
+    """
     given = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text", "lang", "source").alias("text_hash"))
-    return identify_languages(given, "text", "lang", "source").select("doc_id", "text_hash", "language", "confidence", "kept")
+    return identify_languages(given, "text", "lang", "source", F.regexp_extract("source", r"([^.\-]*)$", 1)).select("doc_id", "text_hash", "language", "confidence", "kept")
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
-    """(page_id, language, confidence, kept): evidence from html's text, its lang attribute, and the address."""
+    """(page_id, language, confidence, kept) for each row: evidence from html's text, its lang attribute, and the address.
+
+    A null html has no text and no attribute, a null url no host; repeated rows and empty pages as in identify_languages.
+    """
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     given = pages.select("page_id", plain.alias("text"), F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]+)", 1).alias("declared"), host.alias("host"))
@@ -165,7 +174,10 @@ def page_languages(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language isn't identified."""
-    gone = document_languages(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
+    """docs without the rows whose language isn't identified: those without a letter, null texts too, go.
+
+    Repeated rows go or stay together; an empty docs gives no rows. Names beginning with _lid must not be in docs.
+    """
+    gone = document_languages(docs).where("not kept").select(F.col("doc_id").alias("_lid_gone"), F.col("text_hash").alias("_lid_text")).distinct()
     gone = materialize(gone, "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text", "lang", "source") == F.col("_text")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_lid_gone")) & (F.xxhash64("text", "lang", "source") == F.col("_lid_text")), "left_anti")

@@ -1,8 +1,9 @@
 """Operator 9: license scans by diagonal voting. DataFrame functions only.
 
 All rolling word k-grams of a document are hashed and joined with the positions of those hashes in the templates, a
-fixed list of a few hundred words that is broadcast. Hits are counted by diagonal (place in the text less place in the
-template), neighbouring diagonals are merged, and a span counts if enough of the template's k-grams lie on it.
+fixed list of some hundred words that is broadcast. Hits are counted by diagonal (place in the text less place in the
+template) and neighbouring diagonals are merged into spans. A span is verified by its words: so much of the template's
+words, and so much of its own, must lie in k-grams that both have at these places.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ NEIGHBOURS, COVERAGE = 4, 0.5
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening words of well-known license texts and notices, by label.
+#: Well-known license texts and notices, or their opening words, by label.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -28,15 +29,19 @@ TEMPLATES = {
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "reserved-notice": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
 }
 
 
 def words_of(text: Column) -> Column:
-    # only ASCII can match phrases and templates, so lower-casing further letters changes no result
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), "")
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(lower, SPACE), "")
 
 
 def _grams(words: Column) -> Column:
@@ -74,7 +79,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     """(documents, spans) of docs (doc_id, text).
 
     documents: doc_id, row_hash, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score. spans:
-    row_hash, template, first (word), length, score: verified spans, score the share of the template's k-grams found.
+    row_hash, template, first (word), length, score: verified spans, score the share of the template's words found.
     Null and empty texts have no words and no labels. Rows equal in doc_id and text share their spans; other columns
     are ignored; empty docs give no rows.
     """
@@ -87,13 +92,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     along = Window.partitionBy("row_hash", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS).cast("int"), F.lit(1))
     merged = votes.withColumn("new", apart).withColumn("band", F.sum("new").over(along))
+    # a k-gram's words, in the template and in the text
+    own = F.flatten(F.transform("ats", lambda i: F.sequence(i, i + GRAM - 1)))
+    there = F.transform(own, lambda i: F.col("diagonal") + i)
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     spans = merged.groupBy("row_hash", "template", "grams", "band").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"),
+        count(own).alias("found"), count(there).alias("shared"),
         F.min(F.col("diagonal") + F.col("low")).alias("first"),
         F.max(F.col("diagonal") + F.col("high") + GRAM).alias("end"),
     )
-    score = F.col("found") / F.col("grams")
-    spans = spans.where(score >= coverage).select("row_hash", "template", "first", (F.col("end") - F.col("first")).alias("length"), score.alias("score"))
+    score, length = F.col("found") / (F.col("grams") + GRAM - 1), F.col("end") - F.col("first")
+    spans = spans.where((score >= coverage) & (F.col("shared") >= coverage * length)).select("row_hash", "template", "first", length.alias("length"), score.alias("score"))
     best = spans.groupBy("row_hash").agg(F.collect_set("template").alias("_labels"), F.max("score").alias("_score")).withColumnRenamed("row_hash", "_row")
     counted = given.select("doc_id", "row_hash", F.get(F.transform(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), phrase_places(w, phrases).alias("base"))), F.lit(0)).alias("c"))
     base = counted.select("doc_id", "row_hash", F.col("c.n").alias("n_words"), F.col("c.base").alias("base"))

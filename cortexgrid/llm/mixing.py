@@ -1,8 +1,9 @@
 """Operator 6: mixing sources to target weights by entropy balancing.
 
-Rates r of the documents minimise the relative entropy sum(size * (r log r - r + 1)) under the token constraints
-sum(size * r) = target for each source. The dual is convex with one multiplier a source, rates are exp(multiplier), and
-Newton's iterations are grouped aggregations over (source, size) counts. Rates are rounded into copies by their running
+Rates r of the documents minimise the relative entropy sum(size * (r log r - r + 1)) under token constraints
+sum(size * r) = target, for each source or for each value of several, overlapping properties. The dual is convex with one
+multiplier a constraint, rates are the exponential of their sum, and Newton's iterations take the gradient and curvature
+from grouped sums of tokens. Rates are rounded into copies by their running
 sum along each source, ordered by size class, so that the tokens taken stay near the target; what is still missing or
 too much goes to or comes from small documents. Running sums are two-level: cells of a source, then rows in a cell, with
 salted cells, so that no source's rows meet in one task.
@@ -12,8 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cortexgrid.plans import materialize
 
@@ -22,7 +25,8 @@ MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that a cell of running sums should have, and the fewest salts.
 CELL_ROWS, LEAST_SALTS = 100_000, 8
-STEPS = 40
+#: Newton's iterations, and the most that one changes a multiplier.
+STEPS, SPAN = 60, 2.0
 
 
 def count_words(text: str) -> Column:
@@ -52,22 +56,71 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return found.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).cast("double").alias("target"))
 
 
-def balanced_rates(counts: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
-    """(source, rate) by Newton's iterations on the dual; counts has (source, size, n).
+def balanced_rates(cells: DataFrame, margins: dict[str, DataFrame]) -> DataFrame:
+    """cells with rate, by Newton's iterations on the dual of entropy balancing.
 
-    For each source the dual's gradient is sum(size * exp(m)) - target and its curvature sum(size * exp(m)). Sources
-    without tokens or with target 0 get rate 0. Stops when every source's tokens are within 1e-9 of the target.
+    cells has tokens, a bigint, and a column for each name in margins; margins[name] has (name, target): the tokens that
+    all cells with that value should give together. Margins may overlap (source, language, length). Values with target 0
+    get rate 0; cells in no margin keep rate 1; null is a value of its own. The gradient and the curvature, tokens of
+    each value and of each pair of values that meet, are grouped sums; a step is damped to SPAN. Fails where the targets
+    can't all be met, or not within STEPS iterations. The driver sees one row a value and one a pair.
     """
-    wanted = targets.where("source_size > 0 and target > 0").select("source", "target")
-    dual = materialize(wanted.withColumn("m", F.lit(0.0)), "dual")
+    spark = cells.sparkSession
+    wanted: list[tuple[str, object, float]] = []
+    for name, table in margins.items():
+        found = table.where("target is not null").select(name, "target").collect()
+        wanted += sorted(((name, r[0], float(r.target)) for r in found), key=lambda x: (x[1] is not None, str(x[1])))
+    if not wanted:
+        return cells.withColumn("rate", F.lit(1.0))
+    keyed = cells.withColumn("_mix_at", F.array().cast("array<int>")).withColumn("_mix_none", F.lit(False))
+    for name in margins:
+        own = [(v, i, t <= 0) for i, (n, v, t) in enumerate(wanted) if n == name]
+        kind = T.StructType([T.StructField("_mix_value", cells.schema[name].dataType), T.StructField("_mix_i", T.IntegerType()), T.StructField("_mix_zero", T.BooleanType())])
+        keyed = keyed.join(spark.createDataFrame(own, kind), F.col(name).eqNullSafe(F.col("_mix_value")), "left")
+        keyed = keyed.withColumn("_mix_at", F.when(F.col("_mix_i").isNull(), F.col("_mix_at")).otherwise(F.array_append("_mix_at", F.col("_mix_i"))))
+        keyed = keyed.withColumn("_mix_none", F.col("_mix_none") | F.coalesce("_mix_zero", F.lit(False))).drop("_mix_value", "_mix_i", "_mix_zero")
+    keyed = materialize(keyed, "keyed")
+    groups = keyed.where("not _mix_none and tokens > 0 and size(_mix_at) > 0").groupBy("_mix_at").agg(F.sum("tokens").alias("tokens"))
+    groups = materialize(groups, "groups")
+    target, m = np.array([t for _, _, t in wanted]), np.zeros(len(wanted))
+    tilt = lambda m: F.exp(F.aggregate(F.transform("_mix_at", lambda i: F.get(F.lit(m.tolist()), i)), F.lit(0.0), lambda a, x: a + x))
     for _ in range(STEPS):
-        tilted = counts.join(dual, counts.source.eqNullSafe(dual.source)).select(dual.source, "target", "m", (F.col("size") * F.col("n")).alias("tokens"))
-        # whole numbers are summed, so that the order of rows can't change the result
-        sums = tilted.groupBy("source", "target", "m").agg((F.sum("tokens") * F.exp("m")).alias("tokens"))
-        dual = materialize(sums.select("source", "target", F.greatest(F.lit(-50.0), F.col("m") + F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("target") / F.col("tokens") - 1))).alias("m"), (F.abs(F.col("tokens") / F.col("target") - 1)).alias("off")), "dual")
-        if not (dual.agg(F.max("off")).first()[0] or 0.0) > 1e-9:
+        # exact sums, so that the order of rows can't change the result
+        tilted = groups.select("_mix_at", (F.col("tokens") * tilt(m)).cast("decimal(30,6)").alias("tokens"))
+        pairs = tilted.select(F.explode("_mix_at").alias("i"), "_mix_at", "tokens").select("i", F.explode("_mix_at").alias("j"), "tokens")
+        sums = sorted((r.i, r.j, float(r.tokens)) for r in pairs.groupBy("i", "j").agg(F.sum("tokens").alias("tokens")).collect())
+        if not sums:
             break
-    return dual.select("source", F.least(F.exp("m"), F.lit(float(most))).alias("rate"))
+        i, j, v = (np.array(x) for x in zip(*sums))
+        tokens = np.zeros(len(wanted))
+        tokens[i[i == j]] = v[i == j]
+        gradient = np.where(tokens > 0, target - tokens, 0.0)
+        if (np.abs(gradient) <= 1e-9 * target + 1e-3).all():
+            break
+        m = m + np.clip(_solve(i, j, v, gradient), -SPAN, SPAN)
+    else:
+        raise ValueError("the targets can't all be met")
+    rate = F.when(F.col("_mix_none"), 0.0).when(F.size("_mix_at") == 0, 1.0).otherwise(tilt(m))
+    return keyed.select(*cells.columns, rate.alias("rate"))
+
+
+def _solve(i: np.ndarray, j: np.ndarray, v: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """The step s with curvature * s = gradient, by conjugate gradients; overlapping margins leave some s free."""
+    diagonal = np.ones(len(gradient))
+    diagonal[i[i == j]] = v[i == j]
+    times = lambda x: np.bincount(i, v * x[j], len(x))
+    s, r = np.zeros(len(gradient)), gradient.copy()
+    z = r / diagonal
+    p, rz = z.copy(), r @ z
+    for _ in range(2 * len(gradient)):
+        if rz <= 1e-24 * (gradient @ (gradient / diagonal)):
+            break
+        q = times(p)
+        a = rz / (p @ q)
+        s, r = s + a * p, r - a * q
+        z = r / diagonal
+        p, rz = z + (r @ z) / rz * p, r @ z
+    return s
 
 
 def _running(df: DataFrame, value: Column) -> DataFrame:
@@ -97,7 +150,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
     sums = materialize(sums, "sources")
     targets = materialize(source_targets(sums.select("source", "source_size"), weights, share, most), "targets")
-    rates = balanced_rates(counts, targets, most)
+    cells = sums.select("source", F.col("source_size").alias("tokens"))
+    rates = balanced_rates(cells, {"source": targets}).select("source", F.least("rate", F.lit(float(most))).alias("rate"))
     rows = sums.agg(F.max("rows")).first()[0] or 0
     salts = max(LEAST_SALTS, -(-rows // CELL_ROWS))
     plan = targets.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -118,11 +172,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
 
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; a row that it takes no time is left out."""
-    per = mix.groupBy("doc_id", "text_hash", "source").agg(F.min("copies").alias("low"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
-    unusual = materialize(per.where("all != rows").withColumnsRenamed({"doc_id": "_id", "text_hash": "_text", "source": "_source"}), "unusual")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")) & F.col("source").eqNullSafe(F.col("_source"))
-    joined = docs.join(unusual, same, "left")
-    # rows equal in id, source and text: each as often as their mean, rounded up
-    times = F.when(F.col("all").isNull(), 1).otherwise(F.floor((F.col("all") + F.col("rows") - 1) / F.col("rows")))
-    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it; a row that it takes no time is left out.
+
+    Rows equal in doc_id, source and text are taken as often as their mean, rounded up. An empty docs gives no rows.
+    Names beginning with _mix must not be in docs.
+    """
+    per = mix.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("_mix_all"), F.count(F.lit(1)).alias("_mix_rows"))
+    unusual = materialize(per.where("_mix_all != _mix_rows").withColumnsRenamed({"doc_id": "_mix_id", "text_hash": "_mix_text", "source": "_mix_source"}), "unusual")
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_text")) & F.col("source").eqNullSafe(F.col("_mix_source"))
+    times = F.when(F.col("_mix_all").isNull(), 1).otherwise(F.ceil(F.col("_mix_all") / F.col("_mix_rows")))
+    joined = docs.join(unusual, same, "left").withColumn("_mix_times", times.cast("int")).where("_mix_times > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

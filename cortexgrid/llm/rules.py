@@ -9,6 +9,7 @@ kept if it is precise enough there. The list comes out as one ordered conditiona
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Words of a window that counts as repeated.
 WINDOW = 8
-#: Thresholds tried for each feature, and the bounds of a list.
-CUTS = 9
+#: Features that rules test.
+FEATURES = ("f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats")
+#: Shares of the rows with label 0 and of those with label 1 that lie below the thresholds tried for a feature.
+QUANTILES = {0: [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98], 1: [0.02, 0.05, 0.1, 0.5, 0.9, 0.95, 0.98, 1.0]}
+#: The grid of values: v is in bin floor(log2(1 + v * GRID_SCALE) * STEPS_OF_TWO).
+GRID_SCALE, STEPS_OF_TWO = 1000.0, 32
+#: Bounds of a list, parameters of learn.
 MOST_RULES, MOST_CONDITIONS = 8, 3
 #: A rule must drop so many of the labelled rows that it covers rightly, on either fold, and cover so many.
 PRECISION, COVERED = 0.9, 3
@@ -98,65 +104,93 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def learn(labelled: DataFrame, label: str, key: str = "doc_id", features: tuple[str, ...] = ("f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats")) -> list[tuple[Condition, ...]]:
-    """An ordered list of conjunctions that cover rows with label 0; empty without enough labelled rows.
+def _cuts(rows: DataFrame, label: str, features: Sequence[str]) -> dict[str, list[float]]:
+    """Thresholds of each feature: bin ends at quantiles of its rows of either label.
 
-    All labelled rows count. labelled has the features and label (0 or 1; others are ignored).
+    Values are counted by bins of a fixed grid (STEPS_OF_TWO to a doubling), so the counts, and with them the cuts, are
+    exact whatever way rows are dealt, and only the grid's bins reach the driver.
     """
-    rows = labelled.where(F.col(label).isin(0, 1))
-    quantiles = [i / (CUTS + 1) for i in range(1, CUTS + 1)] + [0.95, 0.98]
-    bad = rows.where(F.col(label) == 0)
-    found = bad.agg(*(F.percentile_approx(f, quantiles, 1000).alias(f) for f in features)).first()
-    good = rows.where(F.col(label) == 1).agg(*(F.percentile_approx(f, [0.02, 0.05, 0.1, 0.5, 0.9, 0.95, 0.98, 1.0], 1000).alias(f) for f in features)).first()
-    cuts = {f: sorted({*(found[f] or []), *(good[f] or [])}) for f in features}
-    cells = {f: F.lit(0) for f in features}
+    grid = lambda f: F.floor(F.log2(1 + F.greatest(F.col(f), F.lit(0.0)) * GRID_SCALE) * STEPS_OF_TWO).cast("int")
+    long = rows.select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), grid(f).alias("bin")) for f in features))).alias("p"))
+    found: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in long.groupBy("p.f", "y", "p.bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault((r.f, r.y), []).append((r.bin, r.n))
+    out = {}
     for f in features:
-        cells[f] = sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0))
+        ends = set()
+        for y, shares in QUANTILES.items():
+            bins = sorted(found.get((f, y), []))
+            total, upto = sum(n for _, n in bins), 0
+            wanted = [q * total for q in shares]
+            for b, n in bins:
+                upto += n
+                while wanted and upto >= wanted[0]:
+                    ends.add((2.0 ** ((b + 1) / STEPS_OF_TWO) - 1) / GRID_SCALE)
+                    wanted.pop(0)
+        out[f] = sorted(ends)
+    return out
+
+
+def learn(labelled: DataFrame, label: str, key: str = "doc_id", features: Sequence[str] = FEATURES, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[tuple[Condition, ...]]:
+    """An ordered list of at most most_rules conjunctions, of at most most_conditions thresholds, that cover rows with label 0.
+
+    All labelled rows count. labelled has the features and label (0 or 1; others are ignored). The list is empty without
+    enough labelled rows. Each step is a grouped sum over the cube: the driver sees counts by feature and bin alone.
+    """
+    rows = labelled.where(F.col(label).isin(0, 1))
+    cuts = _cuts(rows, label, features)
+    cells = {f: sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)) for f in features}
     fold = (F.pmod(F.xxhash64(key), F.lit(3)) == 0).cast("int")
-    cube = rows.groupBy(*(cells[f].cast("int").alias(f) for f in features), fold.alias("fold"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()
-    cells_of = [({f: r[f] for f in features}, r.fold, r.label, r.n) for r in cube]
-
-    def covered(rule, cell) -> bool:
-        return all((cell[f] > i) == above for f, above, i in rule)
-
-    def tally(rule, rest, fold) -> tuple[int, int]:
-        sums = [0, 0]
-        for cell, g, y, n in rest:
-            if g == fold and covered(rule, cell):
-                sums[y] += n
-        return sums[0], sums[1]
-
-    rules, rest = [], cells_of
-    while len(rules) < MOST_RULES:
+    cube = rows.groupBy(*(cells[f].cast("int").alias(f) for f in features), fold.alias("fold"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    cube = materialize(cube, "cube")
+
+    def holds(rule) -> Column:
+        out = F.lit(True)
+        for f, above, i in rule:
+            out = out & (F.col(f) > i if above else F.col(f) <= i)
+        return out
+
+    def sums(rest: DataFrame, rule) -> tuple[dict, dict]:
+        """Counts of (fold, label) that the rule covers, and of those by the bin of each feature."""
+        long = rest.where(holds(rule)).select("fold", "label", "n", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in features))).alias("p"))
+        by: dict = {}
+        for r in long.groupBy("fold", "label", "p.f", "p.bin").agg(F.sum("n").alias("n")).collect():
+            by.setdefault((r.f, r.fold, r.label), {})[r.bin] = r.n
+        whole = {(g, y): sum(by.get((features[0], g, y), {}).values()) for g in (0, 1) for y in (0, 1)}
+        return whole, by
+
+    rules, rest = [], cube
+    while len(rules) < most_rules:
         rule: tuple = ()
-        p0, n0 = tally(rule, rest, 0)
-        while len(rule) < MOST_CONDITIONS and p0 and n0:
+        whole, by = sums(rest, rule)
+        lengths = [whole]
+        while len(rule) < most_conditions and whole[0, 0] and whole[0, 1]:
+            p0, n0 = whole[0, 0], whole[0, 1]
             best = None
             for f in features:
                 for i in range(len(cuts[f])):
                     for above in (True, False):
-                        p, n = tally((*rule, (f, above, i)), rest, 0)
+                        p, n = (sum(m for b, m in by.get((f, 0, y), {}).items() if (b > i) == above) for y in (0, 1))
                         if p:
                             gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                             if best is None or (gain, p) > best[0]:
-                                best = (gain, p), (f, above, i), (p, n)
+                                best = (gain, p), (f, above, i)
             if best is None or best[0][0] <= 0:
                 break
-            rule, (p0, n0) = (*rule, best[1]), best[2]
+            rule = (*rule, best[1])
+            whole, by = sums(rest, rule)
+            lengths.append(whole)
         # prune: the shortest beginning that is best on the fold kept apart
-        scored = []
-        for length in range(1, len(rule) + 1):
-            p, n = tally(rule[:length], rest, 1)
-            scored.append(((p - n) / (p + n) if p + n else -1.0, -length))
+        scored = [((w[1, 0] - w[1, 1]) / (w[1, 0] + w[1, 1]) if w[1, 0] + w[1, 1] else -1.0, -length) for length, w in enumerate(lengths) if length]
         if not scored:
             break
-        rule = rule[: -max(scored)[1]]
-        counts = [tally(rule, rest, fold) for fold in (0, 1)]
-        p, n = (sum(x) for x in zip(*counts))
-        if p < COVERED or p < PRECISION * (p + n) or counts[1][0] < PRECISION * sum(counts[1]):
+        length = -max(scored)[1]
+        rule, w = rule[:length], lengths[length]
+        p, n = w[0, 0] + w[1, 0], w[0, 1] + w[1, 1]
+        if p < COVERED or p < PRECISION * (p + n) or w[1, 0] < PRECISION * (w[1, 0] + w[1, 1]):
             break
         rules.append(rule)
-        rest = [x for x in rest if not covered(rule, x[0])]
+        rest = rest.where(~holds(rule))
     return [tuple(Condition(f, above, float(cuts[f][i])) for f, above, i in rule) for rule in rules]
 
 
@@ -179,7 +213,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, label: str = "quality")
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row of docs.
 
     The list is learned from the labels of all labelled documents. A null text has no words and fails the base rules;
-    without labels only these decide. A null doc_id has no label. Repeated rows get equal verdicts. Other columns are
+    without labels only these decide. Of contradictory labels of one document the largest counts. A null doc_id has no label. Repeated rows get equal verdicts. Other columns are
     ignored; empty docs give no rows.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortexgrid.operators.graph import dense_ids
 from cortexgrid.plans import materialize
 
 #: Bins of a histogram, and the part of a leaf's bytes that the bin of a split point may hold.
@@ -24,9 +25,12 @@ ROUNDS = 6
 CELL_ROWS, LEAST_SALTS = 100_000, 8
 
 
-def text_order(name: str) -> Column:
-    """A string's first six bytes as a number in the order of strings; null comes before all."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.encode(F.substring(name, 1, 6), "UTF-8")), 12, "0").substr(1, 12), 16, 10).cast("double"), F.lit(-1.0))
+def with_ranks(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with each string column replaced by its rank among the distinct values, from 1; null is 0."""
+    for name in names:
+        ranks = dense_ids(df.where(F.col(name).isNotNull()).select(name)).withColumnRenamed(name, "_kd_value")
+        df = df.join(ranks, F.col(name) == F.col("_kd_value"), "left").withColumn(name, F.coalesce("_id", F.lit(0))).drop("_kd_value", "_id")
+    return df
 
 
 def kd_shards(df: DataFrame, size: str, dimensions: Mapping[str, Column], shards: int, key: Column) -> DataFrame:
@@ -58,7 +62,8 @@ def kd_shards(df: DataFrame, size: str, dimensions: Mapping[str, Column], shards
         for k in wide:
             if (r := ranges.get(k)) is None:
                 continue
-            best = max(range(len(names) - 1), key=lambda i: r[f"high_kd{i}"] - r[f"low_kd{i}"]) if len(names) > 1 else 0
+            # rounded, as the key adds up to 1e-6 to equal widths: of these the first dimension wins
+            best = max(range(len(names) - 1), key=lambda i: round(r[f"high_kd{i}"] - r[f"low_kd{i}"], 5)) if len(names) > 1 else 0
             left = leaves[k] // 2
             state[k] = {"dim": best, "low": r[f"low_kd{best}"], "high": r[f"high_kd{best}"], "want": r.bytes * left / leaves[k], "left": left, "leaf": r.bytes / leaves[k]}
         narrowing = dict(state)
@@ -130,14 +135,16 @@ def document_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) by language, source, length and doc_id.
 
     Size is the UTF-8 bytes of the text, null none, plus 8; text_crc32 of a null text is that of the empty one. The law
-    is bytes: shards have nearly equal sizes. Nulls in any dimension are a value below all others. Rows equal in doc_id
-    and text share a shard. Other columns are ignored; empty docs give no rows.
+    is bytes: shards have nearly equal sizes. Nulls in any dimension are a value below all others. Rows that repeat a
+    doc_id and text are dealt out like others. Other columns are ignored; empty docs give no rows.
     """
     binary = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     meta = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(binary) + 8).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"),
-        text_order("lang").alias("lang"), text_order("source").alias("source"), F.xxhash64("doc_id", "text").alias("key"),
+        "lang", "source", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("key"),
     )
+    # written once, so that a row keeps its key
+    meta = with_ranks(materialize(meta, "meta"), ["lang", "source"])
     dims = {"lang": F.col("lang"), "source": F.col("source"), "length": F.log2(F.col("size")), "id": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("double")}
     placed = kd_shards(meta, "size", dims, shards, F.col("key"))
     most = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0

@@ -423,6 +423,85 @@ def test_shards_of_a_hot_value_are_near_equal(spark):
     assert len(rows) == 3 and all(abs(r["count"] - 10000) <= 20 for r in rows), rows
 
 
+def test_shards_with_far_ids_common_prefixes_and_repeats(spark):
+    rows = [(i, f"text {i} " * (1 + i % 5), "en", f"common/prefix/{i % 3}", 0) for i in range(6000)]
+    rows += [(2**61, "far away", "en", "common/prefix/9", 0)] + [(7, "again and again", None, None, 0)] * 4000
+    got = shards.document_shards(spark.createDataFrame(rows, DOCS).repartition(5), 8).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
+    mean = sum(r.b for r in got) / 8
+    assert len(got) == 8 and all(abs(r.b - mean) <= 2 * max(x.m for x in got) for r in got), [(r.b - mean, r.m) for r in got]
+
+
+def test_shards_against_a_plain_split(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(1000), rng.randrange(50), 1 + rng.randrange(9)) for i in range(400)]
+
+    def split(own, first, leaves):
+        if leaves == 1:
+            return {r[0]: first for r in own}
+        width = [(max(r[d] for r in own) - min(r[d] for r in own)) / (999, 49)[d - 1] for d in (1, 2)]
+        d = 1 if width[0] >= width[1] else 2
+        left, want, gone = leaves // 2, sum(r[3] for r in own) * (leaves // 2) / leaves, 0
+        own = sorted(own, key=lambda r: (r[d], r[0]))
+        for k, r in enumerate(own):
+            if abs(gone + r[3] - want) > abs(gone - want):
+                break
+            gone += r[3]
+        return split(own[:k], first, left) | split(own[k:], first + left, leaves - left)
+
+    low, high = ((min(r[d] for r in rows), max(r[d] for r in rows)) for d in (1, 2))
+    rows += [(400 + k, (0, 999)[k], (0, 49)[k], 1) for k in range(2)]  # the full range, so that both scale alike
+    df = spark.createDataFrame(rows, "id long, a long, b long, size long")
+    got = {r.id: r.shard for r in shards.kd_shards(df, "size", {"a": F.col("a"), "b": F.col("b")}, 4, F.col("id")).collect()}
+    want = split(rows, 0, 4)
+    by = [sum(r[3] for r in rows if m[r[0]] == s) for m in (got, want) for s in range(4)]
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(rows) and max(map(abs, np.subtract(by[:4], by[4:]))) <= 18, by
+
+
+def test_rates_of_overlapping_margins(spark):
+    rng = random.Random(2)
+    cells = [(s, lang, rng.randrange(100, 5000)) for s in ("a", "b", None) for lang in ("en", "de")]
+    fixed = {c[:2]: rng.uniform(0.5, 2) for c in cells}
+    sides = [(0, ("a", "b", None)), (1, ("en", "de"))]
+    target = [{v: sum(n * fixed[s, la] for s, la, n in cells if (s, la)[d] == v) for v in values} for d, values in sides]
+    df = spark.createDataFrame(cells, "source string, lang string, tokens long")
+    margins = {n: spark.createDataFrame(list(t.items()), f"{n} string, target double") for n, t in zip(("source", "lang"), target)}
+    got = {(r.source, r.lang): r.rate for r in mixing.balanced_rates(df, margins).collect()}
+    rate = dict.fromkeys(fixed, 1.0)  # proportional fitting, another way to the same rates
+    for _ in range(500):
+        for d, values in sides:
+            for v in values:
+                now = sum(n * rate[s, la] for s, la, n in cells if (s, la)[d] == v)
+                rate |= {k: x * target[d][v] / now for k, x in rate.items() if k[d] == v}
+    assert all(got[k] == pytest.approx(rate[k], rel=1e-6) for k in rate)
+    with pytest.raises(ValueError):  # the sides' totals differ
+        mixing.balanced_rates(df, {"source": margins["source"], "lang": margins["lang"].withColumn("target", F.col("target") * 1.5)})
+    zero = mixing.balanced_rates(df, {"lang": spark.createDataFrame([("en", 0.0)], "lang string, target double")})
+    assert {(r.lang, r.rate) for r in zero.collect()} == {("en", 0.0), ("de", 1.0)}
+
+
+CLASHES = ["best", "logs", "suffix", "corpus", "own", "all", "rows", "low", "_id", "_text", "_source", "_drop", "_gone", "n", "u", "v", "line", "lines", "row", "mate", "at", "rank", "size", "copies", "target", "words"]
+
+
+def test_pipeline_with_clashing_names(spark, none):
+    rows = [(i, f"the quick brown fox {i} and the lazy dog of the house\nwith a line of its own number {i * 37} here", "en", "web", 0) for i in range(40)] + [(None, None, None, None, None)]
+    stage = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(c) for c in CLASHES})
+    empty = none.withColumns({c: F.lit(c) for c in CLASHES})
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        out = fn(spark, stage, SF)
+        assert out.columns == stage.columns and all(out.schema[c].dataType == stage.schema[c].dataType for c in CLASHES), name
+        assert {tuple(r) for r in out.select(*CLASHES).distinct().collect()} == {tuple(CLASHES)}, name
+        assert fn(spark, empty, SF).count() == 0
+
+
+def test_licenses_need_dense_spans(spark):
+    words = licenses.TEMPLATES["mit"].split()
+    spread = " ".join(w + (" " + " ".join(f"x{i}y{k}" for k in range(4)) if i % 3 == 2 else "") for i, w in enumerate(words))
+    halves = " ".join(words[:8]) + " filler" * 60 + " " + " ".join(words[8:])
+    df = spark.createDataFrame([(1, spread), (2, halves), (3, " ".join(words))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df)[0].collect()}
+    assert "mit" not in got[1] and "mit" in got[2] and "mit" in got[3]
+
+
 def test_licenses(docs, none, spark):
     more = spark.createDataFrame([(7000, "A CC-BY text, cc by cc by! General Public LICENSE. All Rights Reserved"), (7001, "x " + licenses.TEMPLATES["mit"] + " y"), (7002, licenses.TEMPLATES["isc"].replace("modify", "changed"))], "doc_id long, text string")
     rows = documents() + [tuple(r) for r in more.collect()]
@@ -468,9 +547,11 @@ def test_edit_distances(monkeypatch):
     left = ["".join(rng.choice("abcd\u00e9  ") for _ in range(rng.choice((0, 1, 30, 64, 65, 130)))) for _ in range(300)]
     right = ["".join(c if rng.random() < 0.9 else rng.choice(("", "x", c + "y")) for c in t) for t in left]
     want = np.array([distance(a, b) for a, b in zip(left, right)])
-    for worth in (0, 16, 10**9):
-        monkeypatch.setattr(edits, "WORTH", worth)
+    for least, most in ((0, 2**15), (24, 40), (10**9, 2**15)):
+        monkeypatch.setattr(edits, "LEAST_PAIRS", least)
+        monkeypatch.setattr(edits, "MOST_WORDS", most)
         assert (edits.edit_distances(left, right) == want).all()
+        assert (np.minimum(edits.edit_distances(left, right, np.full(len(left), 4)), 5) == np.minimum(want, 5)).all()
     for long in (5, 40, 256):
         monkeypatch.setattr(edits, "LONG", long)
         assert all((edits.within(left, right, np.full(len(left), most)) == (want <= most)).all() for most in (0, 2, 5, 9))
