@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cortexgrid.plans import materialize
+from cortexgrid.plans import drop, materialize
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components_of_edges(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
     seen = None
     while True:
-        now = materialize(_small_star(_large_star(now)).distinct(), "star")
+        before, now = now, materialize(_small_star(_large_star(now)).distinct(), "star")
+        drop(before)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.col("u") % 1000003), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
         if sign == seen or sign[0] == 0:
             break

@@ -74,7 +74,7 @@ def shape_descriptors(df: DataFrame, sigma: float, axes: Sequence[str] = AXES, d
     lsds holds the mean offset for each axis, then the covariance (variances first), then the weight sum: 10 channels in
     3D, 6 in 2D. sigma is in voxels of the downsampled grid.
     """
-    coarse = df.where((F.col("label") > 0))
+    coarse = df.where(F.col(label) > 0)
     for a in axes:
         coarse = coarse.where(F.col(a) % downsample == 0).withColumn(a, F.expr(f"{a} div {downsample}"))
     coarse = coarse.select(*KEY, label)

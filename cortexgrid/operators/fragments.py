@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.operators.components import connected_components
+from cortexgrid.operators.graph import dense_ids
 from cortexgrid.operators.grid import AXES, KEY, gather_halo
 from cortexgrid.operators.resample import gaussian
+from cortexgrid.plans import materialize
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, value: str) -> DataFrame:
@@ -26,8 +28,9 @@ def apply_mask(df: DataFrame, mask: DataFrame, value: str) -> DataFrame:
 def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "mask") -> DataFrame:
     """distance, in voxels along axes, to the nearest voxel with mask 0; null where there is none.
 
-    Exact and separable: nearest 0 along the last axis by windows, then min(g + d * d) within each line. A line is as
-    long as the volume along its axis; blockwise use keeps it within a block.
+    Exact and separable: nearest 0 along the last axis by windows, then min(g + d * d) within each line. The nearest
+    voxels before and after with a distance, and its own, bound a voxel's result; only voxels within that bound are
+    joined, so rows grow with the distances, not with the square of a line.
     """
     last, others = axes[-1], list(axes[:-1])[::-1]
     line = Window.partitionBy(*(k for k in KEY if k != last)).orderBy(last)
@@ -38,8 +41,15 @@ def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "m
     out = df.select(*KEY, (near * near).cast("double").alias("g"))
     for axis in others:
         rest = [k for k in KEY if k != axis]
+        own = Window.partitionBy(*rest).orderBy(axis)
+        held = F.when(F.col("g").isNotNull(), F.struct(F.col(axis).alias("at"), "g"))
+        ends = [F.last(held, True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.first(held, True).over(own.rowsBetween(0, Window.unboundedFollowing))]
+        bounded = out.withColumns({f"_e{i}": e for i, e in enumerate(ends)})
+        most = F.least("g", *(F.col(f"_e{i}.g") + (F.col(f"_e{i}.at") - F.col(axis)) * (F.col(f"_e{i}.at") - F.col(axis)) for i in range(2)))
+        reach = F.floor(F.sqrt(most)).cast("bigint")
+        want = bounded.where(most.isNotNull()).select(*KEY, F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach)).alias("_at"))
         side = out.where("g is not null").select(*rest, F.col(axis).alias("_at"), F.col("g").alias("_g"))
-        best = out.select(*KEY).join(side, rest).groupBy(*KEY).agg(F.min(F.col("_g") + (F.col("_at") - F.col(axis)) * (F.col("_at") - F.col(axis))).alias("g"))
+        best = want.join(side, [*rest, "_at"]).groupBy(*KEY).agg(F.min(F.col("_g") + (F.col("_at") - F.col(axis)) * (F.col("_at") - F.col(axis))).alias("g"))
         out = out.select(*KEY).join(best, KEY, "left")
     return out.select(*KEY, F.sqrt("g").alias("distance"))
 
@@ -62,14 +72,13 @@ def seeds(df: DataFrame, size: int = 10, axes: Sequence[str] = AXES, distance: s
 
 
 def label_seeds(df: DataFrame, axes: Sequence[str] = AXES, seed: str = "seed") -> DataFrame:
-    """face-connected components of seeds, numbered 1..n by their first voxel; coordinates are below 2 ** 20."""
-    node = (F.col("z") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")).alias("node")
-    on = df.where(F.col(seed) > 0).select(*KEY, node)
-    step = {"z": 1 << 40, "y": 1 << 20, "x": 1}
-    near = on.select("volume_id", F.col("node").alias("u"), F.explode(F.array(*(F.col("node") + step[a] for a in axes))).alias("v"))
-    edges = near.join(on.select("volume_id", F.col("node").alias("v")), ["volume_id", "v"], "left_semi").select("u", "v")
-    found = on.join(connected_components(on, edges), "node")
-    ranks = found.select("component").distinct().withColumn("seed_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("component")).cast("bigint"))
+    """face-connected components of seeds, numbered 1..n over all volumes by their first voxel (volume_id, z, y, x)."""
+    on = materialize(dense_ids(df.where(F.col(seed) > 0).select(*KEY)).withColumnRenamed("_id", "node"), "seeds")
+    next_to = F.explode(F.array(*(F.struct(*((F.col(k) + 1 if k == a else F.col(k)).cast("bigint").alias(k) for k in AXES)) for a in axes)))
+    near = on.select("volume_id", F.col("node").alias("u"), next_to.alias("to")).select("volume_id", "to.*", "u")
+    edges = near.join(on.withColumnRenamed("node", "v"), KEY).select("u", "v")
+    found = materialize(on.join(connected_components(on, edges), "node"), "found")
+    ranks = dense_ids(found.select("component")).withColumnRenamed("_id", "seed_id")
     return found.join(ranks, "component").select(*KEY, "seed_id")
 
 
@@ -120,5 +129,9 @@ def filter_fragments(fragments: DataFrame, affs: DataFrame, threshold: float, pe
     """fragments whose mean affinity (y and x channels per section, else all) is below threshold become 0."""
     a = F.col("affs")
     mean = (a[1] + a[2]) / 2 if per_section else (a[0] + a[1] + a[2]) / 3
-    low = fragments.join(affs, KEY).groupBy(fragment).agg(F.avg(mean).alias("_mean")).where(F.col("_mean") < threshold).select(fragment, F.lit(0).cast("bigint").alias("_zero"))
-    return fragments.join(low, fragment, "left").withColumn(fragment, F.coalesce("_zero", fragment)).select(*fragments.columns)
+    # background is 0 either way and stays out of the joins
+    on = F.coalesce(F.col(fragment) != 0, F.lit(False))
+    inside = fragments.where(on)
+    low = inside.join(affs, KEY).groupBy(fragment).agg(F.avg(mean).alias("_mean")).where(F.col("_mean") < threshold).select(fragment, F.lit(0).cast("bigint").alias("_zero"))
+    new = inside.join(low, fragment, "left").withColumn(fragment, F.coalesce("_zero", fragment)).select(*fragments.columns)
+    return new.unionByName(fragments.where(~on))

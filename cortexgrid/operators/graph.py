@@ -13,6 +13,10 @@ from cortexgrid.operators.grid import AXES, KEY
 from cortexgrid.plans import materialize
 
 
+#: Decimal places of a mean score.
+DIGITS = 9
+
+
 def fragment_nodes(df: DataFrame, resolution: Sequence[int] = (1, 1, 1), offset: Sequence[int] = (0, 0, 0), label: str = "label") -> DataFrame:
     """mean coordinate of each fragment, in world units."""
     return df.where(F.col(label) > 0).groupBy(F.col(label).alias("node")).agg(*((F.avg(a) * r + o).alias(f"center_{a}") for a, r, o in zip(AXES, resolution, offset)))
@@ -40,9 +44,12 @@ def contacts(df: DataFrame, affs: DataFrame, label: str = "label") -> DataFrame:
 
 
 def score_edges(met: DataFrame, how: str = "mean") -> DataFrame:
-    """(u, v, contacts, merge_score): 1 - mean affinity, or 1 - the 25th percentile over 256 bins."""
+    """(u, v, contacts, merge_score): 1 - mean affinity, or 1 - the 25th percentile over 256 bins.
+
+    Means are rounded to DIGITS places once, here, so that an edge at a threshold is below it in whatever order it was summed.
+    """
     if how == "mean":
-        return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("contacts"), (1 - F.avg("a")).alias("merge_score"))
+        return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("contacts"), F.round(1 - F.avg("a"), DIGITS).alias("merge_score"))
     bins = met.groupBy("u", "v", F.least(F.floor(F.col("a") * 255), F.lit(255)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("u", "v")
     upto = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
@@ -84,18 +91,18 @@ def _joined(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
 def segment(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(node, segment): components of edges scored at most threshold, numbered 1..n by their smallest node."""
     found = materialize(_joined(nodes, edges, threshold), "components")
-    return found.join(_dense(found.select("component")), "component").select("node", F.col("_id").alias("segment"))
+    return found.join(dense_ids(found.select("component")), "component").select("node", F.col("_id").alias("segment"))
 
 
-def _dense(ids: DataFrame) -> DataFrame:
-    """Distinct ids with _id 1..n in their order: ranges are counted first, so no task sorts them all."""
-    name = ids.columns[0]
-    own = materialize(ids.distinct().repartitionByRange(name).withColumn("_part", F.spark_partition_id()), "ids")
+def dense_ids(ids: DataFrame) -> DataFrame:
+    """Distinct ids (one or more columns) with _id 1..n in their order: ranges are counted first, so no task sorts them all."""
+    names = ids.columns
+    own = materialize(ids.distinct().repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ids")
     counts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(name))
-    return own.withColumn("_r", rank).join(offsets, "_part").select(name, (F.col("_r") + F.col("_before")).cast("bigint").alias("_id"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
+    return own.withColumn("_r", rank).join(offsets, "_part").select(*names, (F.col("_r") + F.col("_before")).cast("bigint").alias("_id"))
 
 
 def contract(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -118,9 +125,11 @@ def relabel(df: DataFrame, mapping: DataFrame, label: str = "label") -> DataFram
 
 
 def compact_ids(df: DataFrame, label: str = "label") -> DataFrame:
-    """labels above 0 become 1..n in their order."""
-    ids = _dense(df.where(F.col(label) > 0).select(label))
-    return df.join(ids, label, "left").withColumn(label, F.coalesce("_id", label)).select(*df.columns)
+    """labels above 0 become 1..n in their order; the others, background above all, stay out of the join."""
+    on = F.coalesce(F.col(label) > 0, F.lit(False))
+    ids = dense_ids(df.where(on).select(label))
+    new = df.where(on).join(ids, label).withColumn(label, F.col("_id")).select(*df.columns)
+    return new.unionByName(df.where(~on))
 
 
 def agglomerate(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
@@ -134,7 +143,7 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFra
     e = materialize(e, "edges")
     place = materialize(nodes.select("node", F.col("node").alias("segment")), "place")
     while True:
-        scored = e.withColumn("score", F.col("s") / F.col("n")).where(F.col("score") <= threshold)
+        scored = e.withColumn("score", F.round(F.col("s") / F.col("n"), DIGITS)).where(F.col("score") <= threshold)
         order = F.struct("score", "u", "v").alias("best")
         ends = scored.select(F.explode(F.array("u", "v")).alias("end"), order)
         best = ends.groupBy("end").agg(F.min("best").alias("best"))

@@ -37,7 +37,15 @@ def progress(log: DataFrame, bucket: str = "1 hour") -> DataFrame:
     return sums.select("worker", F.col("w.start").alias("bucket"), "blocks", "total_duration", "mean_duration")
 
 
+class IncompleteError(RuntimeError):
+    """Blocks are pending, so many."""
+
+    def __init__(self, pending: int):
+        super().__init__(f"{pending} blocks are pending")
+        self.pending = pending
+
+
 def assert_complete(grid: DataFrame, log: DataFrame) -> None:
     """An error if a block is pending."""
-    if not (left := pending_blocks(grid, log)).isEmpty():
-        raise RuntimeError(f"{left.count()} blocks are pending")
+    if pending := pending_blocks(grid, log).count():
+        raise IncompleteError(pending)

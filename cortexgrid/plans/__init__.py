@@ -1,3 +1,3 @@
-from cortexgrid.plans.cut import materialize, scratch_root
+from cortexgrid.plans.cut import drop, materialize, scratch_root
 
-__all__ = ["materialize", "scratch_root"]
+__all__ = ["drop", "materialize", "scratch_root"]

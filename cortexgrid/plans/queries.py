@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -488,8 +489,7 @@ def f2_affinity_range(spark, sf_dir):
 
 @query("f3_boundary_mask", "SELECT volume_id, z, y, x, round((affs[1] + affs[2] + affs[3]) / 3, 9) > 0.5 AS whole, 0.5 * (affs[2] + affs[3]) > 0.5 AS section FROM fx_affs")
 def f3_boundary_mask(spark, sf_dir):
-    a = F.transform("affs", lambda v: v)
-    return fx.affs(spark, sf_dir).select(*KEY, (F.round((a[0] + a[1] + a[2]) / 3, 9) > 0.5).alias("whole"), P.boundary_mask(F.col("affs"), True).alias("section"))
+    return fx.affs(spark, sf_dir).select(*KEY, P.boundary_mask(F.col("affs")).alias("whole"), P.boundary_mask(F.col("affs"), True).alias("section"))
 
 
 def _inside(spark, sf_dir):
@@ -538,17 +538,16 @@ def _edge_list(spark, sf_dir):
     return fx.graph_edges(spark, sf_dir)
 
 
-@query("f9_components", """WITH e AS (SELECT u, v FROM fx_rag_edges WHERE merge_score <= 0.01 AND u % 7 = 0), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-r AS (SELECT node, node AS reach FROM n UNION SELECT b.v, r.reach FROM r JOIN b ON b.u = r.node WHERE r.reach < b.v) SELECT node, min(reach) AS component FROM r GROUP BY node""", True)
-def f9_components(spark, sf_dir):
-    from cortexgrid.operators.components import components_of_edges
+# recursion keeps one row a node, its smallest reachable one so far, so whole graphs stay cheap in SQL too
+_REACH = """r(node, component) USING KEY (node) AS (SELECT node, node AS component FROM n UNION
+  SELECT b.v, min(r.component) FROM r JOIN b ON b.u = r.node JOIN recurring.r o ON o.node = b.v WHERE r.component < o.component GROUP BY b.v)"""
+_COMPONENTS = f"""WITH e AS (SELECT u, v FROM fx_rag_edges WHERE merge_score <= 0.01), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+{_REACH} SELECT node, component FROM r"""
 
-    return components_of_edges(_edge_list(spark, sf_dir).where("merge_score <= 0.01 and u % 7 = 0").select("u", "v"))
 
-
-@query("f9_components_all")
-def f9_components_all(spark, sf_dir):
-    """All edges of the region graph; f9_components takes the seventh of them that its recursive SQL can check."""
+@query("f9_components", _COMPONENTS, True)
+@query("f9_components_all", _COMPONENTS, True)
+def f9_components(spark, sf_dir):
     from cortexgrid.operators.components import components_of_edges
 
     return components_of_edges(_edge_list(spark, sf_dir).where("merge_score <= 0.01").select("u", "v"))
@@ -610,48 +609,32 @@ def f16_rag_slice(spark, sf_dir):
     return H.rag_slice(fx.graph_nodes(spark, sf_dir), (10, 0, 20), (20, 1500, 40))
 
 
-def _small_graph(spark, sf_dir):
-    e = _edge_list(spark, sf_dir).where("u % 5 = 0")
-    n = fx.graph_nodes(spark, sf_dir).where("node > 1000000 or node % 5 = 0")
-    return n, e
+def _whole_graph(spark, sf_dir):
+    return fx.graph_nodes(spark, sf_dir), _edge_list(spark, sf_dir)
 
 
-_GRAPH = """WITH e AS (SELECT * FROM fx_rag_edges WHERE u % 5 = 0), n AS (SELECT node FROM fx_rag_nodes WHERE node > 1000000 OR node % 5 = 0), k AS (SELECT u, v FROM e WHERE merge_score <= 0.01), b AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
-r AS (SELECT node, node AS reach FROM n UNION SELECT b.v, r.reach FROM r JOIN b ON b.u = r.node WHERE r.reach < b.v), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)"""
+_GRAPH = f"""WITH e AS (SELECT * FROM fx_rag_edges), n AS (SELECT node FROM fx_rag_nodes), k AS (SELECT u, v FROM e WHERE merge_score <= 0.01), b AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
+{_REACH}, c AS (SELECT node, component FROM r)"""
+_SEGMENT = _GRAPH + " SELECT node, dense_rank() OVER (ORDER BY component) AS segment FROM c"
+_CONTRACT = _GRAPH + " SELECT least(p.component, q.component) AS u, greatest(p.component, q.component) AS v, CAST(NULL AS DOUBLE) AS merge_score, 0 AS agglomerated FROM e JOIN c p ON p.node = e.u JOIN c q ON q.node = e.v WHERE p.component <> q.component GROUP BY 1, 2"
+_CONTRACT_NODES = _GRAPH + " SELECT component AS node, array_to_string(list_sort(list(node)), ',') AS labels FROM c GROUP BY component"
 
 
-@query("f17_segment", _GRAPH + " SELECT node, dense_rank() OVER (ORDER BY component) AS segment FROM c", True)
+@query("f17_segment", _SEGMENT, True)
+@query("f17_segment_all", _SEGMENT, True)
 def f17_segment(spark, sf_dir):
-    return H.segment(*_small_graph(spark, sf_dir), 0.01)
-
-
-@query("f18_contract", _GRAPH + " SELECT least(p.component, q.component) AS u, greatest(p.component, q.component) AS v, CAST(NULL AS DOUBLE) AS merge_score, 0 AS agglomerated FROM e JOIN c p ON p.node = e.u JOIN c q ON q.node = e.v WHERE p.component <> q.component GROUP BY 1, 2", True)
-def f18_contract(spark, sf_dir):
-    return H.contract(*_small_graph(spark, sf_dir), 0.01)[1]
-
-
-@query("f18_contract_nodes", _GRAPH + " SELECT component AS node, array_to_string(list_sort(list(node)), ',') AS labels FROM c GROUP BY component", True)
-def f18_contract_nodes(spark, sf_dir):
-    return H.contract(*_small_graph(spark, sf_dir), 0.01)[0].select("node", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
-
-
-# the whole region graph; f17 and f18 above take the fifth of it that their recursive SQL can check
-def _whole_graph(spark, sf_dir):
-    return fx.graph_nodes(spark, sf_dir), _edge_list(spark, sf_dir)
-
-
-@query("f17_segment_all")
-def f17_segment_all(spark, sf_dir):
     return H.segment(*_whole_graph(spark, sf_dir), 0.01)
 
 
-@query("f18_contract_all")
-def f18_contract_all(spark, sf_dir):
+@query("f18_contract", _CONTRACT, True)
+@query("f18_contract_all", _CONTRACT, True)
+def f18_contract(spark, sf_dir):
     return H.contract(*_whole_graph(spark, sf_dir), 0.01)[1]
 
 
-@query("f18_contract_nodes_all")
-def f18_contract_nodes_all(spark, sf_dir):
+@query("f18_contract_nodes", _CONTRACT_NODES, True)
+@query("f18_contract_nodes_all", _CONTRACT_NODES, True)
+def f18_contract_nodes(spark, sf_dir):
     return H.contract(*_whole_graph(spark, sf_dir), 0.01)[0].select("node", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
@@ -704,7 +687,14 @@ def g5_progress(spark, sf_dir):
 
 @query("g6_incomplete", "SELECT count(*) AS pending FROM fx_log WHERE block_id NOT IN (SELECT block_id FROM fx_done)")
 def g6_incomplete(spark, sf_dir):
-    return L.pending_blocks(fx.log(spark, sf_dir).select("block_id"), fx.done(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pending"))
+    grid, log = fx.log(spark, sf_dir).select("block_id"), fx.done(spark, sf_dir)
+    L.assert_complete(log.select("block_id").distinct(), log)
+    try:
+        L.assert_complete(grid, log)
+        pending = 0
+    except L.IncompleteError as e:
+        pending = e.pending
+    return spark.createDataFrame([(pending,)], "pending long")
 
 
 @query("g11_dataset_pairs", "SELECT a.n_name AS source, b.n_name AS target FROM nation a JOIN nation b ON a.n_name <> b.n_name")
@@ -732,9 +722,14 @@ def a4_write_volume(spark, sf_dir):
     return V.read_volume(spark, path, "volumes/labels/neuron_ids").drop("volume_id")
 
 
-@query("a5_list_datasets", "SELECT DISTINCT CASE WHEN vec_id >= 0 THEN 'volumes/raw' END AS dataset FROM embeddings")
+@query("a5_list_datasets", "SELECT 'volumes/class_' || label AS dataset FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def a5_list_datasets(spark, sf_dir):
-    return V.list_datasets(spark, _container(spark, sf_dir))
+    """A container with one array for each class of sections."""
+    path = scratch_path(spark, "volume") + ".zarr"
+    sections = fx.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(1).alias("value"))
+    for r in sections.select("label").distinct().where("label is not null").collect():
+        V.write_volume(sections.where(F.col("label") == r.label), path, f"volumes/class_{r.label}", (depth(spark, sf_dir), 1, 1), (500, 1, 1))
+    return V.list_datasets(spark, path)
 
 
 @query("a6_read_volumes", "SELECT z, y, x, CAST(2 * raw AS BIGINT) AS total FROM fx_raw")
@@ -767,3 +762,38 @@ def g4_pending_stream(spark, sf_dir):
     grid = fx.log(spark, sf_dir).select("block_id")
     pending_stream(grid, log_stream(spark, entries), out, scratch_path(spark, "stream")).awaitTermination()
     return pending_after(spark, grid, out)
+
+
+_BMP_ROWS = "z long, bytes long"
+
+
+def _bitmap(pixels) -> bytes:
+    """A 24-bit bitmap, bottom row first, rows padded to 4 bytes."""
+    h, w = pixels.shape
+    row = -(-3 * w // 4) * 4
+    body = np.zeros((h, row), np.uint8)
+    body[:, : 3 * w] = np.repeat(pixels[::-1], 3, axis=1)
+    head = [54 + h * row, 0, 54, 40, w, h, 1 | 24 << 16, 0, 0, 0, 0, 0, 0]
+    return b"BM" + np.array(head, "<u4").tobytes() + body.tobytes()
+
+
+@query("a9_read_sections", "SELECT z AS section_id, y, x, raw AS value FROM fx_raw")
+def a9_read_sections(spark, sf_dir):
+    """A folder of grey images, one for each section; written to the shared folder first."""
+    from pyarrow import fs
+
+    folder = scratch_path(spark, "images")
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = int(pdf["z"].iloc[0])
+        pixels = pdf.sort_values(["y", "x"])["raw"].to_numpy(np.uint8).reshape(int(pdf["y"].max()) + 1, -1)
+        own, place = fs.FileSystem.from_uri(f"{uri}/s{z}.bmp")
+        own.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        data = _bitmap(pixels)
+        with own.open_output_stream(place) as f:
+            f.write(data)
+        return pd.DataFrame({"z": [z], "bytes": [len(data)]})
+
+    fx.raw(spark, sf_dir).groupBy("z").applyInPandas(put, _BMP_ROWS).agg(F.sum("bytes")).collect()
+    return V.read_sections(spark, folder).drop("name")

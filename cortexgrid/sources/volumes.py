@@ -1,13 +1,16 @@
 """Chunked volumes (.zarray and one file for each chunk) and image folders.
 
 Chunk files are listed and read by Spark's binaryFile source, so any store that Spark reads will do and each chunk is a
-record; a box keeps only the chunks that it meets before they are opened. Decoding is per chunk, in Arrow batches.
+record; a box lists only the names of the chunks that it meets. Decoding is per chunk, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import json
+import lzma
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -56,46 +59,106 @@ def volume_meta(spark: SparkSession, path: str, dataset: str) -> tuple[str, dict
     raise FileNotFoundError(f"{path}/{dataset}")
 
 
-def read_volume(spark: SparkSession, path: str, dataset: str, roi: tuple[Sequence[int], Sequence[int]] | None = None, volume_id: str | None = None) -> DataFrame:
-    """A1: (volume_id, z, y, x, value) of a 2D or 3D array; 2D ones have z 0. roi is (begin, end) in voxels.
+def _matches(spark: SparkSession, glob: str) -> list[str]:
+    """Paths of a glob, in natural order; a listing, no data."""
+    p, store = _hadoop(spark, glob)
+    return sorted((f.getPath().toString() for f in store.globStatus(p) or ()), key=natural_key)
+
+
+def _unpack(raw: bytes, packed: dict | None, size: int) -> bytes:
+    """A chunk's bytes. Compressors beyond Python's and Arrow's need the numcodecs package."""
+    if not packed:
+        return raw
+    known = {"gzip": gzip.decompress, "zlib": zlib.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": lambda x: pa.decompress(x, size, "zstd").to_pybytes()}
+    if packed["id"] in known:
+        return known[packed["id"]](raw)
+    import numcodecs
+
+    return numcodecs.get_codec(packed).decode(raw)
+
+
+def _check_compressor(packed: dict | None) -> None:
+    if packed and packed["id"] not in ("gzip", "zlib", "bz2", "lzma", "zstd"):
+        try:
+            import numcodecs  # noqa: F401
+        except ImportError:
+            raise ValueError(f"unknown compressor {packed['id']}") from None
 
-    Missing chunks hold the fill value and give no rows. uint64 comes as bigint in two's complement.
+
+def _read_arrays(spark: SparkSession, arrays: Sequence[str], meta: dict, roi: tuple[Sequence[int], Sequence[int]] | None) -> DataFrame:
+    """(array, z, y, x, value) of arrays with one shape, chunk and type, by one scan of the chunk files that the box meets.
+
+    array is the number in the given order. Chunks without a file hold the fill value; where that is null they give no rows.
     """
-    at, meta, _ = volume_meta(spark, path, dataset)
     shape, chunk = meta["shape"], meta["chunks"]
     dims, sep = len(shape), meta.get("dimension_separator", ".")
     dtype, packed, order = np.dtype(meta["dtype"]), meta["compressor"], meta.get("order", "C")
-    if packed and packed["id"] not in ("gzip", "zlib"):
-        raise ValueError(f"unknown compressor {packed['id']}")
-    kind = "double" if dtype.kind == "f" else "long"
-    pattern = "/" + r"[/.]".join(["([0-9]+)"] * dims) + "$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).where(F.col("path").rlike(pattern))
-    index = [F.regexp_extract("path", pattern, i + 1).cast("long") for i in range(dims)]
-    if roi:
-        for i, b, e, c in zip(index, roi[0][-dims:], roi[1][-dims:], chunk):
-            files = files.where((i * c < e) & ((i + 1) * c > b))
-    low = list(roi[0][-dims:]) if roi else [0] * dims
-    high = [min(e, n) for e, n in zip(roi[1][-dims:], shape)] if roi else shape
+    _check_compressor(packed)
+    low = [max(0, b) for b in roi[0][-dims:]] if roi else [0] * dims
+    high = [min(e, n) for e, n in zip(roi[1][-dims:], shape)] if roi else list(shape)
+    spans = [range(b // c, max(b // c, -(-e // c))) for b, e, c in zip(low, high, chunk)]
+    kind, schema = ("double" if dtype.kind == "f" else "long"), "array int, z long, y long, x long, value "
+    if not all(spans) or not arrays:
+        return spark.createDataFrame([], schema + kind)
+    names = sep.join("{" + ",".join(map(str, span)) + "}" for span in spans)
+    globs = [f"{at}/{names}" for at in arrays]
+    globs = [g for g in globs if _matches(spark, g)]
+    wanted = spark.range(len(arrays)).select(F.col("id").cast("int").alias("array"))
+    for i, span in enumerate(spans):
+        wanted = wanted.withColumn(f"c{i}", F.explode(F.sequence(F.lit(span[0]).cast("long"), F.lit(span[-1]).cast("long"))))
+    index = [f"c{i}" for i in range(dims)]
+    number = F.create_map(*(x for i, at in enumerate(arrays) for x in (F.lit(_qualified(spark, at)), F.lit(i))))
+    pattern = "^(.*)/" + r"[/.]".join(["([0-9]+)"] * dims) + "$"
+
+    def files(content: bool) -> DataFrame:
+        if not globs:
+            return spark.createDataFrame([], "array int, " + "".join(f"{c} long, " for c in index) + "content binary")
+        found = spark.read.format("binaryFile").load(globs)
+        place = [F.regexp_extract("path", pattern, i + 2).cast("long").alias(c) for i, c in enumerate(index)]
+        array = F.try_element_at(number, F.regexp_extract("path", pattern, 1)).alias("array")
+        return found.select(array, *place, *([F.col("content")] if content else []))
+
+    fill = meta.get("fill_value")
+    chunks = files(True)
+    if fill is not None:
+        # names only are compared, contents aren't shuffled
+        chunks = chunks.unionByName(wanted.join(files(False), ["array", *index], "left_anti").withColumn("content", F.lit(None).cast("binary")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = content.as_py()
-                raw = gzip.decompress(raw) if packed and packed["id"] == "gzip" else zlib.decompress(raw) if packed else raw
-                block = np.frombuffer(raw, dtype).reshape(chunk, order=order)
+            for array, *place, content in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+                if (raw := content.as_py()) is None:
+                    block = np.full(chunk, fill, dtype)
+                else:
+                    block = np.frombuffer(_unpack(raw, packed, dtype.itemsize * int(np.prod(chunk))), dtype).reshape(chunk, order=order)
                 grids = np.indices(chunk).reshape(dims, -1) + (np.array(place) * chunk)[:, None]
                 keep = np.all((grids >= np.array(low)[:, None]) & (grids < np.array(high)[:, None]), axis=0)
                 values = block.ravel()[keep]
                 values = values.astype(np.float64) if dtype.kind == "f" else values.astype(np.int64)
                 coordinates = [np.zeros(keep.sum(), np.int64)] * (3 - dims) + list(grids[:, keep])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, coordinates), pa.array(values)], names=["z", "y", "x", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), array, np.int32)), *map(pa.array, coordinates), pa.array(values)], names=["array", "z", "y", "x", "value"])
+
+    return chunks.mapInArrow(decode, schema + kind)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    p, store = _hadoop(spark, path)
+    return store.makeQualified(p).toString()
+
 
-    made = files.select(F.array(*index).alias("place"), "content").mapInArrow(decode, f"z long, y long, x long, value {kind}")
-    return made.select(F.lit(volume_id or path.rstrip("/").rsplit("/", 1)[-1]).alias("volume_id"), *AXES, "value")
+def read_volume(spark: SparkSession, path: str, dataset: str, roi: tuple[Sequence[int], Sequence[int]] | None = None, volume_id: str | None = None) -> DataFrame:
+    """A1: (volume_id, z, y, x, value) of a 2D or 3D array; 2D ones have z 0. roi is (begin, end) in voxels.
+
+    Only chunks that the box meets are listed and opened. Missing chunks hold the fill value. uint64 comes as bigint in
+    two's complement.
+    """
+    at, meta, _ = volume_meta(spark, path, dataset)
+    name = F.lit(volume_id or path.rstrip("/").rsplit("/", 1)[-1])
+    return _read_arrays(spark, [at], meta, roi).select(name.alias("volume_id"), *AXES, "value")
 
 
 def write_volume(df: DataFrame, path: str, dataset: str, shape: Sequence[int], chunk: Sequence[int], dtype: str = "|u1", attributes: dict | None = None, mode: str = "overwrite", raw: DataFrame | None = None) -> None:
-    """A4: voxels (z, y, x, value) as a gzip-5 array; voxels without a row hold 0.
+    """A4: voxels (z, y, x, value) as a gzip-5 array; voxels without a row hold 0. A shape of two numbers takes y and x only.
 
     Each chunk is encoded by its task and written by pyarrow's file system; the dataset is deleted first on overwrite.
     raw, where given, goes to <root>/volumes/raw next to it.
@@ -119,15 +182,17 @@ def write_volume(df: DataFrame, path: str, dataset: str, shape: Sequence[int], c
     put(".zarray", json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": list(chunk), "dtype": dtype, "compressor": {"id": "gzip", "level": 5}, "fill_value": 0, "order": "C", "filters": None}).encode())
     put(".zattrs", json.dumps(attributes or {}).encode())
 
+    axes = AXES[-len(shape) :]
+
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = [int(pdf[f"c{a}"].iloc[0]) for a in AXES]
+        index = [int(pdf[f"c{a}"].iloc[0]) for a in axes]
         block = np.zeros(chunk, np.dtype(dtype))
-        block[tuple(pdf[a].to_numpy() - i * n for a, i, n in zip(AXES, index, chunk))] = pdf["value"].to_numpy().astype(np.dtype(dtype))
+        block[tuple(pdf[a].to_numpy() - i * n for a, i, n in zip(axes, index, chunk))] = pdf["value"].to_numpy().astype(np.dtype(dtype))
         put(".".join(map(str, index)), gzip.compress(block.tobytes(), 5, mtime=0))
         return pd.DataFrame({"voxels": [len(pdf)]})
 
-    placed = df.select(*AXES, "value", *(F.floor(F.col(a) / n).alias(f"c{a}") for a, n in zip(AXES, chunk)))
-    placed.groupBy(*(f"c{a}" for a in AXES)).applyInPandas(encode, "voxels long").agg(F.sum("voxels")).collect()
+    placed = df.select(*AXES, "value", *(F.floor(F.col(a) / n).alias(f"c{a}") for a, n in zip(axes, chunk)))
+    placed.groupBy(*(f"c{a}" for a in axes)).applyInPandas(encode, "voxels long").agg(F.sum("voxels")).collect()
     if raw is not None:
         write_volume(raw, path, "volumes/raw", shape, chunk, "|u1", attributes, mode)
 
@@ -144,21 +209,32 @@ def list_datasets(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(found), "dataset string")
 
 
-def read_volumes(spark: SparkSession, paths: Sequence[str], dataset: str) -> DataFrame:
-    """Several containers in one table; 2D sections dataset/0, dataset/1, ... are stacked in the order of their numbers."""
-    out = None
-    for path in sorted(paths, key=natural_key):
+def read_volumes(spark: SparkSession, paths: Sequence[str] | str, dataset: str) -> DataFrame:
+    """Several containers (a list or a glob) in one table; sections dataset/0, dataset/1, ... have their number as z.
+
+    Arrays of one shape, chunk and type are one scan, however many sections there are.
+    """
+    found = _matches(spark, paths) if isinstance(paths, str) else sorted(paths, key=natural_key)
+    alike: dict[str, tuple[dict, list[tuple[str, str, int | None]]]] = {}
+    for path in found:
         names = [r.dataset for r in list_datasets(spark, path).collect()]
         sections = sorted((n for n in names if n.startswith(f"{dataset}/") and n.rsplit("/", 1)[-1].isdigit()), key=natural_key)
-        parts = [read_volume(spark, path, n).withColumn("z", F.lit(int(n.rsplit("/", 1)[-1])).cast("bigint")) for n in sections] or [read_volume(spark, path, dataset)]
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
+        for n in sections or [dataset]:
+            at, meta, _ = volume_meta(spark, path, n)
+            own = path.rstrip("/").rsplit("/", 1)[-1], at, int(n.rsplit("/", 1)[-1]) if sections else None
+            alike.setdefault(json.dumps(meta, sort_keys=True), (meta, []))[1].append(own)
+    out = None
+    for meta, own in alike.values():
+        at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("array") + 1)
+        z = F.coalesce(at([x[2] for x in own]).cast("bigint"), F.col("z"))
+        part = _read_arrays(spark, [x[1] for x in own], meta, None).select(at([x[0] for x in own]).alias("volume_id"), z.alias("z"), "y", "x", "value")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(str(paths))
     return out
 
 
 def natural_key(name: str) -> list:
-    import re
-
     return [int(p) if p.isdigit() else p.lower() for p in re.split(r"([0-9]+)", name)]
 
 
@@ -169,8 +245,7 @@ def copy_datasets(spark: SparkSession, sources: Sequence[str], target: str, name
         for name in names:
             if name in have:
                 _, meta, attributes = volume_meta(spark, source, name)
-                lead = [1] * (3 - len(meta["shape"]))
-                write_volume(read_volume(spark, source, name), f"{target}/{source.rstrip('/').rsplit('/', 1)[-1]}", name, lead + meta["shape"], lead + meta["chunks"], meta["dtype"], attributes)
+                write_volume(read_volume(spark, source, name), f"{target}/{source.rstrip('/').rsplit('/', 1)[-1]}", name, meta["shape"], meta["chunks"], meta["dtype"], attributes)
 
 
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:

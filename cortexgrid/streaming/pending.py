@@ -14,7 +14,11 @@ def log_stream(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> Data
 
 
 def first_entries(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first row of each block; repeats within the watermark are dropped, later ones ignored."""
+    """The first row of each block; repeats within the watermark are dropped.
+
+    Rows older than the watermark are ignored, first ones too: a block whose only row comes so late stays pending in the
+    stream, and pending_blocks over the whole log finds it finished.
+    """
     return log.withWatermark("start", late).dropDuplicatesWithinWatermark(["block_id"])
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cortexgrid.functions import pixels as P
+from cortexgrid.operators import features as E
 from cortexgrid.operators import fragments as R
 from cortexgrid.operators import graph as H
 from cortexgrid.operators import oplog as L
@@ -15,6 +16,7 @@ from cortexgrid.operators import resample as D
 from cortexgrid.operators import sections as S
 from cortexgrid.operators.components import connected_components
 from cortexgrid.plans import fixtures as fx
+from cortexgrid.plans import scratch_root
 from cortexgrid.plans.queries import QUERIES
 from cortexgrid.sources import volumes as V
 
@@ -191,3 +193,97 @@ def test_image_folder(spark, tmp_path):
 def test_ssim_of_equal_images_is_one(spark):
     rows = [(0, y, x, (y * x) % 9, (y * x) % 9) for y in range(9) for x in range(9)]
     assert D.ssim(spark.createDataFrame(rows, "pair_id long, y long, x long, a int, b int"), 9, 9).first().score == pytest.approx(1.0)
+
+
+def test_an_edge_at_a_threshold_merges(spark):
+    met = [(1, 2, a) for a in [0.65] * 13] + [(2, 3, 0.6499999)]
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    edges = H.score_edges(spark.createDataFrame(met, "u long, v long, a double"))
+    for found in (H.agglomerate(nodes, edges, 0.35), H.segment(nodes, edges, 0.35), H.sweep(nodes, edges, (0.35,)).drop("name")):
+        got = {r.node: r.segment for r in found.collect()}
+        assert got[1] == got[2] != got[3]
+
+
+def test_seeds_of_two_volumes(spark):
+    rows = [(v, 0, 0, x, s) for v, seeds in ((0, (0, 1)), (1, (1, 2, 5))) for x in range(6) for s in [int(x in seeds)]]
+    got = R.label_seeds(spark.createDataFrame(rows, "volume_id int, z long, y long, x long, seed int"), ("y", "x"))
+    assert {(r.volume_id, r.x): r.seed_id for r in got.collect()} == {(0, 0): 1, (0, 1): 1, (1, 1): 2, (1, 2): 2, (1, 5): 3}
+
+
+def test_descriptors_of_another_label_in_3d(spark):
+    a = np.random.default_rng(5).integers(0, 3, (6, 6, 6))
+    sigma, got = 1.0, {(r.z, r.y, r.x): r.lsds for r in E.shape_descriptors(cube(spark, a, "cell"), 1.0, downsample=2, label="cell").collect()}
+    small = a[::2, ::2, ::2]
+    inside = [tuple(p) for p in np.argwhere(small > 0)]
+    assert set(got) == set(inside)
+    for p in inside:
+        near = [np.subtract(q, p) for q in inside if small[q] == small[p] and sum((i - j) ** 2 for i, j in zip(p, q)) <= 9 * sigma**2]
+        w = np.array([np.exp(-0.5 * (d @ d) / sigma**2) for d in near])
+        d = np.array(near, float)
+        mean = w @ d / w.sum()
+        cov = np.einsum("i,ij,ik->jk", w, d, d) / w.sum() - np.outer(mean, mean)
+        assert got[p] == pytest.approx([*mean, cov[0, 0], cov[1, 1], cov[2, 2], cov[0, 1], cov[0, 2], cov[1, 2], w.sum()], abs=1e-9)
+
+
+def test_a_box_opens_only_its_chunks(spark, tmp_path):
+    path = f"{tmp_path}/v.zarr"
+    a = np.arange(8 * 4).reshape(1, 8, 4)
+    df = cube(spark, a, "value")
+    V.write_volume(df, path, "raw", a.shape, (1, 2, 2))
+    for name in ("0.2.0", "0.3.1"):  # outside the box: opening them would fail
+        (tmp_path / "v.zarr" / "raw" / name).write_bytes(b"no chunk")
+    (tmp_path / "v.zarr" / "raw" / "0.1.0").unlink()  # inside: the fill value
+    got = {(r.y, r.x): r.value for r in V.read_volume(spark, path, "raw", ((0, 1, 0), (1, 4, 4))).collect()}
+    assert got == {(y, x): 0 if y > 1 and x < 2 else a[0, y, x] for y in range(1, 4) for x in range(4)}
+    assert V.read_volume(spark, path, "raw", ((0, 3, 0), (1, 3, 4))).count() == 0
+
+
+def test_numbered_sections_and_globs(spark, tmp_path):
+    rng, want = np.random.default_rng(2), {}
+    for name, sections in (("b", 12), ("a", 2)):
+        for n in range(sections):
+            own = rng.integers(0, 200, (1, 4, 4))
+            V.write_volume(cube(spark, own, "value"), f"{tmp_path}/{name}.zarr", f"raw/{n}", (4, 4), (2, 4))
+            want |= {(f"{name}.zarr", n, y, x): int(own[0, y, x]) for y in range(4) for x in range(4)}
+    got = V.read_volumes(spark, f"{tmp_path}/*.zarr", "raw")
+    assert {(r.volume_id, r.z, r.y, r.x): r.value for r in got.collect()} == want
+    with pytest.raises(FileNotFoundError):
+        V.read_volumes(spark, f"{tmp_path}/none*.zarr", "raw")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        scratch_root(Session)
+
+
+def slow_flood(height, marks):
+    """Level by level instead of by a heap: of all labelled voxels' unlabelled neighbours the lowest, then first, is next."""
+    labels, level = marks.copy(), {}
+    for p in map(tuple, np.argwhere(marks > 0)):
+        level[p] = height[p]
+    done = set()
+    while len(done) < len(level):
+        p = min((q for q in level if q not in done), key=lambda q: (level[q], q))
+        done.add(p)
+        for axis in range(3):
+            for step in (-1, 1):
+                q = p[:axis] + (p[axis] + step,) + p[axis + 1 :]
+                if 0 <= q[axis] < labels.shape[axis] and labels[q] == 0:
+                    labels[q], level[q] = labels[p], max(level[p], height[q])
+    return labels
+
+
+def test_flood_against_a_plain_one():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        height = rng.integers(0, 5, (4, 5, 5)).astype(float)  # many ties
+        marks = np.where(rng.random(height.shape) < 0.06, rng.integers(1, 9, height.shape), 0)
+        assert (R.flood(height, marks) == slow_flood(height, marks)).all()
