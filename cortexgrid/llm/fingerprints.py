@@ -104,6 +104,16 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in ["text", *columns]}).where("_kind = 0").drop("_bucket", "_kind")
 
 
+def edited_texts(docs: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
+    """with_next of docs' doc_id and text (null: empty), and edited: the text with its last floor(n_chars / 2) code points
+    replaced by the first as many (or all) of the next document."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    return with_next(given, columns or {}).withColumn("edited", edited)
+
+
 def document_fingerprints(docs: DataFrame, words: int = SHINGLE, k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, sketch, edited_sketch, near_edited, near_next) for each row of docs.
 
@@ -112,12 +122,7 @@ def document_fingerprints(docs: DataFrame, words: int = SHINGLE, k: int = K) ->
     have equal sketches, a single row is its own next one, rows that repeat a doc_id follow each other by text, and
     other columns are ignored. Empty docs give no rows.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = with_next(given, {"sketch": sketch(F.col("text"), words, k)})
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    both = made.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    both = edited_texts(docs, {"sketch": sketch(F.col("text"), words, k)}).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited_sketch", sketch(F.col("edited"), words, k))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sketch", "edited_sketch",

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cortexgrid.llm.tokens import mix, shingle_sets
 from cortexgrid.operators.components import components_of_edges
-from cortexgrid.plans import materialize
+from cortexgrid.plans import drop, materialize
 
 #: Sketch counters for each segment, and rows that a one-deletion neighbourhood costs against one colliding pair.
 COUNTERS = 4
@@ -270,6 +270,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     more = materialize(verify_pairs(materialize(across, "across"), docs, words, percent), "more")
     edges = linked.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     whole = materialize(components_of_edges(edges), "whole")
+    drop(copies, shared, sketches, star, linked, part, open_keys, more)
     by_set = groups.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     return sets.join(by_set, "set_hash", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

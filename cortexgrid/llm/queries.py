@@ -84,6 +84,22 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.document_licenses(_table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_quality_rules counts before any rule is learned."""
+    counted = rules.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that op5_fingerprints compares."""
+    return fingerprints.edited_texts(_table(spark, sf_dir, "documents")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_licenses finds by phrases alone."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -96,6 +112,9 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
+    "quality_base": quality_base,
+    "fingerprint_edits": fingerprint_edits,
+    "license_phrases": license_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,5 +141,31 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a AS doc_id, a AS reach FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT doc_id, min(reach) AS low FROM r GROUP BY 1) m ON m.doc_id = s.doc_id
+""",
+    "quality_base": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+e AS (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM w),
+v AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS run FROM e),
+g AS (SELECT doc_id, i, array_to_string(run, ' ') AS run FROM v WHERE len(run) = 8),
+twice AS (SELECT doc_id, run FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM g JOIN twice USING (doc_id, run)) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+""",
+    "fingerprint_edits": r"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS after FROM documents)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2)) AS edited_sha256 FROM n
+""",
+    "license_phrases": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+e AS (SELECT doc_id, unnest(range(0, len(ws))) AS place, unnest(ws) AS a FROM w),
+n AS (SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+hit AS (SELECT doc_id, place, CASE WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' WHEN a = 'all' AND b = 'rights' AND c = 'reserved' THEN 'reserved' END AS label FROM n),
+s AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM hit WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN s USING (doc_id)
 """,
 }

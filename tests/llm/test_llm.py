@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -479,6 +480,45 @@ def test_rates_of_overlapping_margins(spark):
     assert {(r.lang, r.rate) for r in zero.collect()} == {("en", 0.0), ("de", 1.0)}
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    given = [r for r in pq.read_table(f"{SF}/documents.parquet").to_pylist() if len(words(r["text"])) > 3][:70]
+    copy = dict(given[0], doc_id=900, text=given[0]["text"] + " with a few more words at its end")
+    given += [copy, dict(given[1], doc_id=901), dict(given[0], doc_id=902, text="12 34 56"), dict(given[0], doc_id=903, text=None)]
+    pq.write_table(pa.Table.from_pylist(given, pq.read_schema(f"{SF}/documents.parquet")), f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = [r for r in given if any(map(str.isalpha, r["text"] or ""))]  # language
+    place = [(r["doc_id"], k, line.decode()) for r in sorted(kept, key=lambda r: r["doc_id"]) for k, line in enumerate(lines.normalised_lines(r["text"])) if line]
+    first = list(range(len(place)))  # lines: the first of each group of similar ones stays
+    find = lambda k: k if first[k] == k else find(first[k])
+    for k, (_, _, a) in enumerate(place):
+        near = [j for j in range(k) if 100 * abs(len(a) - len(place[j][2])) <= 20 * max(len(a), len(place[j][2]))]
+        most = np.array([max(len(a), len(place[j][2])) // 5 for j in near], np.int64)
+        for j, hit in zip(near, edits.within([a] * len(near), [place[j][2] for j in near], most) if near else ()):
+            if hit:
+                x, y = sorted((find(j), find(k)))
+                first[y] = x
+    gone = {place[k][:2] for k in range(len(place)) if find(k) != k}
+    texts = {r["doc_id"]: "\n".join(x for k, x in enumerate(r["text"].split("\n")) if (r["doc_id"], k) not in gone) for r in kept}
+    parent, _ = brute_components(sorted(texts.items()), 5, 80)  # near copies
+    texts = {d: t for d, t in texts.items() if parent[d] == d}
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    digest = {d: hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for d, x in texts.items()}
+    assert {(r.doc_id, r.ids_sha256) for r in out} <= set(digest.items())
+    # the mix: every source near its target, no document more than three times
+    source = {r["doc_id"]: r["source"] for r in given}
+    size = {d: len(words(x)) for d, x in texts.items()}
+    sums = Counter()
+    for d in size:
+        sums[source[d]] += size[d]
+    targets = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sums.items()), "source string, source_size long")).collect()}
+    taken, times = Counter(), Counter(r.doc_id for r in out)
+    for d, n in times.items():
+        taken[source[d]] += n * size[d]
+    assert max(times.values()) <= 3 and all(abs(taken[s] - targets[s]) <= max(size.values()) for s in targets)
+
+
 CLASHES = ["best", "logs", "suffix", "corpus", "own", "all", "rows", "low", "_id", "_text", "_source", "_drop", "_gone", "n", "u", "v", "line", "lines", "row", "mate", "at", "rank", "size", "copies", "target", "words"]
 
 
@@ -555,3 +595,16 @@ def test_edit_distances(monkeypatch):
     for long in (5, 40, 256):
         monkeypatch.setattr(edits, "LONG", long)
         assert all((edits.within(left, right, np.full(len(left), most)) == (want <= most)).all() for most in (0, 2, 5, 9))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    result = con.sql(queries.ORACLE_SQL[name])
+    assert columns == sorted(result.columns)
+    want = result.select(*map(duckdb.ColumnExpression, columns)).fetchall()
+    assert sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(want, key=repr)
