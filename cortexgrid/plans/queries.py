@@ -91,6 +91,14 @@ def b3_block_grid(spark, sf_dir):
     return B.block_grid(spark, (0, 0, 0), (depth(spark, sf_dir), 8, 8), BLOCK, CONTEXT)
 
 
+@query("b3_block_grid_overhang", f"""WITH d AS {_N}, c AS (SELECT CAST(ceil(n / 16.0) AS BIGINT) AS nz FROM d)
+SELECT 0 AS volume_id, (iz * 3 + iy) * 3 + ix AS block_id, iz * 16 AS write_begin_z, iz * 16 + 16 AS write_end_z, iz * 16 - 2 AS read_begin_z, iz * 16 + 18 AS read_end_z,
+  iy * 3 AS write_begin_y, iy * 3 + 3 AS write_end_y, iy * 3 - 1 AS read_begin_y, iy * 3 + 4 AS read_end_y, ix * 3 AS write_begin_x, ix * 3 + 3 AS write_end_x, ix * 3 - 1 AS read_begin_x, ix * 3 + 4 AS read_end_x
+FROM (SELECT unnest(range(0, nz)) AS iz FROM c), (SELECT unnest(range(0, 3)) AS iy), (SELECT unnest(range(0, 3)) AS ix)""")
+def b3_block_grid_overhang(spark, sf_dir):
+    return B.block_grid(spark, (0, 0, 0), (depth(spark, sf_dir), 8, 8), BLOCK, CONTEXT, "overhang")
+
+
 @query("b4_coverage", _grid_sql(False))
 def b4_coverage(spark, sf_dir):
     begin, shape = B.coverage((0, 0, 0), (depth(spark, sf_dir), 8, 8), CONTEXT, "valid")
@@ -301,6 +309,13 @@ def d4_pad_to_multiple(spark, sf_dir):
     return D.pad_to_multiple(fx.raw(spark, sf_dir), (depth(spark, sf_dir), 8, 8), (40, 9, 12))
 
 
+@query("d4_pad_edge", f"""WITH d AS {_N}, s AS (SELECT n, CASE WHEN n % 40 = 0 THEN 0 ELSE 40 * (n // 40 + 1) - n END AS p FROM d),
+g AS (SELECT *, unnest(range(0, n + p)) AS z FROM s), gg AS (SELECT z, n, p, y, x FROM g, (SELECT unnest(range(0, 9)) AS y), (SELECT unnest(range(0, 12)) AS x))
+SELECT 0 AS volume_id, gg.z, gg.y, gg.x, r.raw FROM gg LEFT JOIN fx_raw r ON r.z = greatest(0, least(n - 1, gg.z - p // 2)) AND r.y = least(7, gg.y) AND r.x = greatest(0, least(7, gg.x - 2))""")
+def d4_pad_edge(spark, sf_dir):
+    return D.pad_to_multiple(fx.raw(spark, sf_dir), (depth(spark, sf_dir), 8, 8), (40, 9, 12), "edge")
+
+
 _HIST = "SELECT v, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 255)) AS v) LEFT JOIN (SELECT least(raw, 254) AS v, count(*) AS n FROM {} GROUP BY 1) USING (v)"
 
 
@@ -571,6 +586,14 @@ def f12_rag_edges(spark, sf_dir):
     return H.rag_edges(fx.labels(spark, sf_dir))
 
 
+_FACE_PAIRS = "(SELECT * FROM (VALUES (-1, 0, 0), (0, -1, 0), (0, 0, -1)) t(dz, dy, dx))"
+
+
+@query("f12_rag_edges_faces", f"WITH s AS MATERIALIZED (SELECT label, z + dz AS bz, y + dy AS bx_y, x + dx AS bx FROM fx_labels, {_FACE_PAIRS} WHERE label > 0), j AS MATERIALIZED (SELECT s.label AS la, b.label AS lb FROM s JOIN fx_labels b ON b.z = bz AND b.y = bx_y AND b.x = bx) SELECT DISTINCT least(la, lb) AS u, greatest(la, lb) AS v FROM j WHERE lb > 0 AND la <> lb")
+def f12_rag_edges_faces(spark, sf_dir):
+    return H.rag_edges(fx.labels(spark, sf_dir), 1)
+
+
 _CONTACTS = """WITH o AS (SELECT * FROM (VALUES (1, -1, 0, 0), (2, 0, -1, 0), (3, 0, 0, -1)) t(c, dz, dy, dx)),
 s AS MATERIALIZED (SELECT label, c, z, y, x, z + dz AS bz, y + dy AS bx_y, x + dx AS bx FROM fx_labels, o WHERE label > 0),
 j AS MATERIALIZED (SELECT s.label AS la, b.label AS lb, c, s.z, s.y, s.x FROM s JOIN fx_labels b ON b.z = bz AND b.y = bx_y AND b.x = bx),
@@ -674,6 +697,11 @@ def g2_pending_blocks(spark, sf_dir):
     return L.pending_blocks(fx.log(spark, sf_dir).select("block_id"), fx.done(spark, sf_dir))
 
 
+@query("g2_pending_overwrite", "SELECT block_id FROM fx_log")
+def g2_pending_overwrite(spark, sf_dir):
+    return L.pending_blocks(fx.log(spark, sf_dir).select("block_id"), fx.done(spark, sf_dir), overwrite=True)
+
+
 @query("g3_pending_by_nodes", "WITH g AS (SELECT unnest(range(0, 10 * 20 * 10)) AS block_id) SELECT block_id FROM g WHERE block_id NOT IN (SELECT CAST((floor(center_z / 5) * 20 + floor(center_y / 100)) * 10 + floor(center_x / 10) AS BIGINT) FROM fx_rag_nodes WHERE center_z >= 0 AND center_z < 50 AND center_y >= 0 AND center_y < 2000 AND center_x >= 0 AND center_x < 100)")
 def g3_pending_by_nodes(spark, sf_dir):
     grid = B.block_grid(spark, (0, 0, 0), (50, 2000, 100), (5, 100, 10)).select("block_id")
