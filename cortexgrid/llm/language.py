@@ -147,7 +147,7 @@ def identify_languages(df: DataFrame, text: str, declared: str, host: str | None
     best = _best(F.col("_lid_scores"), n)
     top = F.array_max("_lid_scores")
     mass = F.aggregate("_lid_scores", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    out = joined.withColumn("language", F.element_at(F.array(*map(F.lit, names)), best)).withColumn("confidence", F.coalesce(1.0 / mass, F.lit(0.0)))
+    out = joined.withColumn("language", F.get(F.array(*map(F.lit, names)), best - 1)).withColumn("confidence", F.coalesce(1.0 / mass, F.lit(0.0)))
     kept = F.col("language").isin(*languages) & (F.col("confidence") >= threshold)
     return out.select(*rest, "language", "confidence", F.coalesce(kept, F.lit(False)).alias("kept"))
 

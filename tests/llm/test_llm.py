@@ -145,6 +145,49 @@ def test_language(docs, none):
     assert language.keep_identified(docs).columns == docs.columns and language.document_languages(none).count() == 0
 
 
+def test_language_posterior_against_plain_sums(spark):
+    texts = {"en": "the house and the dog of the man", "fr": "le chien et la maison de les amis", "de": "der hund und das haus von dem mann", "es": "el perro y la casa de los amigos"}
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(texts))
+        words_ = texts[lang].split() + (texts[rng.choice(list(texts))].split() if i % 4 == 0 else [])
+        text = " ".join(rng.choice(words_) for _ in range(rng.choice((1, 3, 8, 120))))
+        rows.append((i, None if i == 7 else "123" if i == 8 else text, rng.choice([lang, lang, "xx", None]), rng.choice(["a", "b", None]), rng.choice(["com", "org"])))
+    rows += [rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, said string, host string, ending string")
+    got = {r.doc_id: r for r in language.identify_languages(df, "text", "said", "host", F.col("ending"), evidence_pairs=50).collect()}
+    names, n = [*language.LANGUAGES, language.OTHER], 5
+    pairs = lambda t: [d[k] * 256 + d[k + 1] for d in [language._bytes(t)] for k in range(len(d) - 1)]
+    counts = np.zeros((65536, n))
+    for _, t, said, *_ in rows:
+        if said in names:
+            np.add.at(counts[:, names.index(said)], np.array(pairs(t), int), 1)
+    logs = np.log((counts + 0.5) / (counts.sum(0) + 65536 * 0.5))
+    logs[:, -1] = language.OTHER_LOG
+    lik = [logs[pairs(t)].sum(0) * min(1, 50 / len(pairs(t))) if pairs(t) else None for _, t, *_ in rows]
+    best = [None if x is None else int(np.argmax(x)) for x in lik]
+
+    def counted(test):
+        return np.bincount([b for b, r in zip(best, rows) if b is not None and test(r)], minlength=n).astype(float)
+
+    smooth = lambda own, above, weight: (own + weight * above) / (own.sum() + weight)
+    corpus = smooth(counted(lambda r: True), np.full(n, 1 / n), 1.0)
+    seen = sum(b is not None for b in best)
+    for x, r in zip(lik, rows):
+        if x is None:
+            assert got[r[0]].language is None and not got[r[0]].kept
+            continue
+        suffix = smooth(counted(lambda o: o[4] == r[4]), corpus, 20)
+        host = smooth(counted(lambda o: o[4] == r[4] and o[3] == r[3]), suffix, 20)
+        own = counted(lambda o: (o[2] or "") == (r[2] or ""))
+        trust = (own + 20 * own.sum() / seen) / (counted(lambda o: True) + 20)
+        score = x + np.log(host) + np.log(trust)
+        p = np.exp(score - score.max())
+        assert got[r[0]].confidence == pytest.approx(1 / p.sum(), rel=2e-3)
+        assert got[r[0]].language == names[int(np.argmax(score))] or np.sort(p)[-2] > 0.99
+
+
 def test_pages_language(spark):
     rows = [(1, "http://a.example.fr/x", '<html lang="fr"><p>La maison de le jardin est dans la ville</p></html>'), (2, None, None), (3, "http://a.example.fr/y", "<html><script>x</script></html>")] * 3
     got = {r.page_id: r for r in language.page_languages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
