@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cortexgrid.llm.tokens import tidy
+
 #: Characters of text whose distinct words share one trie.
 CHUNK_CHARS = 2_000_000
 #: Entries of a worker's table of encoded words, and of its table of tested token pairs.
@@ -208,12 +210,15 @@ def _load(kind: type, path: str):
     return _loaded[kind, path]
 
 
-def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.DataType, kind: type, path: str, fn: Callable[[Vocabulary, list], list]) -> DataFrame:
-    """df with one more column computed over chunks of rows; fn takes the vocabulary and the column's values and gives a list.
+def _added(df: DataFrame, column: str, fields: list[tuple[T.StructField, pa.DataType]], kind: type, path: str, fn: Callable[[Vocabulary, list], list[list]]) -> DataFrame:
+    """df with more columns computed over chunks of rows; fn takes the vocabulary and column's values and gives lists.
 
     A worker keeps the vocabulary for its next task, but not the words that this one has met.
     """
-    schema = T.StructType([*df.schema.fields, field])
+    for field, _ in fields:
+        if field.name in df.columns:
+            raise ValueError(f"column {field.name} exists")
+    schema = T.StructType([*df.schema.fields, *(field for field, _ in fields)])
     at = df.columns.index(column)
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -230,12 +235,12 @@ def _added(df: DataFrame, column: str, field: T.StructField, arrow_type: pa.Data
         try:
             for batch in batches:
                 for part in parts(batch):
-                    made = pa.array(fn(coder, part.column(at).to_pylist()), arrow_type)
-                    yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, field.name])
+                    made = [pa.array(values, of) for values, (_, of) in zip(fn(coder, part.column(at).to_pylist()), fields)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(field.name for field, _ in fields)])
         finally:
             coder.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "bpe_ids") -> DataFrame:
@@ -245,16 +250,30 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "bp
     string within a text is that token. Null texts count as empty and give empty ids; repeated rows stay; an empty df
     gives no rows; the name given by ids must be new, all other columns pass through unchanged.
     """
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists")
-    return _added(df, text, T.StructField(ids, T.BinaryType(), False), pa.binary(), TrieEncoder, tokenizer, lambda coder, texts: coder.encode([x or "" for x in texts]))
+    return _added(df, text, [_id_field(ids)], TrieEncoder, tokenizer, lambda coder, texts: [coder.encode([x or "" for x in texts])])
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", text: str = "decoded") -> DataFrame:
     """df with the text of a packed id column, special tokens included. Null ids give an empty text."""
-    if text in df.columns:
-        raise ValueError(f"column {text} exists")
-    return _added(df, ids, T.StructField(text, T.StringType(), False), pa.string(), Vocabulary, tokenizer, lambda coder, packed: [coder.decode(x or b"") for x in packed])
+    return _added(df, ids, [_text_field(text)], Vocabulary, tokenizer, lambda coder, packed: [[coder.decode(x or b"") for x in packed]])
+
+
+def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "bpe_ids", decoded: str = "decoded") -> DataFrame:
+    """bpe_encode and bpe_decode of its ids in one pass, so that a task takes one worker and not two."""
+
+    def both(coder: TrieEncoder, texts: list) -> list[list]:
+        packed = coder.encode([x or "" for x in texts])
+        return [packed, list(map(coder.decode, packed))]
+
+    return _added(df, text, [_id_field(ids), _text_field(decoded)], TrieEncoder, tokenizer, both)
+
+
+def _id_field(name: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(name, T.BinaryType(), False), pa.binary()
+
+
+def _text_field(name: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(name, T.StringType(), False), pa.string()
 
 
 def n_ids(packed: Column | str) -> Column:

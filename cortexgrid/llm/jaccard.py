@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cortexgrid.llm.tokens import mix, shingle_sets
+from cortexgrid.llm.tokens import mix, shingle_sets, tidy
 from cortexgrid.operators.components import components_of_edges
 from cortexgrid.plans import drop, materialize
 
@@ -148,7 +148,7 @@ def document_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFra
                 yield rows(none, none, none, none, none, np.full(len(used), level), used, counters[used].tolist(), np.full(len(used), docs_at[level]))
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return given.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, odd array<long>, level int, segment int, counters array<long>, at_level long")
+    return given.mapInArrow(tidy(run), "doc_id long, text_hash long, n_shingles long, set_hash binary, odd array<long>, level int, segment int, counters array<long>, at_level long")
 
 
 def segment_weights(sketches: DataFrame) -> dict[int, dict[int, int]]:
@@ -195,7 +195,7 @@ def index_keys(docs: DataFrame, weights: dict[int, dict[int, int]], words: int =
         if keys:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "key long, doc_id long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -228,7 +228,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, words: int = 4, percent: int
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

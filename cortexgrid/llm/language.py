@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cortexgrid.llm.tokens import tidy
 from cortexgrid.plans import materialize
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -56,7 +57,7 @@ def byte_pair_counts(df: DataFrame, text: str, declared: str, languages: tuple[s
         if len(which):
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(sums[which, pair])], names=["language", "pair", "n"])
 
-    return df.select(text, declared).mapInArrow(run, "language int, pair int, n long").groupBy("language", "pair").agg(F.sum("n").alias("n"))
+    return df.select(text, declared).mapInArrow(tidy(run), "language int, pair int, n long").groupBy("language", "pair").agg(F.sum("n").alias("n"))
 
 
 def _profiles(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
@@ -92,7 +93,7 @@ def text_evidence(df: DataFrame, text: str, profiles: np.ndarray, evidence_pairs
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.list_(pa.float64()))], names=[*names, "_lid_logs"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _best(scores: Column, n: int) -> Column:

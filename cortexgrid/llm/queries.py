@@ -24,9 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.bpe_encode(docs.select("doc_id", "text"), path)
-    back = bpe.bpe_decode(coded.select("doc_id", "bpe_ids"), path)
+    back = bpe.bpe_round_trip(docs.select("doc_id", "text"), tokenizer_path())
     return back.select(
         "doc_id",
         bpe.n_ids("bpe_ids").alias("n_tokens"),
