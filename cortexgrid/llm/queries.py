@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexgrid.llm import bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, warc
+from cortexgrid.llm import bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, substrings, warc
 
 
 def tokenizer_path() -> str:
@@ -82,6 +82,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.document_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=35)
+    return kept.select("doc_id", "n_words", "n_removed", substrings.digest("text").alias("kept_sha256"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3_quality_rules counts before any rule is learned."""
     counted = rules.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_substrings": op11_substrings,
     "quality_base": quality_base,
     "fingerprint_edits": fingerprint_edits,
     "license_phrases": license_phrases,
@@ -139,6 +145,16 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a AS doc_id, a AS reach FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT doc_id, min(reach) AS low FROM r GROUP BY 1) m ON m.doc_id = s.doc_id
+""",
+    "op11_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY run) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+e AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """,
     "quality_base": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
