@@ -7,7 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexgrid.llm import bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, substrings, warc
+from cortexgrid.llm import alignment, bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, substrings, warc
+
+
+def pieces_path() -> str:
+    """The published sentencepiece model; PIECE_MODEL names another file."""
+    if named := os.environ.get("PIECE_MODEL"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def tokenizer_path() -> str:
@@ -87,6 +96,11 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", substrings.digest("text").alias("kept_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path(), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3_quality_rules counts before any rule is learned."""
     counted = rules.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -116,6 +130,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_substrings": op11_substrings,
+    "op12_alignment": op12_alignment,
     "quality_base": quality_base,
     "fingerprint_edits": fingerprint_edits,
     "license_phrases": license_phrases,
