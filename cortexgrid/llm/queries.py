@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexgrid.llm import alignment, bpe, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, substrings, warc
+from cortexgrid.llm import alignment, bpe, conversations, fingerprints, jaccard, language, licenses, lines, mixing, rules, shards, substrings, warc
 
 
 def pieces_path() -> str:
@@ -101,6 +101,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return conversations.conversation_digests(given, conversations.damaged(given))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3_quality_rules counts before any rule is learned."""
     counted = rules.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -131,6 +136,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_substrings": op11_substrings,
     "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
     "quality_base": quality_base,
     "fingerprint_edits": fingerprint_edits,
     "license_phrases": license_phrases,
