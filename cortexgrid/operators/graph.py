@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cortexgrid.operators.components import connected_components
+from cortexgrid.operators.components import components_of_edges, connected_components
 from cortexgrid.operators.features import shifted
 from cortexgrid.operators.grid import AXES, KEY
-from cortexgrid.plans import materialize
+from cortexgrid.plans import drop, materialize
 
 
-#: Decimal places of a mean score.
-DIGITS = 9
+#: Decimal places of a mean score, and what an affinity of 1 counts as in its sum of whole numbers.
+DIGITS, WHOLE = 9, 10**9
+#: Bins of an edge's histogram, and the share of contacts below its quantile.
+BINS, QUANTILE = 256, 0.25
 
 
 def fragment_nodes(df: DataFrame, resolution: Sequence[int] = (1, 1, 1), offset: Sequence[int] = (0, 0, 0), label: str = "label") -> DataFrame:
@@ -43,18 +46,29 @@ def contacts(df: DataFrame, affs: DataFrame, label: str = "label") -> DataFrame:
     return met.join(affs, KEY).select(F.least(label, f"{label}_o").alias("u"), F.greatest(label, f"{label}_o").alias("v"), F.get("affs", F.col("o")).alias("a"))
 
 
+def edge_histograms(met: DataFrame) -> DataFrame:
+    """(u, v, bin, n): contacts of each edge by their affinity's bin; histograms of boundaries that fall together add up."""
+    return met.groupBy("u", "v", F.least(F.floor(F.col("a") * (BINS - 1)), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantile_scores(bins: DataFrame, *more: Column) -> DataFrame:
+    """(u, v, contacts, merge_score): 1 - the first bin that QUANTILE of the contacts reach; more: further aggregates."""
+    by = Window.partitionBy("u", "v")
+    upto = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+    first = F.min(F.when(F.col("upto") >= QUANTILE * F.col("all"), F.col("bin")))
+    return upto.groupBy("u", "v").agg(F.max("all").alias("contacts"), (1 - first / float(BINS - 1)).alias("merge_score"), *more)
+
+
 def score_edges(met: DataFrame, how: str = "mean") -> DataFrame:
     """(u, v, contacts, merge_score): 1 - mean affinity, or 1 - the 25th percentile over 256 bins.
 
-    Means are rounded to DIGITS places once, here, so that an edge at a threshold is below it in whatever order it was summed.
+    Means come from sums of whole numbers and are rounded to DIGITS places once, here, so that they are the same in
+    whatever order contacts were summed and an edge at a threshold is below it.
     """
     if how == "mean":
-        return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("contacts"), F.round(1 - F.avg("a"), DIGITS).alias("merge_score"))
-    bins = met.groupBy("u", "v", F.least(F.floor(F.col("a") * 255), F.lit(255)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("u", "v")
-    upto = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    hit = upto.where("upto >= 0.25 * all").groupBy("u", "v").agg(F.min("bin").alias("bin"), F.first("all").alias("contacts"))
-    return hit.select("u", "v", "contacts", (1 - F.col("bin") / 255.0).alias("merge_score"))
+        whole, n = F.sum(F.round(F.col("a") * WHOLE).cast("bigint")), F.count(F.lit(1))
+        return met.groupBy("u", "v").agg(n.alias("contacts"), F.round(1 - whole / (n * WHOLE), DIGITS).alias("merge_score"))
+    return quantile_scores(edge_histograms(met))
 
 
 def edge_centers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -132,30 +146,53 @@ def compact_ids(df: DataFrame, label: str = "label") -> DataFrame:
     return new.unionByName(df.where(~on))
 
 
-def agglomerate(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(node, segment): edges (u, v, contacts, merge_score = 1 - mean) merged best first up to threshold.
+def _agglomerated(nodes: DataFrame, edges: DataFrame, score: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(node, segment) after best-first merging of edges up to threshold.
 
-    In rounds, every edge that is the best of both its ends (ties by score, u, v) and scores at most threshold is merged,
-    and boundaries that fall together get the contact-weighted mean. A merged mean lies between its parts, so this gives
-    the tree of best-first merging, ties apart. segment is the smallest node of each.
+    edges have u, v and tie, a struct that is greater for any edge put together from others. score gives (u, v, score,
+    tie) of each edge, merged puts rows together that have the same u and v. In rounds, every edge that is the best of
+    both its ends by (score, tie) is merged. An edge put together is no better than the better of its parts, in this
+    order without ties, so that gives the tree of merging the best edge of all again and again (reducibility).
     """
-    e = edges.where("merge_score is not null").select("u", "v", F.col("contacts").cast("double").alias("n"), (F.col("merge_score") * F.col("contacts")).alias("s"))
-    e = materialize(e, "edges")
-    place = materialize(nodes.select("node", F.col("node").alias("segment")), "place")
+    place, e = materialize(nodes.select("node", F.col("node").alias("segment")), "place"), materialize(edges, "edges")
     while True:
-        scored = e.withColumn("score", F.round(F.col("s") / F.col("n"), DIGITS)).where(F.col("score") <= threshold)
-        order = F.struct("score", "u", "v").alias("best")
-        ends = scored.select(F.explode(F.array("u", "v")).alias("end"), order)
+        best_first = F.struct("score", "tie", "u", "v").alias("best")
+        ends = score(e).where(F.col("score") <= threshold).select(F.explode(F.array("u", "v")).alias("end"), best_first)
         best = ends.groupBy("end").agg(F.min("best").alias("best"))
-        mutual = materialize(best.groupBy("best.u", "best.v").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("u", "v"), "mutual")
-        if mutual.isEmpty():
-            return place
+        mutual = best.groupBy("best.u", "best.v").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
         move = materialize(mutual.select(F.col("v").alias("old"), F.col("u").alias("new")), "move")
-        place = place.join(move, F.col("segment") == F.col("old"), "left").select("node", F.coalesce("new", "segment").alias("segment"))
-        place = materialize(place, "place")
+        if move.isEmpty():
+            drop(e, move)
+            return place
+        old_place, old_edges = place, e
+        place = materialize(place.join(move, F.col("segment") == F.col("old"), "left").select("node", F.coalesce("new", "segment").alias("segment")), "place")
         a, b = (move.select(F.col("old").alias(x), F.col("new").alias(f"n{x}")) for x in "uv")
-        moved = e.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("nu", "u").alias("p"), F.coalesce("nv", "v").alias("q"), "n", "s").where("p != q")
-        e = materialize(moved.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "edges")
+        ends_of = e.join(a, "u", "left").join(b, "v", "left").withColumn("p", F.coalesce("nu", "u")).withColumn("q", F.coalesce("nv", "v")).where("p != q")
+        moved = ends_of.withColumn("u", F.least("p", "q")).withColumn("v", F.greatest("p", "q")).select(*e.columns)
+        e = materialize(merged(moved), "edges")
+        drop(old_place, old_edges, move)
+
+
+def agglomerate(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(node, segment): edges (u, v, contacts, merge_score = 1 - mean) merged best first up to threshold.
+
+    Boundaries that fall together get the contact-weighted mean; ties go by the largest (u, v) that a boundary is made of.
+    segment is the smallest node of each.
+    """
+    e = edges.where("merge_score is not null").select("u", "v", F.struct("u", "v").alias("tie"), F.col("contacts").cast("double").alias("n"), (F.col("merge_score") * F.col("contacts")).alias("s"))
+    score = lambda e: e.withColumn("score", F.round(F.col("s") / F.col("n"), DIGITS))
+    return _agglomerated(nodes, e, score, lambda e: e.groupBy("u", "v").agg(F.max("tie").alias("tie"), F.sum("n").alias("n"), F.sum("s").alias("s")), threshold)
+
+
+def agglomerate_quantile(nodes: DataFrame, bins: DataFrame, threshold: float) -> DataFrame:
+    """F21 with histograms: (node, segment); an edge's score is 1 - the QUANTILE of its contacts' affinities over BINS bins.
+
+    bins is edge_histograms' (u, v, bin, n). Histograms of boundaries that fall together are added, bin by bin, and scored
+    again; ties, which bins make common, go by the largest (u, v) that a boundary is made of.
+    """
+    e = bins.select("u", "v", "bin", "n", F.struct("u", "v").alias("tie"))
+    score = lambda e: quantile_scores(e, F.max("tie").alias("tie")).withColumnRenamed("merge_score", "score")
+    return _agglomerated(nodes, e, score, lambda e: e.groupBy("u", "v", "bin").agg(F.sum("n").alias("n"), F.max("tie").alias("tie")), threshold)
 
 
 #: Thresholds of a sweep.
@@ -167,24 +204,64 @@ def threshold_name(t: float) -> str:
     return "segmentation_" + str(round(t, 2)).replace(".", "")
 
 
+def spanning_forest(edges: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(u, v, merge_score): a minimum spanning forest of the scored edges (up to threshold), by Boruvka's rounds.
+
+    In each round every component takes its best edge to another one, by (merge_score, u, v), and components along these
+    join; edges within a component go. Components at any threshold are those of the forest's edges up to it.
+    """
+    scored = edges.where("merge_score is not null and u != v")
+    if threshold is not None:
+        scored = scored.where(F.col("merge_score") <= threshold)
+    rest = materialize(scored.select("u", "v", "merge_score", F.col("u").alias("p"), F.col("v").alias("q")), "rest")
+    forest: list[DataFrame] = []
+    while not rest.isEmpty():
+        order = F.struct("merge_score", "u", "v", "p", "q")
+        best = rest.select(F.explode(F.array("p", "q")).alias("end"), order.alias("e")).groupBy("end").agg(F.min("e").alias("e"))
+        forest.append(materialize(best.select("e.*").distinct(), "forest"))
+        part = components_of_edges(forest[-1].select(F.col("p").alias("u"), F.col("q").alias("v")))
+        a, b = (part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "pq")
+        # a component without a best edge has no edge left, so every end is found
+        going = rest.join(a, "p").join(b, "q").where("cp != cq").select("u", "v", "merge_score", F.col("cp").alias("p"), F.col("cq").alias("q"))
+        old, rest = rest, materialize(going, "rest")
+        drop(old)
+    drop(rest)
+    if not forest:
+        return edges.select("u", "v", "merge_score").limit(0)
+    whole = materialize(reduce(DataFrame.unionByName, (f.select("u", "v", "merge_score") for f in forest)), "whole")
+    drop(*forest)
+    return whole
+
+
+def cut_forest(nodes: DataFrame, forest: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(t, node, segment): components of the forest's edges up to each threshold, segment their smallest node.
+
+    All thresholds are cut in one run, over the pairs of a threshold's number and a node's.
+    """
+    levels = sorted(thresholds)
+    ids = materialize(dense_ids(nodes.select("node")), "ids")
+    number = F.array(*map(F.lit, levels))
+    upto = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda k: F.col("merge_score") <= F.get(number, k))
+    a, b = (ids.select(F.col("node").alias(x), F.col("_id").alias(f"i{x}")) for x in "uv")
+    own = forest.join(a, "u").join(b, "v").select("iu", "iv", F.explode(upto).alias("k"))
+    at = lambda i: F.col(i) * len(levels) + F.col("k")
+    found = components_of_edges(own.select(at("iu").alias("u"), at("iv").alias("v")))
+    every = ids.select("node", "_id", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))).alias("k")).withColumn("at", at("_id"))
+    placed = every.join(found.withColumnRenamed("node", "at"), "at", "left")
+    # numbers rise with nodes, so the least number of a component is its smallest node's
+    least = placed.select("node", "k", F.floor((F.coalesce("component", "at") - F.col("k")) / len(levels)).cast("bigint").alias("i"))
+    first = ids.select(F.col("_id").alias("i"), F.col("node").alias("segment"))
+    return least.join(first, "i").select(F.get(number, F.col("k")).alias("t"), "node", "segment")
+
+
 def sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(name, node, segment) at each threshold, segment the smallest node of each component.
 
-    Thresholds ascend and each starts from the components before it, so an edge is contracted once.
+    The edges are read once, for a spanning forest; its cuts are the segmentations.
     """
-    out = None
-    place = materialize(nodes.select("node", F.col("node").alias("segment")), "place")
-    rest = edges.where("merge_score is not null").select("u", "v", "merge_score")
-    for t in sorted(thresholds):
-        part = connected_components(place.select(F.col("segment").alias("node")), rest.where(F.col("merge_score") <= t).select("u", "v"))
-        part = materialize(part.withColumnRenamed("node", "segment"), "part")
-        place = materialize(place.join(part, "segment").select("node", F.col("component").alias("segment")), "place")
-        a, b = (part.select(F.col("segment").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-        rest = rest.join(a, "u").join(b, "v").where("cu != cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"), "merge_score")
-        rest = materialize(rest, "rest")
-        named = place.select(F.lit(threshold_name(t)).alias("name"), "node", "segment")
-        out = named if out is None else out.unionByName(named)
-    return out
+    cuts = cut_forest(nodes, spanning_forest(edges, max(thresholds)), thresholds)
+    name = F.element_at(F.create_map(*(x for t in thresholds for x in (F.lit(float(t)), F.lit(threshold_name(t))))), F.col("t"))
+    return cuts.select(name.alias("name"), "node", "segment")
 
 
 def write_rag(nodes: DataFrame, edges: DataFrame, path: str, begin: Sequence[float], shape: Sequence[float], block: Sequence[float], mode: str = "append") -> None:

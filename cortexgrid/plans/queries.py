@@ -561,7 +561,6 @@ _COMPONENTS = f"""WITH e AS (SELECT u, v FROM fx_rag_edges WHERE merge_score <=
 
 
 @query("f9_components", _COMPONENTS, True)
-@query("f9_components_all", _COMPONENTS, True)
 def f9_components(spark, sf_dir):
     from cortexgrid.operators.components import components_of_edges
 
@@ -604,9 +603,9 @@ def _met(spark, sf_dir):
     return H.contacts(fx.labels(spark, sf_dir), fx.affs(spark, sf_dir))
 
 
-@query("f13_score_edges", _CONTACTS + " SELECT u, v, count(*) AS contacts, round(1 - avg(a), 6) AS merge_score FROM met GROUP BY u, v")
+@query("f13_score_edges", _CONTACTS + " SELECT u, v, count(*) AS contacts, round(1 - CAST(sum(CAST(round(a * 1000000000) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 1000000000 AS DOUBLE), 9) AS merge_score FROM met GROUP BY u, v")
 def f13_score_edges(spark, sf_dir):
-    return rounded(H.score_edges(_met(spark, sf_dir)), "merge_score")
+    return H.score_edges(_met(spark, sf_dir))
 
 
 @query("f13_score_edges_quantile", _CONTACTS + """, h AS (SELECT u, v, CAST(floor(a * 255) AS INT) AS bin, count(*) AS n FROM met GROUP BY ALL), q AS (SELECT u, v, bin, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
@@ -644,19 +643,16 @@ _CONTRACT_NODES = _GRAPH + " SELECT component AS node, array_to_string(list_sort
 
 
 @query("f17_segment", _SEGMENT, True)
-@query("f17_segment_all", _SEGMENT, True)
 def f17_segment(spark, sf_dir):
     return H.segment(*_whole_graph(spark, sf_dir), 0.01)
 
 
 @query("f18_contract", _CONTRACT, True)
-@query("f18_contract_all", _CONTRACT, True)
 def f18_contract(spark, sf_dir):
     return H.contract(*_whole_graph(spark, sf_dir), 0.01)[1]
 
 
 @query("f18_contract_nodes", _CONTRACT_NODES, True)
-@query("f18_contract_nodes_all", _CONTRACT_NODES, True)
 def f18_contract_nodes(spark, sf_dir):
     return H.contract(*_whole_graph(spark, sf_dir), 0.01)[0].select("node", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
@@ -673,12 +669,46 @@ def f20_compact_ids(spark, sf_dir):
     return H.compact_ids(df)
 
 
-@query("f21_agglomerate")
+def _rounds(start: str, score: str, merge: str, threshold: float) -> str:
+    """Rounds of mutually best merges: each starts from the edges (kind 0) and places (kind 1) of the one before."""
+    return f"""{_CONTACTS}, r AS (
+SELECT 0 AS k, 0 AS kind, u, v, u AS ta, v AS tb, x, n FROM ({start})
+UNION ALL SELECT DISTINCT 0, 1, label, label, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM fx_labels WHERE label > 0
+UNION ALL (WITH e AS (SELECT * FROM r WHERE kind = 0), s AS (SELECT u, v, {{'score': score, 'a': tie.a, 'b': tie.b}} AS rank FROM ({score}) WHERE score <= {threshold}),
+y AS (SELECT n, arg_min(u, rank) AS u, arg_min(v, rank) AS v FROM (SELECT u AS n, u, v, rank FROM s UNION ALL SELECT v, u, v, rank FROM s) GROUP BY n),
+m AS (SELECT v AS old, u AS new FROM y GROUP BY u, v HAVING count(*) = 2),
+z AS (SELECT coalesce(a.new, u) AS p, coalesce(b.new, v) AS q, ta, tb, x, n FROM e LEFT JOIN m a ON a.old = u LEFT JOIN m b ON b.old = v),
+w AS (SELECT least(p, q) AS u, greatest(p, q) AS v, {{'a': ta, 'b': tb}} AS tie, x, n FROM z WHERE p <> q),
+i AS (SELECT max(k) + 1 AS k FROM r)
+SELECT k, 0, u, v, tie.a, tie.b, x, n FROM ({merge}), i WHERE EXISTS (SELECT 1 FROM m)
+UNION ALL SELECT i.k, 1, r.u, coalesce(new, r.v), 0, 0, 0, 0 FROM r LEFT JOIN m ON old = r.v, i WHERE kind = 1 AND EXISTS (SELECT 1 FROM m)))
+SELECT u AS node, v AS segment FROM r WHERE kind = 1 AND k = (SELECT max(k) FROM r)"""
+
+
+_BY_MEAN = _rounds(
+    "SELECT u, v, round(1 - CAST(sum(CAST(round(a * 1000000000) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 1000000000 AS DOUBLE), 9) * count(*) AS x, CAST(count(*) AS DOUBLE) AS n FROM met GROUP BY u, v",
+    "SELECT u, v, {'a': ta, 'b': tb} AS tie, round(x / n, 9) AS score FROM e",
+    "SELECT u, v, max(tie) AS tie, sum(x) AS x, sum(n) AS n FROM w GROUP BY u, v", 0.55,
+)
+_BY_QUANTILE = _rounds(
+    "SELECT u, v, CAST(least(255, floor(a * 255)) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM met GROUP BY ALL",
+    "SELECT u, v, max({'a': ta, 'b': tb}) AS tie, 1 - min(x) FILTER (upto >= 0.25 * total) / 255.0::DOUBLE AS score FROM (SELECT *, sum(n) OVER (PARTITION BY u, v ORDER BY x) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM e) GROUP BY u, v",
+    "SELECT u, v, max(tie) AS tie, x, sum(n) AS n FROM w GROUP BY u, v, x", 0.75,
+)
+
+
+@query("f21_agglomerate", _BY_MEAN, True)
 def f21_agglomerate(spark, sf_dir):
     nodes = H.fragment_nodes(fx.labels(spark, sf_dir))
     return H.agglomerate(nodes, H.score_edges(_met(spark, sf_dir)), 0.55)
 
 
+@query("f21_agglomerate_quantile", _BY_QUANTILE, True)
+def f21_agglomerate_quantile(spark, sf_dir):
+    nodes = H.fragment_nodes(fx.labels(spark, sf_dir))
+    return H.agglomerate_quantile(nodes, H.edge_histograms(_met(spark, sf_dir)), 0.75)
+
+
 @query("f22_sweep", _CONTACTS + """, e AS (SELECT u, v, 1 - avg(a) AS s FROM met GROUP BY u, v), n AS (SELECT DISTINCT label AS node FROM fx_labels WHERE label > 0), t AS (SELECT 0.35 + 0.05 * unnest(range(0, 9)) AS t),
 b AS (SELECT t, u, v FROM e, t WHERE s <= t + 1e-12 UNION SELECT t, v, u FROM e, t WHERE s <= t + 1e-12),
 r AS (SELECT t, node, node AS reach FROM n, t UNION SELECT b.t, b.v, r.reach FROM r JOIN b ON b.u = r.node AND b.t = r.t WHERE r.reach < b.v)

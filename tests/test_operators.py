@@ -63,19 +63,19 @@ def whole_graph(spark):
 def test_components_of_the_whole_graph(spark, whole_graph):
     _, edges, place = whole_graph
     want = {x: place[x] for u, v, score in edges if score is not None and score <= 0.01 for x in (u, v)}
-    assert {r.node: r.component for r in QUERIES["f9_components_all"](spark, SF).collect()} == want and any(n % 7 for n in want if n < 1000000)
+    assert {r.node: r.component for r in QUERIES["f9_components"](spark, SF).collect()} == want and any(n % 7 for n in want if n < 1000000)
 
 
 def test_segment_and_contract_of_the_whole_graph(spark, whole_graph):
     nodes, edges, place = whole_graph
     number = {c: i for i, c in enumerate(sorted({place[n] for n in nodes}), 1)}
-    assert {r.node: r.segment for r in QUERIES["f17_segment_all"](spark, SF).collect()} == {n: number[place[n]] for n in nodes}
+    assert {r.node: r.segment for r in QUERIES["f17_segment"](spark, SF).collect()} == {n: number[place[n]] for n in nodes}
     between = {tuple(sorted((place[u], place[v]))) for u, v, _ in edges if place[u] != place[v]}
-    assert sorted((r.u, r.v) for r in QUERIES["f18_contract_all"](spark, SF).collect()) == sorted(between)
+    assert sorted((r.u, r.v) for r in QUERIES["f18_contract"](spark, SF).collect()) == sorted(between)
     members = {}
     for n in sorted(nodes):
         members.setdefault(place[n], []).append(str(n))
-    assert {r.node: r.labels for r in QUERIES["f18_contract_nodes_all"](spark, SF).collect()} == {c: ",".join(m) for c, m in members.items()}
+    assert {r.node: r.labels for r in QUERIES["f18_contract_nodes"](spark, SF).collect()} == {c: ",".join(m) for c, m in members.items()}
 
 
 def test_components_without_edges(spark):
