@@ -120,6 +120,10 @@ def _by_node(values: dict[int, list[float]]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("_kdn.first"))
 
 
+#: Copies of one row that a task numbers.
+COPIES = 10_000
+
+
 def with_slots(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """df with slot, 0, 1, ... within each shard; salted cells are numbered first, then offset, so no shard is one task."""
     salts = max(LEAST_SALTS, -(-rows // CELL_ROWS))
@@ -136,14 +140,19 @@ def document_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Size is the UTF-8 bytes of the text, null none, plus 8; text_crc32 of a null text is that of the empty one. The law
     is bytes: shards have nearly equal sizes. Nulls in any dimension are a value below all others. Rows that repeat a
-    doc_id and text are dealt out like others. Other columns are ignored; empty docs give no rows.
+    doc_id and text are dealt out like others, told apart by a number. The result doesn't depend on how the rows of docs
+    lie in files or partitions. Other columns are ignored; empty docs give no rows.
     """
     binary = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    meta = docs.select(
+    given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(binary) + 8).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"),
-        "lang", "source", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("key"),
+        "lang", "source", F.xxhash64("doc_id", "text", "lang", "source").alias("row_hash"),
     )
-    # written once, so that a row keeps its key
+    # equal rows differ by a number only, so a row's key doesn't depend on where it was read
+    equal = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    dealt = equal.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES}")))).repartition("row_hash", "_part")
+    copy = F.explode(F.sequence(F.col("_part") * COPIES, F.least((F.col("_part") + 1) * COPIES, F.col("_copies")) - 1))
+    meta = dealt.withColumn("_copy", copy).withColumn("key", F.xxhash64("row_hash", "_copy")).drop("_copies", "_part", "_copy", "row_hash")
     meta = with_ranks(materialize(meta, "meta"), ["lang", "source"])
     dims = {"lang": F.col("lang"), "source": F.col("source"), "length": F.log2(F.col("size")), "id": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("double")}
     placed = kd_shards(meta, "size", dims, shards, F.col("key"))

@@ -455,6 +455,13 @@ def test_shards(docs, none):
     assert {r.shard for r in rows} <= set(range(24)) and shards.document_shards(none).count() == 0
 
 
+def test_shards_do_not_depend_on_dealing(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionByName(df.where("doc_id % 9 = 0")).unionByName(df.where("doc_id = 5").select(*df.columns).crossJoin(spark.range(30)).drop("id"))
+    first, again = (sorted(tuple(r) for r in shards.document_shards(x, 8).collect()) for x in (df.coalesce(1), df.repartition(7)))
+    assert first == again and len(first) == df.count()
+
+
 def test_shards_are_near_equal(spark):
     rows = shards.document_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 24).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
     mean = sum(r.b for r in rows) / 24
