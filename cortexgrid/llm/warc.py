@@ -162,18 +162,41 @@ def members(f: pa.NativeFile) -> dict[str, tuple[int, int, int]]:
     return found
 
 
+def _index_lines(f: pa.NativeFile, found: dict[str, tuple[int, int, int]], name: str) -> Iterator[str]:
+    """Lines of an index member. Blocks of a .cdx.gz are read by range where its .idx lists them."""
+
+    def whole(name: str) -> bytes:
+        method, start, size = found[name]
+        raw = f.read_at(size, start)
+        return zlib.decompress(raw, -15) if method == 8 else raw
+
+    if not name.endswith(".gz"):
+        yield from whole(name).decode().splitlines()
+        return
+    listed = name.removesuffix(".cdx.gz") + ".idx"
+    method, start, _ = found[name]
+    if listed in found and method == 0:
+        for line in whole(listed).decode().splitlines():
+            if (at := line.find("{")) >= 0 and not line.startswith("!"):
+                block = json.loads(line[at:])
+                yield from gzip.decompress(f.read_at(int(block["length"]), start + int(block["offset"]))).decode().splitlines()
+    else:
+        yield from gzip.decompress(whole(name)).decode().splitlines()
+
+
 def _ranges(f: pa.NativeFile) -> Iterator[tuple[int, int]]:
     """(offset, length) in the file of each record."""
     found = members(f)
-    stored = {name: (start, size) for name, (method, start, size) in found.items() if method == 0}
-    data = {name.rsplit("/", 1)[-1]: x for name, x in stored.items() if name.endswith(".warc.gz")}
-    indexes = [x for name, x in stored.items() if name.startswith("indexes/") and name.endswith(".cdxj")]
-    if packed := [name for name in found if name not in stored and name.endswith((".warc.gz", ".cdxj"))]:
+    data = {name.rsplit("/", 1)[-1]: (start, size) for name, (method, start, size) in found.items() if method == 0 and name.endswith((".warc.gz", ".warc"))}
+    if packed := [name for name, (method, *_) in found.items() if method and name.endswith((".warc.gz", ".warc"))]:
         raise ValueError(f"{packed[0]} is compressed in the ZIP file: its records can't be read by range")
-    for start, size in indexes:
-        for line in f.read_at(size, start).decode().splitlines():
-            entry = json.loads(line.split(" ", 2)[2])
-            yield data[entry["filename"]][0] + int(entry["offset"]), int(entry["length"])
+    indexes = [name for name in found if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdx.gz"))]
+    for name in indexes:
+        for line in _index_lines(f, found, name):
+            at = line.find("{")
+            if at >= 0 and not line.startswith("!"):
+                entry = json.loads(line[at:])
+                yield data[entry["filename"].rsplit("/", 1)[-1]][0] + int(entry["offset"]), int(entry["length"])
     if not indexes:
         for start, size in data.values():
             at, begin = 0, 0
@@ -189,31 +212,85 @@ def _ranges(f: pa.NativeFile) -> Iterator[tuple[int, int]]:
                         begin, unzip = at - len(piece), zlib.decompressobj(31)
 
 
-def _number(urn: str) -> int | None:
-    text = urn.strip().removeprefix("<urn:x-page:").removesuffix(">")
-    return None if text == "None" else int(text)
+def _number(urn: str | None) -> int | None:
+    """page_id of one of write_archives' URNs; other names have none."""
+    text = (urn or "").strip().removeprefix("<urn:x-page:").removesuffix(">")
+    return int(text) if text.lstrip("-").isdigit() else None
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name, the last of a name; a line that begins with a blank goes on the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _unchunked(body: bytes) -> bytes:
+    """An HTTP body in chunks put together; as it is from where it is no such body, or cut off."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if n == 0:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
 
 
 def parse_record(raw: bytes) -> tuple:
-    """(page_id, record_type, url, payload_bytes, payload_digest, refers_to, payload) of one gzip member."""
-    head, _, rest = gzip.decompress(raw).partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(next(line.split(b":")[1] for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")))
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or payload_digest(payload) != digest):
-        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    refers = _number(fields["WARC-Refers-To"]) if revisit else None
-    return _number(fields["WARC-Record-ID"]), fields["WARC-Type"], fields.get("WARC-Target-URI"), length, digest, refers, None if revisit else payload
-
+    """SCHEMA's values of one record, a gzip member or plain.
 
-SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    Records of any writer: page_id and refers_to are null unless the record has a URN of write_archives; a missing
+    payload digest is computed. An HTTP response's payload is its body, put together if it came in chunks; other records'
+    payload is their block. A SHA-1 digest that fits neither form of the payload is an error, unless the record says that
+    it was truncated.
+    """
+    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    head, _, rest = data.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("this is no WARC record")
+    fields = _fields(lines[1:])
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    kind, name = fields.get("warc-type", "unknown").lower(), fields.get("warc-record-id")
+    forms, length = [block], len(block)
+    if block.startswith(b"HTTP/") or "application/http" in fields.get("content-type", ""):
+        top, _, body = block.partition(b"\r\n\r\n")
+        http = _fields(top.decode("latin-1").split("\r\n")[1:])
+        forms, length = [body], len(body)
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            forms.insert(0, _unchunked(body))
+            length = len(forms[0])
+        elif kind == "revisit" and http.get("content-length", "").isdigit():
+            length = int(http["content-length"])
+    revisit = kind == "revisit"
+    method, _, given = fields.get("warc-payload-digest", "").rpartition(":")
+    if method and method.lower() != "sha1":
+        given = ""
+    if given and not revisit and "warc-truncated" not in fields:
+        known = {x for form in forms for x in (payload_digest(form), hashlib.sha1(form).hexdigest().upper())}
+        if given.upper() not in known:
+            raise ValueError(f"damaged record {name}")
+    digest = None if revisit and not given else given.upper() if given and len(given) == 32 else payload_digest(forms[0])
+    refers = fields.get("warc-refers-to")
+    return _number(name), kind, fields.get("warc-target-uri"), length, digest, _number(refers) if revisit else None, None if revisit else forms[0], name, refers
+
+
+SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
 
 def read_archives(archives: DataFrame, archive: str = "archive") -> DataFrame:
-    """page_id, record_type, url, payload_bytes, payload_digest, refers_to, payload of every record in the archives.
+    """SCHEMA's columns of every record in the archives: those that an index lists, or all where there is none.
 
     payload is null for revisits; their payload_bytes come from the HTTP head. A file that is no ZIP file, a damaged
     record and a compressed member are errors. No archives give no rows; an archive listed twice is read twice.
@@ -256,9 +333,13 @@ def read_archives(archives: DataFrame, archive: str = "archive") -> DataFrame:
 
     located = files.repartition(tasks, archive).mapInArrow(locate, "archive string, begin long, sizes array<long>")
     dealt = located.repartition(tasks * 4, "archive", "begin")
-    return dealt.mapInArrow(read, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return dealt.mapInArrow(read, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, refers_to_id string")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """pages written to archives and read back."""
+    """pages written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null pages are empty payloads, rows that repeat a page_id stay records of their own, and empty pages give no rows; see
+    write_archives.
+    """
     return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
