@@ -583,8 +583,12 @@ def test_pipeline_with_clashing_names(spark, none):
         assert fn(spark, empty, SF).count() == 0
 
 
+def opening(label):
+    return next(x for x in licenses.TEMPLATES[label] if x.startswith("permission"))
+
+
 def test_licenses_need_dense_spans(spark):
-    words = licenses.TEMPLATES["mit"].split()
+    words = opening("mit").split()
     spread = " ".join(w + (" " + " ".join(f"x{i}y{k}" for k in range(4)) if i % 3 == 2 else "") for i, w in enumerate(words))
     halves = " ".join(words[:8]) + " filler" * 60 + " " + " ".join(words[8:])
     df = spark.createDataFrame([(1, spread), (2, halves), (3, " ".join(words))], "doc_id long, text string")
@@ -593,7 +597,7 @@ def test_licenses_need_dense_spans(spark):
 
 
 def test_licenses(docs, none, spark):
-    more = spark.createDataFrame([(7000, "A CC-BY text, cc by cc by! General Public LICENSE. All Rights Reserved"), (7001, "x " + licenses.TEMPLATES["mit"] + " y"), (7002, licenses.TEMPLATES["isc"].replace("modify", "changed"))], "doc_id long, text string")
+    more = spark.createDataFrame([(7000, "A CC-BY text, cc by cc by! General Public LICENSE. All Rights Reserved"), (7001, "x " + opening("mit") + " y"), (7002, opening("isc").replace("modify", "changed"))], "doc_id long, text string")
     rows = documents() + [tuple(r) for r in more.collect()]
     found, spans = licenses.scan(docs.select("doc_id", "text").unionByName(more))
     got = {}
@@ -606,7 +610,7 @@ def test_licenses(docs, none, spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
         assert r.base_labels == sorted({x for _, x in at}) and set(r.base_labels) <= set(r.labels)
     assert "mit" in got[7001].labels and "isc" in got[7002].labels and got[7001].score == 1.0
-    assert spans.where("template = 'mit'").first()["first"] == 1 and licenses.document_licenses(none).count() == 0
+    assert spans.where("label = 'mit'").first()["first"] == 1 and licenses.document_licenses(none).count() == 0
 
 
 def test_pipeline(spark, docs, none):
@@ -658,3 +662,21 @@ def test_matches_sql(spark, name):
     assert columns == sorted(result.columns)
     want = result.select(*map(duckdb.ColumnExpression, columns)).fetchall()
     assert sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_licenses_label_the_notices_of_a_table(spark):
+    notices = {"Licensed under the Apache License, Version 2.0": "apache-2.0", "Released under the MIT License": "mit", "CC BY-NC 4.0": "cc-by-nc"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: {label for notice, label in notices.items() if notice in (r.text or "")} for r in docs.collect()}
+    assert {x for v in want.values() for x in v} == set(notices.values())
+    for r in licenses.document_licenses(docs).collect():
+        own = set(r.labels.split(",")) - {""}
+        assert want[r.doc_id] <= own and own - want[r.doc_id] <= set(r.base_labels.split(",")), (r.doc_id, own)
+
+
+def test_licenses_of_a_given_table_of_templates(spark):
+    templates = spark.createDataFrame([("house", "our own house rules apply to this text"), ("house", "house rules v2"), ("other", "one two three")], "label string, line string")
+    rows = [(1, "Our own house rules apply to this text"), (2, "see House-Rules V2!"), (3, "house rules"), (4, None), (5, "one two two three"), (5, "word" * 50_000 + " one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, ",".join(r.labels), r.score) for r in licenses.scan(docs, templates)[0].collect())
+    assert got == [(1, "house", 1.0), (2, "house", 1.0), (3, "", 0.0), (4, "", 0.0), (5, "", 0.0), (5, "other", 1.0)]
