@@ -29,6 +29,16 @@ EVIDENCE_PAIRS = 200
 PAIR_COUNT, PRIOR_COUNT, DECLARED_COUNT = 0.5, 20.0, 20.0
 
 
+#: Three-letter codes of languages.
+CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es"}
+
+
+def declared_code(declared: str) -> Column:
+    """The language of a tag such as en-GB, de_AT or spa, in two letters where it has some."""
+    code = F.lower(F.trim(F.get(F.split(declared, "[-_]"), F.lit(0))))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair)), code), code, F.lit(""))
+
+
 def _pairs(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8).astype(np.int32)
     return b[:-1] * 256 + b[1:]
@@ -123,7 +133,7 @@ def identify_languages(df: DataFrame, text: str, declared: str, host: str | None
     names = [*languages, OTHER]
     n = len(names)
     rest = [c for c in df.columns if c != text]
-    given = df.withColumn("_lid_declared", F.coalesce(F.lower(F.substring(declared, 1, 2)), F.lit("")))
+    given = df.withColumn("_lid_declared", declared_code(declared))
     given = given.withColumn("_lid_host", F.coalesce(F.col(host), F.lit("")) if host else F.lit(""))
     given = given.withColumn("_lid_suffix", F.coalesce(suffix, F.lit("")) if suffix is not None else F.lit(""))
     profiles = _profiles(byte_pair_counts(given, text, "_lid_declared", languages), languages)

@@ -680,3 +680,8 @@ def test_licenses_of_a_given_table_of_templates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, ",".join(r.labels), r.score) for r in licenses.scan(docs, templates)[0].collect())
     assert got == [(1, "house", 1.0), (2, "house", 1.0), (3, "", 0.0), (4, "", 0.0), (5, "", 0.0), (5, "other", 1.0)]
+
+
+def test_declared_languages_are_whole_codes(spark):
+    tags = spark.createDataFrame([(x,) for x in ("en-GB", "de_AT", "SPA", "est", "frr", " fr ", "", None)], "tag string")
+    assert [r[0] for r in tags.select(language.declared_code("tag")).collect()] == ["en", "de", "es", "est", "frr", "fr", "", ""]
