@@ -6,21 +6,18 @@ record; a box lists only the names of the chunks that it meets. Decoding is per
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import json
-import lzma
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortexgrid.operators.grid import AXES
+from cortexgrid.operators.graph import dense_ids
+from cortexgrid.sources.chunks import FORMAT, Array, check_format, load, register, unpack
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -43,12 +40,6 @@ def _json(spark: SparkSession, path: str) -> dict:
         stream.close()
 
 
-def check_format(path: str) -> None:
-    """Only .zarr containers are known; other suffixes are errors."""
-    if not path.rstrip("/").endswith((".zarr", ".zr")):
-        raise ValueError(f"unknown container format: {path}")
-
-
 def volume_meta(spark: SparkSession, path: str, dataset: str) -> tuple[str, dict, dict]:
     """(path of the array, .zarray, .zattrs); falls back to <dataset>/s0."""
     check_format(path)
@@ -65,18 +56,6 @@ def _matches(spark: SparkSession, glob: str) -> list[str]:
     return sorted((f.getPath().toString() for f in store.globStatus(p) or ()), key=natural_key)
 
 
-def _unpack(raw: bytes, packed: dict | None, size: int) -> bytes:
-    """A chunk's bytes. Compressors beyond Python's and Arrow's need the numcodecs package."""
-    if not packed:
-        return raw
-    known = {"gzip": gzip.decompress, "zlib": zlib.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": lambda x: pa.decompress(x, size, "zstd").to_pybytes()}
-    if packed["id"] in known:
-        return known[packed["id"]](raw)
-    import numcodecs
-
-    return numcodecs.get_codec(packed).decode(raw)
-
-
 def _check_compressor(packed: dict | None) -> None:
     if packed and packed["id"] not in ("gzip", "zlib", "bz2", "lzma", "zstd"):
         try:
@@ -130,7 +109,7 @@ def _read_arrays(spark: SparkSession, arrays: Sequence[str], meta: dict, roi: tu
                 if (raw := content.as_py()) is None:
                     block = np.full(chunk, fill, dtype)
                 else:
-                    block = np.frombuffer(_unpack(raw, packed, dtype.itemsize * int(np.prod(chunk))), dtype).reshape(chunk, order=order)
+                    block = np.frombuffer(unpack(raw, packed, dtype.itemsize * int(np.prod(chunk))), dtype).reshape(chunk, order=order)
                 grids = np.indices(chunk).reshape(dims, -1) + (np.array(place) * chunk)[:, None]
                 keep = np.all((grids >= np.array(low)[:, None]) & (grids < np.array(high)[:, None]), axis=0)
                 values = block.ravel()[keep]
@@ -149,50 +128,30 @@ def _qualified(spark: SparkSession, path: str) -> str:
 def read_volume(spark: SparkSession, path: str, dataset: str, roi: tuple[Sequence[int], Sequence[int]] | None = None, volume_id: str | None = None) -> DataFrame:
     """A1: (volume_id, z, y, x, value) of a 2D or 3D array; 2D ones have z 0. roi is (begin, end) in voxels.
 
-    Only chunks that the box meets are listed and opened. Missing chunks hold the fill value. uint64 comes as bigint in
-    two's complement.
+    Any filter of z, y and x on the result does what roi does: only chunks that it meets are opened, none is listed (see
+    chunks). Missing chunks hold the fill value. uint64 comes as bigint in two's complement.
     """
-    at, meta, _ = volume_meta(spark, path, dataset)
-    name = F.lit(volume_id or path.rstrip("/").rsplit("/", 1)[-1])
-    return _read_arrays(spark, [at], meta, roi).select(name.alias("volume_id"), *AXES, "value")
+    out = load(spark, path, dataset, volume_id)
+    for axis, begin, end in zip(AXES[-len(roi[0]) :], *roi) if roi else ():
+        if axis != "z" or len(Array(path, dataset).axes) == 3:
+            out = out.where((F.col(axis) >= int(begin)) & (F.col(axis) < int(end)))
+    return out
 
 
 def write_volume(df: DataFrame, path: str, dataset: str, shape: Sequence[int], chunk: Sequence[int], dtype: str = "|u1", attributes: dict | None = None, mode: str = "overwrite", raw: DataFrame | None = None) -> None:
     """A4: voxels (z, y, x, value) as a gzip-5 array; voxels without a row hold 0. A shape of two numbers takes y and x only.
 
-    Each chunk is encoded by its task and written by pyarrow's file system; the dataset is deleted first on overwrite.
-    raw, where given, goes to <root>/volumes/raw next to it.
+    Rows are dealt by chunk, each chunk is encoded and written by one task, and the array appears in its place when all
+    are done: a job that fails leaves the old one whole. mode append puts chunks beside those there. raw, where given,
+    goes to <root>/volumes/raw next to it.
     """
-    from pyarrow import fs
-
-    check_format(path)
-    spark = df.sparkSession
-    at = f"{path.rstrip('/')}/{dataset}"
-    target, store = _hadoop(spark, at)
-    if mode == "overwrite":
-        store.delete(target, True)
-    uri = at if "://" in at else f"file://{at}"
-
-    def put(name: str, data: bytes) -> None:
-        own, place = fs.FileSystem.from_uri(f"{uri}/{name}")
-        own.create_dir(place.rsplit("/", 1)[0], recursive=True)
-        with own.open_output_stream(place) as f:
-            f.write(data)
-
-    put(".zarray", json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": list(chunk), "dtype": dtype, "compressor": {"id": "gzip", "level": 5}, "fill_value": 0, "order": "C", "filters": None}).encode())
-    put(".zattrs", json.dumps(attributes or {}).encode())
-
-    axes = AXES[-len(shape) :]
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = [int(pdf[f"c{a}"].iloc[0]) for a in axes]
-        block = np.zeros(chunk, np.dtype(dtype))
-        block[tuple(pdf[a].to_numpy() - i * n for a, i, n in zip(axes, index, chunk))] = pdf["value"].to_numpy().astype(np.dtype(dtype))
-        put(".".join(map(str, index)), gzip.compress(block.tobytes(), 5, mtime=0))
-        return pd.DataFrame({"voxels": [len(pdf)]})
-
-    placed = df.select(*AXES, "value", *(F.floor(F.col(a) / n).alias(f"c{a}") for a, n in zip(axes, chunk)))
-    placed.groupBy(*(f"c{a}" for a in axes)).applyInPandas(encode, "voxels long").agg(F.sum("voxels")).collect()
+    register(df.sparkSession)
+    place = [F.floor(F.col(a) / n).alias(f"c{a}") for a, n in zip(AXES[-len(shape) :], chunk)]
+    dealt = df.select("z", "y", "x", "value", *place)
+    names = dealt.columns[4:]
+    dealt = dealt.repartition(*names).sortWithinPartitions(*names).select("z", "y", "x", "value")
+    options = {"dataset": dataset, "shape": json.dumps(list(shape)), "chunk": json.dumps(list(chunk)), "dtype": dtype, "attributes": json.dumps(attributes or {})}
+    dealt.write.format(FORMAT).options(**options).mode(mode).save(path)
     if raw is not None:
         write_volume(raw, path, "volumes/raw", shape, chunk, "|u1", attributes, mode)
 
@@ -251,16 +210,18 @@ def copy_datasets(spark: SparkSession, sources: Sequence[str], target: str, name
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     """(section_id, name, y, x, value) of the images in a folder, names sorted, grey 0..255."""
     images = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    order = images.select("origin").distinct().collect()  # names only
-    number = {r.origin: i for i, r in enumerate(sorted(order, key=lambda r: natural_key(r.origin)))}
+    parts = F.transform(F.regexp_extract_all(F.lower("origin"), F.lit("([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p))
+    # names alone are ranked; pixels are joined with their number
+    number = dense_ids(images.select(parts.alias("_key"), "origin")).select("origin", (F.col("_id") - 1).alias("section_id"))
+    images = images.join(number, "origin").select("section_id", *images.columns)
 
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for origin, h, w, c, data in zip(*(x.to_pylist() for x in batch.columns)):
+            for section, origin, h, w, c, data in zip(*(x.to_pylist() for x in batch.columns)):
                 a = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
                 grey = a[:, :, 0] if c == 1 else 0.114 * a[:, :, 0] + 0.587 * a[:, :, 1] + 0.299 * a[:, :, 2]  # stored as BGR
                 y, x = np.indices((h, w)).reshape(2, -1)
                 n = h * w
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number[origin], np.int64)), pa.array([origin] * n), pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(np.rint(grey.ravel()).astype(np.int32))], names=["section_id", "name", "y", "x", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, section, np.int64)), pa.array([origin] * n), pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(np.rint(grey.ravel()).astype(np.int32))], names=["section_id", "name", "y", "x", "value"])
 
     return images.mapInArrow(pixels, "section_id long, name string, y long, x long, value int")
