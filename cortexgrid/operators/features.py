@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.functions.pixels import ensure_uint8, invert, max_channel, scale_shift, scale_shift_clip
@@ -54,49 +54,61 @@ def balance_weights(df: DataFrame, value: str, mask: str, by: Sequence[str]) ->
 
 
 def grow_boundary(df: DataFrame, steps: int = 1, label: str = "label", mask: str | None = None) -> DataFrame:
-    """Labels set to 0 within steps faces of another label; the volume's border and masked-out voxels don't erode."""
-    faces = [(s * a, s * b, s * c) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1)) for s in (-1, 1)]
+    """Labels set to 0 within steps faces of another label; the volume's border and masked-out voxels don't erode.
+
+    Neighbours are the rows before and after along each axis, so df is read once whatever the steps.
+    """
     out = df
     for _ in range(steps):
-        columns = [label] + ([mask] if mask else [])
-        long = shifted(out.select(*KEY, *columns), faces, columns)
-        other = F.col(f"{label}_o").isNotNull() & (F.col(f"{label}_o") != F.col(label))
-        if mask:
-            other = other & (F.col(f"{mask}_o") > 0)
-        hit = long.groupBy(*KEY).agg(F.bool_or(other).alias("_hit"))
-        out = out.join(hit, KEY).withColumn(label, F.when((F.col(label) > 0) & F.col("_hit"), F.lit(0)).otherwise(F.col(label)).cast("bigint")).drop("_hit")
+        hit = F.lit(False)
+        for axis in AXES:
+            line = Window.partitionBy(*(k for k in KEY if k != axis)).orderBy(axis)
+            for move, step in ((F.lag, -1), (F.lead, 1)):
+                near = lambda c: move(c).over(line)  # noqa: B023, E731
+                other = (near(axis) == F.col(axis) + step) & near(label).isNotNull() & (near(label) != F.col(label))
+                hit = hit | F.coalesce(other & (near(mask) > 0) if mask else other, F.lit(False))
+        out = out.withColumn(label, F.when((F.col(label) > 0) & hit, F.lit(0)).otherwise(F.col(label)).cast("bigint"))
     return out
 
 
+def _weighted_along(sums: DataFrame, axis: str, sigma: float, label: str, moments: Sequence[tuple[str, ...]]) -> DataFrame:
+    """Sums of moments, by the axes whose offsets they multiply, brought along one more axis for each label.
+
+    A row goes to the 2 r + 1 places around it, r = 3 sigma rounded.
+    """
+    r = int(3 * sigma + 0.5)
+    moves = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(math.exp(-0.5 * d * d / sigma**2)).alias("w")) for d in range(-r, r + 1)))
+    moved = sums.withColumn("_m", F.explode(moves)).withColumn(axis, (F.col(axis) + F.col("_m.d")).cast("bigint"))
+    w, d = F.col("_m.w"), -F.col("_m.d").cast("double")  # seen from where the row goes
+    out = []
+    for m in moments:
+        times = m.count(axis)
+        before = "s_" + "_".join(a for a in m if a != axis)
+        out.append(F.sum(w * F.col(before) * (F.lit(1.0) if times == 0 else d if times == 1 else d * d)).alias("s_" + "_".join(m)))
+    return moved.groupBy(*KEY, label).agg(*out)
+
+
 def shape_descriptors(df: DataFrame, sigma: float, axes: Sequence[str] = AXES, downsample: int = 2, label: str = "label") -> DataFrame:
     """E5: per voxel of every downsample-th grid point, over same-label voxels weighted by a Gaussian truncated at 3 sigma.
 
     lsds holds the mean offset for each axis, then the covariance (variances first), then the weight sum: 10 channels in
-    3D, 6 in 2D. sigma is in voxels of the downsampled grid.
+    3D, 6 in 2D. sigma is in voxels of the downsampled grid; the truncation is along each axis. Sums for a label are passed
+    on axis by axis, so a voxel makes a few times 2 r + 1 rows an axis, not (2 r + 1)^3.
     """
     coarse = df.where(F.col(label) > 0)
     for a in axes:
         coarse = coarse.where(F.col(a) % downsample == 0).withColumn(a, F.expr(f"{a} div {downsample}"))
     coarse = coarse.select(*KEY, label)
-    r = int(3 * sigma)
-    reach = [range(-r, r + 1) if a in axes else (0,) for a in AXES]
-    offsets = [(dz, dy, dx) for dz in reach[0] for dy in reach[1] for dx in reach[2] if dz * dz + dy * dy + dx * dx <= (3 * sigma) ** 2]
-    long = shifted_weighted(coarse, offsets, sigma, label)
-    w = F.col("_w")
-    d = {a: F.col(f"_d{a}").cast("double") for a in axes}
     pairs = [(a, a) for a in axes] + [(axes[i], axes[j]) for i in range(len(axes)) for j in range(i + 1, len(axes))]
-    sums = long.groupBy(*KEY, label).agg(F.sum(w).alias("n"), *(F.sum(w * d[a]).alias(f"m{a}") for a in axes), *(F.sum(w * d[a] * d[b]).alias(f"c{a}{b}") for a, b in pairs))
-    mean = {a: F.col(f"m{a}") / F.col("n") for a in axes}
-    channels = [mean[a] for a in axes] + [F.col(f"c{a}{b}") / F.col("n") - mean[a] * mean[b] for a, b in pairs] + [F.col("n")]
-    return sums.select(*KEY, label, F.array(*channels).alias("lsds"))
-
-
-def shifted_weighted(df: DataFrame, offsets: Sequence[Sequence[int]], sigma: float, label: str) -> DataFrame:
-    weight = [math.exp(-0.5 * (z * z + y * y + x * x) / sigma**2) for z, y, x in offsets]
-    moves = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("w", "dz", "dy", "dx"), (w, *o)))) for w, o in zip(weight, offsets)))
-    want = df.withColumn("_m", F.explode(moves)).select(*df.columns, F.col("_m.w").alias("_w"), *(F.col(f"_m.d{a}").alias(f"_d{a}") for a in AXES), *((F.col(a) + F.col(f"_m.d{a}")).cast("bigint").alias(f"_{a}") for a in AXES))
-    have = df.select("volume_id", *(F.col(a).alias(f"_{a}") for a in AXES), label)
-    return want.join(have, ["volume_id", *(f"_{a}" for a in AXES), label])
+    sums, known = coarse.withColumn("s_", F.lit(1.0)), []
+    for axis in axes[::-1]:
+        known.append(axis)
+        moments = [(), *((a,) for a in axes if a in known), *(p for p in pairs if set(p) <= set(known))]
+        sums = _weighted_along(sums, axis, sigma, label, moments)
+    n = F.col("s_")
+    mean = {a: F.col(f"s_{a}") / n for a in axes}
+    channels = [mean[a] for a in axes] + [F.col(f"s_{a}_{b}") / n - mean[a] * mean[b] for a, b in pairs] + [n]
+    return coarse.join(sums, [*KEY, label]).select(*KEY, label, F.array(*channels).alias("lsds"))
 
 
 def weighted_mse(df: DataFrame, prediction: str = "p", target: str = "t", weight: str = "w", by: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +25,105 @@ def apply_mask(df: DataFrame, mask: DataFrame, value: str) -> DataFrame:
     return df.join(mask.select(*KEY, "mask"), KEY, "left").withColumn(value, new).drop("mask")
 
 
+#: Voxels of lines, filled up to the longest, whose envelopes are made at once.
+LINE_VOXELS = 1 << 20
+
+
+def lower_envelope(place: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """min over j of height[j] + (place[i] - place[j])^2 for each i of each line (row); places rise, heights may be infinite.
+
+    The envelope of the parabolas is kept as a stack, all lines one step at a time (Felzenszwalb and Huttenlocher 2012).
+    """
+    lines, n = place.shape
+    out = np.full((lines, n), np.inf)
+    row = np.flatnonzero(np.isfinite(height).any(axis=1))
+    p, g = place[row].astype(np.float64), height[row]
+    stack, start = np.zeros((len(row), n), np.int64), np.full((len(row), n + 1), -np.inf)
+    top = np.full(len(row), -1)
+    for q in range(n):
+        todo = np.flatnonzero(np.isfinite(g[:, q]))
+        while len(todo):
+            held = top[todo] >= 0
+            v = stack[todo, np.maximum(top[todo], 0)]
+            new, old = p[todo, q], p[todo, v]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                meet = np.where(held, ((g[todo, q] + new * new) - (g[todo, v] + old * old)) / (2 * (new - old)), -np.inf)
+            under = held & (meet <= start[todo, np.maximum(top[todo], 0)])
+            top[todo[under]] -= 1
+            done, meet = todo[~under], meet[~under]
+            top[done] += 1
+            stack[done, top[done]] = q
+            start[done, top[done]] = np.where(top[done] > 0, meet, -np.inf)
+            todo = todo[under]
+    start[np.arange(len(row)), top + 1] = np.inf
+    now, every = np.zeros(len(row), np.int64), np.arange(len(row))
+    for i in range(n):
+        while (late := start[every, now + 1] < p[:, i]).any():
+            now += late
+        v = stack[every, now]
+        out[row, i] = g[every, v] + (p[:, i] - p[every, v]) ** 2
+    return out
+
+
+def _along(df: DataFrame, axis: str) -> DataFrame:
+    """df (KEY, g) with g, a squared distance or null, brought along one axis: a line's voxels go to one task, in order."""
+    rest = [k for k in KEY if k != axis]
+    column = df.columns.index(axis)
+    others = [df.columns.index(k) for k in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            new[:1] = True
+            for k in others:
+                values = rows.column(k).combine_chunks() if rows.num_rows else rows.column(k)
+                code = values.dictionary_encode().indices.to_numpy(zero_copy_only=False) if not pa.types.is_integer(values.type) or values.null_count else values.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            first = np.flatnonzero(new)
+            whole = rows.num_rows if last else int(first[-1])
+            held[:] = [] if last else rows.slice(whole).to_batches()
+            first = first[first < whole]
+            sizes = np.diff(np.append(first, whole))
+            order = np.argsort(sizes, kind="stable")  # lines of like length together
+            place = rows.column(column).to_numpy()
+            g = rows.column("g").combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64) if rows.num_rows else np.zeros(0)
+            g = np.where(np.isnan(g), np.inf, g)
+            made = np.full(rows.num_rows, np.inf)
+            while len(order):
+                many = max(1, min(len(order), int(np.searchsorted(sizes[order] * np.arange(1, len(order) + 1), LINE_VOXELS, "right"))))
+                own, order = order[:many], order[many:]
+                n = int(sizes[own].max())
+                at = first[own][:, None] + np.minimum(np.arange(n), sizes[own][:, None] - 1)
+                beyond = np.arange(n) >= sizes[own][:, None]
+                found = lower_envelope(place[at] + np.where(beyond, np.arange(n) - sizes[own][:, None] + 1, 0), np.where(beyond, np.inf, g[at]))
+                made[at[~beyond]] = found[~beyond]
+            made = made[:whole]
+            if whole:
+                out = rows.slice(0, whole).set_column(df_g, "g", pa.array(made, mask=np.isinf(made)))
+                yield from out.combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= LINE_VOXELS:
+                yield from ready(False)
+                size = sum(b.num_rows for b in held)
+        if held:
+            yield from ready(True)
+
+    df_g = df.columns.index("g")
+    return df.repartition(*rest).sortWithinPartitions(*rest, axis).mapInArrow(run, df.schema)
+
+
 def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "mask") -> DataFrame:
     """distance, in voxels along axes, to the nearest voxel with mask 0; null where there is none.
 
-    Exact and separable: nearest 0 along the last axis by windows, then min(g + d * d) within each line. The nearest
-    voxels before and after with a distance, and its own, bound a voxel's result; only voxels within that bound are
-    joined, so rows grow with the distances, not with the square of a line.
+    Exact and separable: squared distances along the last axis by windows, then the lower envelope of parabolas along each
+    other one. A pass is linear in the voxels, however far the zeros are, and a task holds its longest line at least.
     """
     last, others = axes[-1], list(axes[:-1])[::-1]
     line = Window.partitionBy(*(k for k in KEY if k != last)).orderBy(last)
@@ -40,17 +133,7 @@ def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "m
     near = F.least(F.col(last) - before, after - F.col(last))
     out = df.select(*KEY, (near * near).cast("double").alias("g"))
     for axis in others:
-        rest = [k for k in KEY if k != axis]
-        own = Window.partitionBy(*rest).orderBy(axis)
-        held = F.when(F.col("g").isNotNull(), F.struct(F.col(axis).alias("at"), "g"))
-        ends = [F.last(held, True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.first(held, True).over(own.rowsBetween(0, Window.unboundedFollowing))]
-        bounded = out.withColumns({f"_e{i}": e for i, e in enumerate(ends)})
-        most = F.least("g", *(F.col(f"_e{i}.g") + (F.col(f"_e{i}.at") - F.col(axis)) * (F.col(f"_e{i}.at") - F.col(axis)) for i in range(2)))
-        reach = F.floor(F.sqrt(most)).cast("bigint")
-        want = bounded.where(most.isNotNull()).select(*KEY, F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach)).alias("_at"))
-        side = out.where("g is not null").select(*rest, F.col(axis).alias("_at"), F.col("g").alias("_g"))
-        best = want.join(side, [*rest, "_at"]).groupBy(*KEY).agg(F.min(F.col("_g") + (F.col("_at") - F.col(axis)) * (F.col("_at") - F.col(axis))).alias("g"))
-        out = out.select(*KEY).join(best, KEY, "left")
+        out = _along(out, axis)
     return out.select(*KEY, F.sqrt("g").alias("distance"))
 
 
@@ -82,27 +165,68 @@ def label_seeds(df: DataFrame, axes: Sequence[str] = AXES, seed: str = "seed") -
     return found.join(ranks, "component").select(*KEY, "seed_id")
 
 
-def flood(height: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Labels of a block: seeds grow in the order of height, ties by place; face neighbours."""
-    labels = marks.copy()
-    heap = [(height[i], i) for i in map(tuple, np.argwhere(marks > 0))]
-    heapq.heapify(heap)
-    while heap:
-        h, at = heapq.heappop(heap)
-        for axis in range(3):
-            for step in (-1, 1):
-                to = at[:axis] + (at[axis] + step,) + at[axis + 1 :]
-                if 0 <= to[axis] < labels.shape[axis] and labels[to] == 0:
-                    labels[to] = labels[at]
-                    heapq.heappush(heap, (max(h, height[to]), to))
-    return labels
+#: Levels that a block's heights are cut into if it has more different ones.
+LEVELS = 256
+
+
+def levels_of(height: np.ndarray, most: int = LEVELS) -> np.ndarray:
+    """Whole levels in the order of heights; infinite heights are beyond all."""
+    known = np.isfinite(height)
+    values, at = np.unique(height[known], return_inverse=True)
+    if len(values) > most:
+        low, high = values[0], values[-1]
+        at = np.minimum(most - 1, ((height[known] - low) / (high - low) * most).astype(np.int64))
+    out = np.full(height.shape, min(len(values), most), np.int64)
+    out[known] = at
+    return out
+
+
+def flood(level: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Labels of a block: seeds grow level by level, and within a level in waves, to face neighbours.
+
+    A voxel that a wave reaches from several sides takes the label of the neighbour that comes first by (z, y, x). Voxels
+    wait in a bucket for their level; each wave is a few array operations over flat places.
+    """
+    padded = tuple(n + 2 for n in marks.shape)
+    labels, heights = np.full(padded, -1, np.int64), np.full(padded, -1, np.int64)
+    inner = (slice(1, -1),) * 3
+    labels[inner], heights[inner] = marks, level
+    labels, heights = labels.ravel(), heights.ravel()
+    steps = np.array([padded[1] * padded[2], padded[2], 1])
+    steps = np.concatenate((-steps, steps[::-1]))  # neighbours in the order of their places
+    buckets: list[list[np.ndarray]] = [[] for _ in range(int(level.max()) + 1 if level.size else 0)]
+    waiting = labels != 0
+
+    def reach(new: np.ndarray, now: int) -> np.ndarray:
+        """Unlabelled neighbours of new voxels; those above the present level wait in their bucket."""
+        near = np.unique((new[:, None] + steps).ravel())
+        near = near[~waiting[near]]
+        waiting[near] = True
+        at = heights[near]
+        later = near[at > now]
+        if len(later):
+            later = later[np.argsort(heights[later], kind="stable")]
+            own, first = np.unique(heights[later], return_index=True)
+            for h, part in zip(own.tolist(), np.split(later, first[1:])):
+                buckets[h].append(part)
+        return near[at <= now]
+
+    reach(np.flatnonzero(labels > 0), -1)
+    for now, bucket in enumerate(buckets):
+        wave = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
+        while len(wave):
+            around = labels[wave[:, None] + steps]
+            labels[wave] = around[np.arange(len(wave)), (around > 0).argmax(axis=1)]
+            wave = reach(wave, now)
+        bucket.clear()
+    return labels.reshape(padded)[inner]
 
 
 def watershed(df: DataFrame, begin: Sequence[int], shape: Sequence[int], block: Sequence[int], context: Sequence[int] = (0, 0, 0)) -> DataFrame:
     """F8: (volume_id, block_id, z, y, x, fragment) of voxels with distance and seed_id (0 for none).
 
-    Each block with its halo is flooded on max(distance) - distance by one task, which holds just that block; fragments
-    end at block borders and are joined later by the region graph. A block without seeds is all 0.
+    Each block with its halo is flooded on max(distance) - distance by one task, which holds just that block, over LEVELS
+    levels at most; fragments end at block borders and are joined later by the region graph. A block without seeds is all 0.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +237,7 @@ def watershed(df: DataFrame, begin: Sequence[int], shape: Sequence[int], block:
         height, marks = np.full(size, np.inf), np.zeros(size, np.int64)
         height[place] = pdf["distance"].max() - pdf["distance"].fillna(0.0).to_numpy()
         marks[place] = pdf["seed_id"].to_numpy()
-        return pdf[["volume_id", "block_id", *AXES]].assign(fragment=flood(height, marks)[place])
+        return pdf[["volume_id", "block_id", *AXES]].assign(fragment=flood(levels_of(height), marks)[place])
 
     schema = "volume_id int, block_id long, z long, y long, x long, fragment long"
     given = df.select(F.col("volume_id").cast("int").alias("volume_id"), *AXES, "distance", "seed_id")

@@ -431,7 +431,7 @@ def e4_grow_boundary(spark, sf_dir):
 
 @query("e5_shape_descriptors", """WITH c AS (SELECT volume_id, z, y // 2 AS y, x // 2 AS x, label FROM fx_labels WHERE label > 0 AND y % 2 = 0 AND x % 2 = 0),
 j AS (SELECT a.volume_id, a.z, a.y, a.x, a.label, (b.y - a.y)::DOUBLE AS dy, (b.x - a.x)::DOUBLE AS dx FROM c a JOIN c b ON b.z = a.z AND b.label = a.label),
-w AS (SELECT *, exp(-0.5 * (dy * dy + dx * dx) / 1.44::DOUBLE) AS w FROM j WHERE abs(dy) <= 3 AND abs(dx) <= 3 AND dy * dy + dx * dx <= 12.96)
+w AS (SELECT *, exp(-0.5 * (dy * dy + dx * dx) / 1.44::DOUBLE) AS w FROM j WHERE abs(dy) <= 4 AND abs(dx) <= 4)
 SELECT volume_id, z, y, x, label, round(sum(w * dy) / sum(w), 6) AS c0, round(sum(w * dx) / sum(w), 6) AS c1, round(sum(w * dy * dy) / sum(w) - (sum(w * dy) / sum(w)) * (sum(w * dy) / sum(w)), 6) AS c2,
   round(sum(w * dx * dx) / sum(w) - (sum(w * dx) / sum(w)) * (sum(w * dx) / sum(w)), 6) AS c3, round(sum(w * dy * dx) / sum(w) - (sum(w * dy) / sum(w)) * (sum(w * dx) / sum(w)), 6) AS c4, round(sum(w), 6) AS c5
 FROM w GROUP BY volume_id, z, y, x, label""")
@@ -440,6 +440,20 @@ def e5_shape_descriptors(spark, sf_dir):
     return out.withColumns({f"c{i}": F.col(f"c{i}") + 0.0 for i in range(6)})
 
 
+_LSD_3D = ["z", "y", "x"]
+_LSD_MEAN = {a: f"sum(w * d{a}) / sum(w)" for a in _LSD_3D}
+_LSD_ALL = [_LSD_MEAN[a] for a in _LSD_3D] + [f"sum(w * d{a} * d{b}) / sum(w) - ({_LSD_MEAN[a]}) * ({_LSD_MEAN[b]})" for a, b in ("zz", "yy", "xx", "zy", "zx", "yx")] + ["sum(w)"]
+
+
+@query("e5_shape_descriptors_3d", """WITH c AS (SELECT volume_id, z // 2 AS z, y // 2 AS y, x // 2 AS x, label FROM fx_labels WHERE label > 0 AND z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0),
+t AS (SELECT *, z + unnest(range(-3, 4)) AS bz FROM c),
+w AS (SELECT a.volume_id, a.z, a.y, a.x, a.label, (b.z - a.z)::DOUBLE AS dz, (b.y - a.y)::DOUBLE AS dy, (b.x - a.x)::DOUBLE AS dx, exp(-0.5 * ((b.z - a.z) ** 2 + (b.y - a.y) ** 2 + (b.x - a.x) ** 2) / 1.0::DOUBLE) AS w FROM t a JOIN c b ON b.z = a.bz AND b.label = a.label WHERE abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3)
+SELECT volume_id, z, y, x, label, """ + ", ".join(f"round({e}, 6) AS c{i}" for i, e in enumerate(_LSD_ALL)) + " FROM w GROUP BY volume_id, z, y, x, label")
+def e5_shape_descriptors_3d(spark, sf_dir):
+    out = spread(E.shape_descriptors(fx.labels(spark, sf_dir), 1.0, downsample=2), "lsds", 10, 6)
+    return out.withColumns({f"c{i}": F.col(f"c{i}") + 0.0 for i in range(10)})
+
+
 @query("e6_mito_affinities", f"WITH fx_labels AS (SELECT volume_id, z, y, x, raw // 12 - 10 AS label FROM fx_raw) SELECT volume_id, z, y, x, {_aff(-1, 0, 0)} AS c0, {_aff(0, -1, 0)} AS c1, {_aff(0, 0, -1)} AS c2 FROM fx_labels l".replace("fx_labels", "mito"))
 def e6_mito_affinities(spark, sf_dir):
     mito = fx.raw(spark, sf_dir).select(*KEY, F.expr("raw div 12 - 10 as mito"))
@@ -541,7 +555,19 @@ def f7_label_seeds(spark, sf_dir):
     return R.label_seeds(found, ("y", "x"))
 
 
-@query("f8_watershed")
+_FLOOD = _SEEDS + """, s AS (SELECT z, y * 8 + x AS i, x FROM sd WHERE seed = 1),
+q(z, i, reach) AS (SELECT z, i, i FROM s UNION SELECT q.z, s.i, q.reach FROM q JOIN s ON s.z = q.z AND (s.i = q.i + 8 OR s.i = q.i - 8 OR (s.i = q.i + 1 AND s.x > 0) OR (s.i = q.i - 1 AND s.x < 7))),
+sl AS MATERIALIZED (SELECT z, i, dense_rank() OVER (ORDER BY z, first) AS label FROM (SELECT z, i, min(reach) AS first FROM q GROUP BY 1, 2)),
+v AS MATERIALIZED (SELECT z * 64 + y * 8 + x AS n, z // 25 AS block, z, y, x, -coalesce(CAST(round(distance * distance) AS INT), 0) AS h FROM sd),
+nb AS MATERIALIZED (SELECT a.n, b.n AS m FROM (SELECT *, z + dz AS bz, y + dy AS bx_y, x + dx AS bx FROM v, (SELECT * FROM (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(dz, dy, dx))) a JOIN v b ON b.z = bz AND b.y = bx_y AND b.x = bx AND b.block = a.block),
+r(n, block, h, label, seed) USING KEY (n) AS (SELECT z * 64 + i, z // 25, NULL::INT, label, true FROM sl
+UNION (WITH cand AS (SELECT nb.m AS n, arg_min(o.label, o.n) AS label FROM recurring.r o JOIN nb ON nb.n = o.n LEFT JOIN recurring.r d ON d.n = nb.m WHERE d.n IS NULL AND EXISTS (SELECT 1 FROM r) GROUP BY nb.m),
+  c AS (SELECT cand.n, v.block, v.h, label FROM cand JOIN v USING (n)), low AS (SELECT block, min(h) AS low FROM c GROUP BY block), top AS (SELECT block, max(h) AS top FROM recurring.r GROUP BY block)
+  SELECT c.n, c.block, c.h, c.label, false FROM c JOIN low USING (block) JOIN top USING (block) WHERE c.h <= greatest(low, coalesce(top, low))))
+SELECT 0 AS volume_id, v.block AS block_id, z, y, x, coalesce(label, 0) AS fragment FROM v LEFT JOIN r USING (n)"""
+
+
+@query("f8_watershed", _FLOOD, True)
 def f8_watershed(spark, sf_dir):
     d = R.distance_transform(_inside(spark, sf_dir), ("y", "x"))
     marks = R.label_seeds(R.seeds(d, 4, ("y", "x")), ("y", "x"))

@@ -131,9 +131,10 @@ def read_volume(spark: SparkSession, path: str, dataset: str, roi: tuple[Sequenc
     Any filter of z, y and x on the result does what roi does: only chunks that it meets are opened, none is listed (see
     chunks). Missing chunks hold the fill value. uint64 comes as bigint in two's complement.
     """
+    axes = Array(path, dataset).axes  # errors at once, not in Spark's planning
     out = load(spark, path, dataset, volume_id)
     for axis, begin, end in zip(AXES[-len(roi[0]) :], *roi) if roi else ():
-        if axis != "z" or len(Array(path, dataset).axes) == 3:
+        if axis in axes:
             out = out.where((F.col(axis) >= int(begin)) & (F.col(axis) < int(end)))
     return out
 

@@ -96,15 +96,6 @@ def test_distance_without_zeros_is_null(spark):
     assert R.distance_transform(cube(spark, np.ones((2, 2, 2), np.int64), "mask")).where("distance is not null").isEmpty()
 
 
-def test_flood_covers_all_from_each_seed():
-    h = np.random.default_rng(2).random((3, 6, 6))
-    marks = np.zeros(h.shape, np.int64)
-    marks[0, 0, 0], marks[2, 5, 5] = 1, 2
-    out = R.flood(h, marks)
-    assert set(np.unique(out)) == {1, 2} and out[0, 0, 0] == 1 and out[2, 5, 5] == 2
-    assert not R.flood(h, np.zeros_like(marks)).any()
-
-
 def test_agglomerate_equals_best_first(spark):
     rng = random.Random(5)
     for _ in range(3):
