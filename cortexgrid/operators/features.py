@@ -136,6 +136,15 @@ def export_indicator(df: DataFrame, indicator: str = "indicator", scale: float =
     return df.select(*KEY, F.pmod(scale_shift(F.col(indicator), scale, 0.0).cast("int"), F.lit(256)).alias("value"))
 
 
+def output_metadata(df: DataFrame, outputs: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """(volume_id, dataset, dtype, scale), the metadata of each volume's outputs: {column: (dataset, dtype, scale)}.
+
+    A reader divides values by scale; write_volume keeps these as attributes.
+    """
+    rows = F.array(*(F.struct(F.lit(name).alias("dataset"), F.lit(kind).alias("dtype"), F.lit(float(scale)).alias("scale")) for name, kind, scale in outputs.values()))
+    return df.select("volume_id").distinct().select("volume_id", F.explode(rows).alias("m")).select("volume_id", "m.*")
+
+
 def export_vectors(df: DataFrame, vec: str = "vec", to_nm: float = 1.0, scale: float = 0.25) -> DataFrame:
     """Partner vectors in nm, scaled and clipped to int8."""
     return df.select(*KEY, F.transform(vec, lambda v: scale_shift_clip(v / F.lit(to_nm), scale, 0.0).cast("int")).alias("vec"))

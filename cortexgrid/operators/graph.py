@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.operators.components import components_of_edges, connected_components
@@ -108,15 +109,19 @@ def segment(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     return found.join(dense_ids(found.select("component")), "component").select("node", F.col("_id").alias("segment"))
 
 
-def dense_ids(ids: DataFrame) -> DataFrame:
-    """Distinct ids (one or more columns) with _id 1..n in their order: ranges are counted first, so no task sorts them all."""
-    names = ids.columns
-    own = materialize(ids.distinct().repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ids")
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with _id 1..n in an order: ranges are counted first, so no task sorts them all."""
+    own = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
     counts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    return own.withColumn("_r", rank).join(offsets, "_part").select(*names, (F.col("_r") + F.col("_before")).cast("bigint").alias("_id"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return own.withColumn("_r", rank).join(offsets, "_part").select(*rows.columns, (F.col("_r") + F.col("_before")).cast("bigint").alias("_id"))
+
+
+def dense_ids(ids: DataFrame) -> DataFrame:
+    """Distinct ids (one or more columns) with _id 1..n in their order."""
+    return numbered(ids.distinct(), *ids.columns)
 
 
 def contract(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -271,3 +276,14 @@ def write_rag(nodes: DataFrame, edges: DataFrame, path: str, begin: Sequence[flo
         for a, n in zip(AXES, block):
             own = own.withColumn(f"block_{a}", F.floor(F.col(f"center_{a}") / n).cast("int"))
         own.write.mode(mode).partitionBy(*(f"block_{a}" for a in AXES)).parquet(f"{path}/{name}")
+
+
+def read_rag(spark: SparkSession, path: str, begin: Sequence[float], shape: Sequence[float], block: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """F16 on what F23 wrote: (nodes, edges) whose centre lies in a box; only the partitions of the box's blocks are read."""
+    out = []
+    for name in ("nodes", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        for a, b, n, size in zip(AXES, begin, shape, block):
+            df = df.where(F.col(f"block_{a}").between(math.floor(b / size), math.ceil((b + n) / size) - 1))
+        out.append(rag_slice(df, begin, shape).drop(*(f"block_{a}" for a in AXES)))
+    return out[0], out[1]

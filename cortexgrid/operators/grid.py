@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
@@ -27,18 +28,24 @@ def block_grid(spark: SparkSession, begin: Sequence[int], shape: Sequence[int],
 
     (volume_id, block_id, write_begin_<axis>, write_end_<axis>, read_begin_<axis>, read_end_<axis>).
     """
-    counts = [-(-n // b) for n, b in zip(shape, block)]
-    total = counts[0] * counts[1] * counts[2]
-    df = spark.range(total).withColumnRenamed("id", "block_id")
-    index = {"z": F.floor(F.col("block_id") / (counts[1] * counts[2])), "y": F.floor(F.col("block_id") / counts[2]) % counts[1], "x": F.col("block_id") % counts[2]}
+    df = spark.range(math.prod(-(-n // b) for n, b in zip(shape, block))).withColumnRenamed("id", "block_id")
     columns = [F.lit(volume_id).alias("volume_id"), F.col("block_id")]
-    for axis, b0, n, size, c in zip(AXES, begin, shape, block, context):
-        first = (index[axis] * size + b0).cast("bigint")
-        last = F.least(first + size, F.lit(b0 + n).cast("bigint")) if fit == "shrink" else first + size
+    for axis, c, (first, last) in zip(AXES, context, write_boxes(F.col("block_id"), begin, shape, block, fit)):
         columns += [first.alias(f"write_begin_{axis}"), last.alias(f"write_end_{axis}"), (first - c).alias(f"read_begin_{axis}"), (last + c).alias(f"read_end_{axis}")]
     return df.select(*columns)
 
 
+def write_boxes(block_id: Column, begin: Sequence[int], shape: Sequence[int], block: Sequence[int], fit: str = "shrink") -> list[tuple[Column, Column]]:
+    """(begin, end) of a block's write box on each axis, from its number."""
+    counts = [-(-n // b) for n, b in zip(shape, block)]
+    index = (F.floor(block_id / (counts[1] * counts[2])), F.floor(block_id / counts[2]) % counts[1], block_id % counts[2])
+    out = []
+    for i, b0, n, size in zip(index, begin, shape, block):
+        first = (i * size + b0).cast("bigint")
+        out.append((first, F.least(first + size, F.lit(b0 + n).cast("bigint")) if fit == "shrink" else first + size))
+    return out
+
+
 def gather_halo(df: DataFrame, begin: Sequence[int], shape: Sequence[int], block: Sequence[int], context: Sequence[int]) -> DataFrame:
     """Each voxel with block_id of every block whose read box holds it. Candidates are computed, so no range join."""
     counts = [-(-n // b) for n, b in zip(shape, block)]
@@ -80,15 +87,10 @@ def map_blocks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     fn takes and gives the voxels of one block, so a block with its halo must fit a task's memory; the schema must have
     volume_id, block_id, z, y, x. This is where a user's inference goes.
     """
-    grid = block_grid(df.sparkSession, begin, shape, block, context)
     made = gather_halo(df, begin, shape, block, context).groupBy("volume_id", "block_id").applyInPandas(fn, schema)
-    return crop_to_write(made, _for_volumes(grid, df))
-
-
-def _for_volumes(grid: DataFrame, df: DataFrame) -> DataFrame:
-    """The grid for every volume of df; grid is bounded by its number of blocks."""
-    volumes = df.select("volume_id").distinct().withColumn("_g", F.lit(1))
-    return grid.drop("volume_id").withColumn("_g", F.lit(1)).join(volumes, "_g").drop("_g")
+    # a block's box follows from its number, so cropping joins nothing
+    inside = [(F.col(a) >= first) & (F.col(a) < last) for a, (first, last) in zip(AXES, write_boxes(F.col("block_id"), begin, shape, block))]
+    return made.where(reduce(lambda p, q: p & q, inside))
 
 
 def global_ids(df: DataFrame, voxels_per_block: int, label: str = "label") -> DataFrame:

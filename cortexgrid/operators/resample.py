@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cortexgrid.operators.components import connected_components
 from cortexgrid.operators.grid import AXES, KEY
@@ -28,8 +29,11 @@ def mask_on_grid(fine: DataFrame, coarse: DataFrame, factors: Sequence[int], mas
     return joined.select(*fine.columns, F.coalesce("_mask", F.lit(0)).alias(mask))
 
 
-def iso_resample(df: DataFrame, z_res: float, xy_res: float, sections: int, value: str = "raw") -> DataFrame:
-    """D3: sections 0..n-1 resampled linearly to int(n * z_res / xy_res) ones; end points kept; value is a double."""
+def iso_resample(df: DataFrame, z_res: float, xy_res: float, sections: int, value: str = "raw", whole: bool = False) -> DataFrame:
+    """D3: sections 0..n-1 resampled linearly to int(n * z_res / xy_res) ones; end points kept; value is a double.
+
+    whole cuts values off to whole numbers, as a uint8 result has them.
+    """
     out_n = int(sections * z_res / xy_res)
     step = (sections - 1) / (out_n - 1) if out_n > 1 else 0.0
     targets = df.sparkSession.range(out_n).withColumnRenamed("id", "k").withColumn("pos", F.col("k") * F.lit(step))
@@ -38,7 +42,8 @@ def iso_resample(df: DataFrame, z_res: float, xy_res: float, sections: int, valu
     b = df.select("volume_id", F.col("z").alias("high"), "y", "x", F.col(value).alias("_b"))
     both = targets.join(a, "low").join(b, ["volume_id", "high", "y", "x"])
     part = F.col("pos") - F.col("low")
-    return both.select("volume_id", F.col("k").alias("z"), "y", "x", (F.col("_a") * (1 - part) + F.col("_b") * part).alias(value))
+    made = F.col("_a") * (1 - part) + F.col("_b") * part
+    return both.select("volume_id", F.col("k").alias("z"), "y", "x", (made.cast("int") if whole else made).alias(value))
 
 
 def pad_to_multiple(df: DataFrame, shape: Sequence[int], voxel: Sequence[int], mode: str = "constant", value: str = "raw") -> DataFrame:
@@ -61,39 +66,63 @@ def histogram(df: DataFrame, value: str = "raw", bins: int = 255) -> DataFrame:
     return df.sparkSession.range(bins).withColumnRenamed("id", "v").join(counts, "v", "left").na.fill(0, ["n"])
 
 
-def _one():
-    return Window.partitionBy(F.lit(0)).orderBy("v")  # over at most 256 values
+def _by_value(*unit: str) -> WindowSpec:
+    return Window.partitionBy(*unit).orderBy("v")  # over at most 256 values of a unit
+
+
+def _shares(counts: DataFrame, *unit: str) -> DataFrame:
+    """(unit, v, q): the share of a unit's counts n up to v."""
+    upto = F.sum("n").over(_by_value(*unit).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(*unit, "v", F.try_divide(upto, F.sum("n").over(Window.partitionBy(*unit))).alias("q"))
 
 
+def target_quantiles(target: DataFrame, value: str = "raw", by: Sequence[str] = (), bins: int = 255) -> DataFrame:
+    """(by, v, q): each value's cumulative share in its unit, with bin 0 re-estimated from bins 1 and 2.
 
-def target_quantiles(target: DataFrame, value: str = "raw") -> DataFrame:
-    """(v, q): cumulative share of each value, with bin 0 re-estimated from bins 1 and 2."""
-    h = histogram(target, value)
-    first = F.greatest(F.lit(0), 2 * F.lead("n", 1).over(_one()) - F.lead("n", 2).over(_one()))
+    q is null for a unit that this leaves empty.
+    """
+    counts = target.groupBy(*by, F.least(F.col(value), F.lit(bins - 1)).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
+    every = every.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")).alias("v"))
+    h = every.join(counts, [*by, "v"], "left").na.fill(0, ["n"])
+    unit = by or [F.lit(0)]
+    first = F.greatest(F.lit(0), 2 * F.lead("n", 1).over(_by_value(*unit)) - F.lead("n", 2).over(_by_value(*unit)))
     fixed = h.withColumn("n", F.when(F.col("v") == 0, first).otherwise(F.col("n")))
-    upto = _one().rowsBetween(Window.unboundedPreceding, 0)
-    return fixed.select("v", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("q"))
+    upto = F.sum("n").over(_by_value(*unit).rowsBetween(Window.unboundedPreceding, 0))
+    return fixed.select(*by, "v", F.try_divide(upto, F.sum("n").over(Window.partitionBy(*unit))).alias("q"))
 
 
-def match_histogram(source: DataFrame, target: DataFrame, value: str = "raw") -> DataFrame:
-    """Source with values mapped so that their distribution follows the target's; 0 stays 0; truncated to uint8.
+def match_histograms(source: DataFrame, target: DataFrame, pairs: DataFrame, value: str = "raw", unit: str = "unit", goal: str = "target") -> DataFrame:
+    """D6 for many units at once: source's rows once for each of their unit's targets, values mapped, with the column goal.
 
-    The mapping is a table of at most 256 rows; where target quantiles are flat the last index counts.
+    source has unit (a section, volume or data set), target has goal, pairs has the wanted (unit, goal). Each unit's values
+    go to the target's value of the same share, by interpolation in its quantiles: these and the unit's own are sorted
+    together, and the last quantile before an own one is what it lies after. Where target quantiles are flat the last index
+    counts; 0 stays 0; results are truncated to uint8. A unit has at most 256 values, so windows are short; the mapping has
+    256 rows a pair at most, and Catalyst broadcasts it while that is small.
     """
-    counts = source.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    nth = lambda c, i: F.lead(c, i).over(_one())
-    whole = Window.partitionBy(F.lit(0))
-    zero = F.when((nth("v", 1) == 1) & (nth("v", 2) == 2), F.greatest(F.lit(0), 2 * nth("n", 1) - nth("n", 2))).when(F.count(F.lit(1)).over(whole) == 1, F.lit(1)).otherwise(F.lit(0))
-    fixed = counts.withColumn("n", F.when(F.col("v") == 0, zero).otherwise(F.col("n")))
-    quantiles = fixed.select("v", (F.sum("n").over(_one().rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(whole)).alias("q"))
-    t = target_quantiles(target, value).select(F.col("v").alias("tv"), F.col("q").alias("tq")).withColumn("nq", F.lead("tq").over(Window.partitionBy(F.lit(0)).orderBy("tv")))
-    steps = t.agg(F.sort_array(F.collect_list(F.struct("tv", "tq", "nq"))).alias("t"))
-    found = quantiles.withColumn("_k", F.lit(1)).join(steps.withColumn("_k", F.lit(1)), "_k")
-    last = F.element_at(F.filter("t", lambda s: s["tq"] <= F.col("q")), -1)
-    at = found.where("size(filter(t, s -> s.tq <= q)) > 0").withColumn("s", last)
-    mapped = at.select("v", F.when(F.col("s.nq").isNull() | (F.col("s.nq") == F.col("s.tq")), F.col("s.tv").cast("double")).otherwise(F.col("s.tv") + (F.col("q") - F.col("s.tq")) / (F.col("s.nq") - F.col("s.tq"))).alias("m"))
-    lut = mapped.select(F.col("v").alias(value), F.when(F.col("v") == 0, 0).otherwise(F.floor("m")).cast("int").alias("_new"))
-    return source.join(F.broadcast(lut), value, "left").withColumn(value, F.coalesce("_new", F.lit(0))).select(*source.columns)
+    counts = source.groupBy(unit, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    nth = lambda c, i: F.lead(c, i).over(_by_value(unit))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(unit)) == 1
+    zero = F.when((nth("v", 1) == 1) & (nth("v", 2) == 2), F.greatest(F.lit(0), 2 * nth("n", 1) - nth("n", 2))).when(alone, F.lit(1)).otherwise(F.lit(0))
+    own = _shares(counts.withColumn("n", F.when(F.col("v") == 0, zero).otherwise(F.col("n"))), unit)
+    step = target_quantiles(target, value, [goal]).where("q is not null").withColumn("nq", F.lead("q").over(_by_value(goal)))
+    wanted = pairs.select(unit, goal).distinct()
+    asked = wanted.join(own, unit).select(unit, goal, "q", F.lit(1).alias("kind"), "v", F.lit(None).cast("struct<tv:bigint,tq:double,nq:double>").alias("s"))
+    known = wanted.join(step, goal).select(unit, goal, "q", F.lit(0).alias("kind"), "v", F.struct(F.col("v").alias("tv"), F.col("q").alias("tq"), "nq").alias("s"))
+    order = Window.partitionBy(unit, goal).orderBy("q", "kind", "v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = asked.unionByName(known).withColumn("s", F.last("s", True).over(order)).where("kind = 1 and s is not null")
+    flat = F.col("s.nq").isNull() | (F.col("s.nq") == F.col("s.tq"))
+    new = F.when(flat, F.col("s.tv").cast("double")).otherwise(F.col("s.tv") + (F.col("q") - F.col("s.tq")) / (F.col("s.nq") - F.col("s.tq")))
+    lut = placed.select(unit, goal, F.col("v").alias(value), F.when(F.col("v") == 0, 0).otherwise(F.floor(new)).cast("int").alias("_new"))
+    return source.join(wanted, unit).join(lut, [unit, goal, value], "left").select(*(F.coalesce("_new", F.lit(0)).alias(value) if c == value else F.col(c) for c in source.columns), goal)
+
+
+def match_histogram(source: DataFrame, target: DataFrame, value: str = "raw") -> DataFrame:
+    """Source with values mapped so that their distribution follows the target's, as one unit; see match_histograms."""
+    one = source.sparkSession.range(1).select(F.lit(0).alias("_unit"), F.lit(0).alias("_goal"))
+    made = match_histograms(source.withColumn("_unit", F.lit(0)), target.withColumn("_goal", F.lit(0)), one, value, "_unit", "_goal")
+    return made.select(*source.columns)
 
 
 def _moving_mean(df: DataFrame, columns: Sequence[str], win: int, by: Sequence[str]) -> DataFrame:
@@ -123,15 +152,24 @@ def ssim(pairs: DataFrame, height: int, width: int, win: int = 7) -> DataFrame:
     return ssim_map(pairs, win).where(F.col("y").between(half, height - 1 - half) & F.col("x").between(half, width - 1 - half)).groupBy("pair_id").agg(F.avg("s").alias("score"))
 
 
-def otsu(df: DataFrame, value: str = "d") -> DataFrame:
-    """(threshold,) with the largest variance between the classes v <= threshold and v > threshold; smallest of equals."""
-    h = df.groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(F.lit(0))
-    upto = _one().rowsBetween(Window.unboundedPreceding, 0)
-    sums = h.select("v", F.sum("n").over(upto).alias("w0"), F.sum(F.col("n") * F.col("v")).over(upto).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("v")).over(whole).alias("s"))
+def otsu(df: DataFrame, value: str = "d", by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold), for each unit that of the largest variance between the classes v <= threshold and v > threshold.
+
+    The smallest of equals counts.
+    """
+    h = df.groupBy(*by, F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    unit = by or [F.lit(0)]
+    whole, upto = Window.partitionBy(*unit), _by_value(*unit).rowsBetween(Window.unboundedPreceding, 0)
+    sums = h.select(*by, "v", F.sum("n").over(upto).alias("w0"), F.sum(F.col("n") * F.col("v")).over(upto).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("v")).over(whole).alias("s"))
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0"))
     between = F.when(F.col("w") == F.col("w0"), F.lit(0.0)).otherwise(F.col("w0").cast("double") * (F.col("w") - F.col("w0")) * gap * gap)
-    return sums.withColumn("var", F.round(between, 4)).agg(F.max_by(F.col("v"), F.struct("var", -F.col("v"))).alias("threshold"))
+    return sums.withColumn("var", F.round(between, 4)).groupBy(*by).agg(F.max_by(F.col("v"), F.struct("var", -F.col("v"))).alias("threshold"))
+
+
+def change_mask(pairs: DataFrame, win: int = 7) -> DataFrame:
+    """D9 on D8's map: (pair_id, y, x, d, mask), mask 1 where the similarity, as uint8, is at most its pair's threshold."""
+    seen = ssim_map(pairs, win).select("pair_id", "y", "x", F.pmod((F.round("s", 9) * 255).cast("int"), F.lit(256)).alias("d"))
+    return seen.join(otsu(seen, "d", ["pair_id"]), "pair_id").select("pair_id", "y", "x", "d", (F.col("d") <= F.col("threshold")).cast("int").alias("mask"))
 
 
 def change_regions(mask: DataFrame, min_area: int = 40, by: str = "pair_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortexgrid.operators.graph import numbered
 from cortexgrid.operators.grid import KEY
 
 
@@ -57,8 +58,8 @@ def min_sections(df: DataFrame) -> DataFrame:
 
 
 def pair_sections(a: DataFrame, b: DataFrame, name: str = "name") -> DataFrame:
-    """Two sorted listings side by side; the shorter one ends the pairing."""
-    number = lambda d, side: d.select(F.col(name).alias(f"{name}_{side}"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)).alias("pair"))
+    """Two sorted listings side by side; the shorter one ends the pairing. Both are numbered by ranges of names."""
+    number = lambda d, side: numbered(d.select(F.col(name).alias(f"{name}_{side}")), f"{name}_{side}").withColumnRenamed("_id", "pair")
     return number(a, "a").join(number(b, "b"), "pair")
 
 

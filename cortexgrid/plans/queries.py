@@ -130,7 +130,7 @@ def b7_center_crop(spark, sf_dir):
     return B.center_crop(fx.raw(spark, sf_dir), (depth(spark, sf_dir), 8, 8), (100, 4, 3))
 
 
-@query("b8_snap_to_labels", "WITH l AS (SELECT * FROM fx_labels WHERE label = 6) SELECT r.* FROM fx_raw r, (SELECT min(z) AS a, max(z) AS b, min(y) AS c, max(y) AS d, min(x) AS e, max(x) AS f FROM l) WHERE z BETWEEN a AND b AND y BETWEEN c AND d AND x BETWEEN e AND f")
+@query("b8_snap_to_labels", "WITH l AS MATERIALIZED (SELECT volume_id, min(z) AS a, max(z) AS b, min(y) AS c, max(y) AS d, min(x) AS e, max(x) AS f FROM fx_labels WHERE label = 6 GROUP BY volume_id), j AS MATERIALIZED (SELECT r.*, a, b, c, d, e, f FROM fx_raw r JOIN l ON l.volume_id = r.volume_id) SELECT volume_id, z, y, x, raw FROM j WHERE z BETWEEN a AND b AND y BETWEEN c AND d AND x BETWEEN e AND f")
 def b8_snap_to_labels(spark, sf_dir):
     return B.snap_to_labels(fx.raw(spark, sf_dir), fx.labels(spark, sf_dir).where("label = 6"))
 
@@ -296,12 +296,21 @@ def d2_mask_on_grid(spark, sf_dir):
     return D.mask_on_grid(fx.raw(spark, sf_dir), fx.coarse_mask(spark, sf_dir).where("z % 3 != 0"), (5, 2, 2))
 
 
-@query("d3_iso_resample", f"""WITH d AS {_N}, t AS (SELECT n, k, k * ((n - 1) / (CAST(floor(n * 40.0 / 16.0) AS BIGINT) - 1.0::DOUBLE)) AS pos FROM (SELECT n, unnest(range(0, CAST(floor(n * 40.0 / 16.0) AS BIGINT))) AS k FROM d))
-SELECT a.volume_id, k AS z, a.y, a.x, round(a.raw * (1 - (pos - floor(pos))) + b.raw * (pos - floor(pos)), 5) AS raw FROM t JOIN fx_raw a ON a.z = CAST(floor(pos) AS BIGINT) JOIN fx_raw b ON b.z = least(CAST(floor(pos) AS BIGINT) + 1, n - 1) AND b.y = a.y AND b.x = a.x""")
+_ISO = f"""WITH d AS MATERIALIZED ({_N[1:-1]}), t AS MATERIALIZED (SELECT k, pos, CAST(floor(pos) AS BIGINT) AS low, least(CAST(floor(pos) AS BIGINT) + 1, n - 1) AS high, pos - floor(pos) AS part
+FROM (SELECT n, k, k * ((n - 1) / (CAST(floor(n * 40.0 / 16.0) AS BIGINT) - 1.0::DOUBLE)) AS pos FROM (SELECT n, unnest(range(0, CAST(floor(n * 40.0 / 16.0) AS BIGINT))) AS k FROM d))),
+a AS MATERIALIZED (SELECT k, high, part, volume_id, y, x, raw FROM t JOIN fx_raw ON z = low), b AS MATERIALIZED (SELECT k, a.y, a.x, a.volume_id, a.raw * (1 - part) + r.raw * part AS value FROM a JOIN fx_raw r ON r.z = high AND r.y = a.y AND r.x = a.x)"""
+
+
+@query("d3_iso_resample", _ISO + " SELECT volume_id, k AS z, y, x, round(value, 5) AS raw FROM b")
 def d3_iso_resample(spark, sf_dir):
     return rounded(D.iso_resample(fx.raw(spark, sf_dir), 40, 16, depth(spark, sf_dir)), "raw", digits=5)
 
 
+@query("d3_iso_resample_whole", _ISO + " SELECT volume_id, k AS z, y, x, CAST(trunc(value) AS INT) AS raw FROM b")
+def d3_iso_resample_whole(spark, sf_dir):
+    return D.iso_resample(fx.raw(spark, sf_dir), 40, 16, depth(spark, sf_dir), whole=True)
+
+
 @query("d4_pad_to_multiple", f"""WITH d AS {_N}, s AS (SELECT n, CASE WHEN n % 40 = 0 THEN 0 ELSE 40 * (n // 40 + 1) - n END AS p FROM d),
 g AS (SELECT *, unnest(range(0, n + p)) AS z FROM s), gg AS (SELECT z, p, y, x FROM g, (SELECT unnest(range(0, 9)) AS y), (SELECT unnest(range(0, 12)) AS x))
 SELECT 0 AS volume_id, gg.z, gg.y, gg.x, coalesce(r.raw, 0) AS raw FROM gg LEFT JOIN fx_raw r ON r.z = gg.z - p // 2 AND r.y = gg.y AND r.x = gg.x - 2""")
@@ -336,6 +345,31 @@ def d6_match_histogram(spark, sf_dir):
     return D.match_histogram(fx.source(spark, sf_dir), fx.target(spark, sf_dir))
 
 
+def _datasets(spark, sf_dir):
+    """Sections in three data sets, by class."""
+    own = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("z"), (F.col("label") % 3).alias("dataset"))
+    return fx.raw0(spark, sf_dir).join(own, "z").select("dataset", "z", "y", "x", "raw")
+
+
+@query("d6_match_dataset_pairs", """WITH s AS MATERIALIZED (SELECT label % 3 AS dataset, z, y, x, r.raw FROM fx_raw0 r JOIN embeddings ON vec_id = z),
+h AS (SELECT dataset AS target, v, coalesce(n, 0) AS n FROM (SELECT dataset, unnest(range(0, 255)) AS v FROM (SELECT DISTINCT dataset FROM s)) LEFT JOIN (SELECT dataset, least(raw, 254) AS v, count(*) AS n FROM s GROUP BY 1, 2) USING (dataset, v)),
+h2 AS (SELECT target, v, CASE WHEN v = 0 THEN greatest(0, 2 * lead(n) OVER w - lead(n, 2) OVER w) ELSE n END AS n FROM h WINDOW w AS (PARTITION BY target ORDER BY v)),
+t AS (SELECT target, v AS tv, sum(n) OVER (PARTITION BY target ORDER BY v) / (sum(n) OVER (PARTITION BY target))::DOUBLE AS tq FROM h2), t2 AS MATERIALIZED (SELECT *, lead(tq) OVER (PARTITION BY target ORDER BY tv) AS nq FROM t),
+c AS (SELECT dataset, z, raw AS v, count(*) AS n FROM s GROUP BY ALL),
+c2 AS (SELECT dataset, z, v, CASE WHEN v = 0 THEN CASE WHEN lead(v) OVER w = 1 AND lead(v, 2) OVER w = 2 THEN greatest(0, 2 * lead(n) OVER w - lead(n, 2) OVER w) WHEN count(*) OVER (PARTITION BY dataset, z) = 1 THEN 1 ELSE 0 END ELSE n END AS n FROM c WINDOW w AS (PARTITION BY dataset, z ORDER BY v)),
+q AS MATERIALIZED (SELECT dataset, z, v, sum(n) OVER (PARTITION BY dataset, z ORDER BY v) / (sum(n) OVER (PARTITION BY dataset, z))::DOUBLE AS q FROM c2),
+m AS MATERIALIZED (SELECT q.*, target, max(tv) AS tv FROM q JOIN t2 ON target <> dataset WHERE tq <= q GROUP BY ALL),
+lut AS MATERIALIZED (SELECT dataset, z, target, v, CASE WHEN v = 0 THEN 0 WHEN nq IS NULL OR nq = tq THEN m.tv ELSE floor(m.tv + (q - tq) / (nq - tq)) END AS new FROM m JOIN t2 USING (target, tv)),
+p AS MATERIALIZED (SELECT a.dataset, b.dataset AS target FROM (SELECT DISTINCT dataset FROM s) a JOIN (SELECT DISTINCT dataset FROM s) b ON a.dataset <> b.dataset)
+SELECT s.dataset, s.z, y, x, p.target, CAST(coalesce(new, 0) AS INT) AS raw FROM s JOIN p USING (dataset) LEFT JOIN lut ON lut.dataset = s.dataset AND lut.z = s.z AND lut.target = p.target AND lut.v = s.raw""")
+def d6_match_dataset_pairs(spark, sf_dir):
+    """Each section to the whole of every other data set."""
+    df = _datasets(spark, sf_dir).withColumn("unit", F.struct("dataset", "z"))
+    both = S.dataset_pairs(df.select("dataset"), "dataset")
+    pairs = df.select("unit").distinct().join(both, F.col("unit.dataset") == F.col("source")).select("unit", "target")
+    return D.match_histograms(df, df.select(F.col("dataset").alias("target"), "raw"), pairs).select("dataset", "z", "y", "x", "target", "raw")
+
+
 @query("d7_to_grey", "SELECT volume_id, z, y, x, round(0.299::DOUBLE * raw + 0.587::DOUBLE * (255 - raw) + 0.114::DOUBLE * (raw // 2), 6) AS grey FROM fx_raw")
 def d7_to_grey(spark, sf_dir):
     r = F.col("raw")
@@ -354,23 +388,30 @@ o AS (SELECT v AS threshold FROM (SELECT v, round(CASE WHEN w = w0 THEN 0 ELSE w
 """
 
 
-def _differences(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).withColumn("d", F.abs(F.col("a") - F.col("b")))
-
-
 @query("d9_otsu", _OTSU + "SELECT CAST(threshold AS BIGINT) AS threshold FROM o")
 def d9_otsu(spark, sf_dir):
-    return D.otsu(_differences(spark, sf_dir))
+    return D.otsu(fx.pairs(spark, sf_dir).withColumn("d", F.abs(F.col("a") - F.col("b"))))
 
 
-@query("d10_change_regions", _OTSU + """, m AS (SELECT pair_id, y, x, y * 8 + x AS i FROM fx_pairs, o WHERE abs(a - b) <= threshold),
-r AS (SELECT pair_id, i, i AS reach FROM m UNION SELECT r.pair_id, m.i, r.reach FROM r JOIN m ON m.pair_id = r.pair_id AND (m.i = r.i + 8 OR m.i = r.i - 8 OR (m.i = r.i + 1 AND m.x > 0) OR (m.i = r.i - 1 AND m.x < 7))),
+_CHANGES = """WITH near AS MATERIALIZED (SELECT a.pair_id, a.y, a.x, avg(b.a::DOUBLE) AS ma, avg(b.b::DOUBLE) AS mb, avg(b.a::DOUBLE * b.a) AS aa, avg(b.b::DOUBLE * b.b) AS bb, avg(b.a::DOUBLE * b.b) AS ab FROM fx_pairs a JOIN fx_pairs b ON b.pair_id = a.pair_id WHERE b.y BETWEEN a.y - 3 AND a.y + 3 AND b.x BETWEEN a.x - 3 AND a.x + 3 GROUP BY 1, 2, 3),
+m AS MATERIALIZED (SELECT pair_id, y, x, ((CAST(trunc(round((2 * ma * mb + 6.5025::DOUBLE) * (2 * (49 / 48.0::DOUBLE) * (ab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * ((49 / 48.0::DOUBLE) * (aa - ma * ma + bb - mb * mb) + 58.5225::DOUBLE)), 9) * 255) AS INT) % 256) + 256) % 256 AS d FROM near),
+h AS (SELECT pair_id, d AS v, count(*) AS n FROM m GROUP BY 1, 2),
+s AS (SELECT pair_id, v, sum(n) OVER o::DOUBLE AS w0, sum(n * v) OVER o::DOUBLE AS s0, (sum(n) OVER u)::DOUBLE AS w, (sum(n * v) OVER u)::DOUBLE AS s FROM h WINDOW o AS (PARTITION BY pair_id ORDER BY v), u AS (PARTITION BY pair_id)),
+t AS MATERIALIZED (SELECT pair_id, arg_max(v, {'var': round(CASE WHEN w = w0 THEN 0 ELSE w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) END, 4), 'v': -v}) AS threshold FROM s GROUP BY pair_id)
+"""
+
+
+@query("d9_otsu_pairs", _CHANGES + "SELECT pair_id, CAST(threshold AS BIGINT) AS threshold FROM t")
+def d9_otsu_pairs(spark, sf_dir):
+    return D.change_mask(fx.pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max(F.when(F.col("mask") == 1, F.col("d"))).cast("bigint").alias("threshold"))
+
+
+@query("d10_change_regions", _CHANGES + """, c0 AS MATERIALIZED (SELECT pair_id, y * 8 + x AS i, x FROM m JOIN t USING (pair_id) WHERE d <= threshold),
+r AS (SELECT pair_id, i, i AS reach FROM c0 UNION SELECT r.pair_id, c0.i, r.reach FROM r JOIN c0 ON c0.pair_id = r.pair_id AND (c0.i = r.i + 8 OR c0.i = r.i - 8 OR (c0.i = r.i + 1 AND c0.x > 0) OR (c0.i = r.i - 1 AND c0.x < 7))),
 c AS (SELECT pair_id, i, min(reach) AS region FROM r GROUP BY 1, 2)
 SELECT pair_id, pair_id * 1099511627776 + (region // 8) * 1048576 + region % 8 AS region, count(*) AS area, min(i // 8) AS y0, max(i // 8) AS y1, min(i % 8) AS x0, max(i % 8) AS x1 FROM c GROUP BY pair_id, region HAVING count(*) > 4""", True)
 def d10_change_regions(spark, sf_dir):
-    d = _differences(spark, sf_dir)
-    limit = D.otsu(d).first().threshold
-    return D.change_regions(d.withColumn("mask", (F.col("d") <= limit).cast("int")), 4)
+    return D.change_regions(D.change_mask(fx.pairs(spark, sf_dir)), 4)
 
 
 @query("d11_pair_sections", "WITH a AS (SELECT s_name AS n, row_number() OVER (ORDER BY s_name) AS pair FROM supplier), b AS (SELECT p_name AS n, row_number() OVER (ORDER BY p_name) AS pair FROM (SELECT DISTINCT p_name FROM part)) SELECT a.n AS name_a, b.n AS name_b, a.pair FROM a JOIN b USING (pair)")
@@ -485,6 +526,11 @@ def e10_export_indicator(spark, sf_dir):
     return E.export_indicator(fx.syn(spark, sf_dir))
 
 
+@query("e10_indicator_metadata", "SELECT DISTINCT volume_id, 'volumes/pred_syn_indicator' AS dataset, 'uint8' AS dtype, 255.0::DOUBLE AS scale FROM fx_syn")
+def e10_indicator_metadata(spark, sf_dir):
+    return E.output_metadata(fx.syn(spark, sf_dir), {"indicator": ("volumes/pred_syn_indicator", "uint8", 255.0)})
+
+
 _CLIP = "CAST(trunc(greatest(-128, least(127, vec[{}] / 0.05::DOUBLE * 0.25::DOUBLE))) AS INT)"
 
 
@@ -493,7 +539,7 @@ def e11_export_vectors(spark, sf_dir):
     return spread(E.export_vectors(fx.syn(spark, sf_dir), to_nm=0.05), "vec", 3)
 
 
-@query("e12_fuse_predictions", "SELECT volume_id, z, y, x, round(i.indicator, 6) AS indicator, round(v.vec[3], 6) AS dx FROM (SELECT * FROM fx_syn WHERE z % 3 <> 0) i FULL JOIN (SELECT * FROM fx_syn WHERE z % 4 <> 0) v USING (volume_id, z, y, x)")
+@query("e12_fuse_predictions", "WITH i AS MATERIALIZED (SELECT volume_id, z, y, x, indicator FROM fx_syn WHERE z % 3 <> 0), v AS MATERIALIZED (SELECT volume_id, z, y, x, vec[3] AS dx FROM fx_syn WHERE z % 4 <> 0), j AS MATERIALIZED (SELECT i.volume_id, i.z, i.y, i.x, indicator, dx FROM i LEFT JOIN v ON v.volume_id = i.volume_id AND v.z = i.z AND v.y = i.y AND v.x = i.x), k AS MATERIALIZED (SELECT v.volume_id, v.z, v.y, v.x, dx FROM v ANTI JOIN i ON v.volume_id = i.volume_id AND v.z = i.z AND v.y = i.y AND v.x = i.x) SELECT volume_id, z, y, x, round(indicator, 6) AS indicator, round(dx, 6) AS dx FROM j UNION ALL SELECT volume_id, z, y, x, NULL, round(dx, 6) FROM k")
 def e12_fuse_predictions(spark, sf_dir):
     s = fx.syn(spark, sf_dir)
     both = E.fuse_predictions(s.where("z % 3 != 0").drop("vec"), s.where("z % 4 != 0").drop("indicator"), "full_outer")
@@ -838,6 +884,16 @@ def f23_write_rag(spark, sf_dir):
     return spark.read.parquet(f"{path}/edges").select("u", "v", "contacts")
 
 
+@query("f16_rag_store", "SELECT e.u, e.v, e.contacts FROM fx_rag_edges e JOIN fx_rag_nodes a ON a.node = e.u JOIN fx_rag_nodes b ON b.node = e.v WHERE (a.center_z + b.center_z) / 2 >= 12 AND (a.center_z + b.center_z) / 2 < 31 AND (a.center_y + b.center_y) / 2 >= 100 AND (a.center_y + b.center_y) / 2 < 3000 AND (a.center_x + b.center_x) / 2 >= 7 AND (a.center_x + b.center_x) / 2 < 41")
+def f16_rag_store(spark, sf_dir):
+    """The whole graph written by block, then a box read."""
+    path, block = scratch_path(spark, "rag"), (10, 2000, 50)
+    nodes = fx.graph_nodes(spark, sf_dir)
+    far = (-10**7,) * 3, (2 * 10**7,) * 3
+    H.write_rag(nodes, H.edge_centers(_edge_list(spark, sf_dir), nodes), path, *far, block)
+    return H.read_rag(spark, path, (12, 100, 7), (19, 2900, 34), block)[1].select("u", "v", "contacts")
+
+
 @query("g4_pending_stream", "SELECT block_id FROM fx_log WHERE block_id NOT IN (SELECT block_id FROM fx_done)")
 def g4_pending_stream(spark, sf_dir):
     done = fx.done(spark, sf_dir).select("block_id", F.col("start").cast("timestamp").alias("start"), F.col("duration").cast("double").alias("duration"), "worker")
