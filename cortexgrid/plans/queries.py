@@ -23,6 +23,7 @@ from cortexgrid.plans import fixtures as fx
 from cortexgrid.plans.cut import scratch_path
 from cortexgrid.sources import volumes as V
 from cortexgrid.streaming.pending import log_stream, pending_after, pending_stream
+from cortexgrid.streaming.states import current_states, states_stream, wait_idle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -904,6 +905,22 @@ def g4_pending_stream(spark, sf_dir):
     return pending_after(spark, grid, out)
 
 
+@query("g4_block_states", "SELECT block_id, CASE WHEN block_id IN (SELECT block_id FROM fx_done) THEN 'finished' ELSE 'pending' END AS status, false AS overdue FROM (SELECT DISTINCT block_id FROM fx_log)")
+def g4_block_states(spark, sf_dir):
+    """All blocks planned and the log read as streams; the deadline is far off."""
+    grid, entries, out = (scratch_path(spark, name) for name in ("grid", "entries", "states"))
+    fx.log(spark, sf_dir).select("block_id").distinct().write.parquet(grid)
+    done = fx.done(spark, sf_dir).select("block_id", F.col("duration").cast("double").alias("duration"))
+    done.unionByName(done).write.parquet(entries)  # each row twice
+    planned, log = spark.readStream.schema("block_id long").parquet(grid), spark.readStream.schema("block_id long, duration double").parquet(entries)
+    running = states_stream(planned, log, out, scratch_path(spark, "stream"), 86_400_000, "1 second")
+    try:
+        wait_idle(running)
+    finally:
+        running.stop()
+    return current_states(spark, out).select("block_id", "status", "overdue")
+
+
 _BMP_ROWS = "z long, bytes long"
 
 

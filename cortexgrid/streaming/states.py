@@ -7,6 +7,7 @@ checkpoint.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -79,6 +80,17 @@ def states_stream(planned: DataFrame, log: DataFrame, out: str, checkpoint: str,
     return changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def wait_idle(query: StreamingQuery) -> None:
+    """Until a batch without new rows has ended; with timers, batches go on without end, so processAllAvailable never returns."""
+    while query.isActive:
+        last = query.lastProgress
+        if last is not None and last["batchId"] > 0 and last["numInputRows"] == 0:
+            return
+        time.sleep(0.2)
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def current_states(spark: SparkSession, out: str) -> DataFrame:
     """The latest of each block's changes: a block goes from pending to overdue to finished and never back."""
     rank = F.when(F.col("status") == "finished", 2).when(F.col("status") == "overdue", 1).otherwise(0)
