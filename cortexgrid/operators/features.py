@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.functions.pixels import ensure_uint8, invert, max_channel, scale_shift, scale_shift_clip
+from cortexgrid.operators.blocks import BLOCK, Block, map_arrays
 from cortexgrid.operators.grid import AXES, KEY
 
 #: Neighbourhoods of affinities.
@@ -27,22 +30,24 @@ def shifted(df: DataFrame, offsets: Sequence[Sequence[int]], columns: Sequence[s
     return want.join(have, ["volume_id", *(f"_{a}" for a in AXES)], "left").drop(*(f"_{a}" for a in AXES))
 
 
-def _channels(long: DataFrame, channel: Column, name: str) -> DataFrame:
-    pairs = F.sort_array(F.collect_list(F.struct("o", channel.alias("v"))))
-    return long.groupBy(*KEY).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+def affinities(df: DataFrame, offsets: Sequence[Sequence[int]] = SHORT, label: str = "label", block: Sequence[int] = BLOCK) -> DataFrame:
+    """affs[o] = 1 where the labels at the voxel and at its offset are equal and above 0. By blocks of arrays."""
 
+    def equal(b: Block) -> dict[str, pa.Array]:
+        own = b.at(b.values[label])
+        return b.voxels(affs=np.stack([(own > 0) & (own == b.at(b.values[label], o)) for o in offsets]).astype(np.int32))
 
-def affinities(df: DataFrame, offsets: Sequence[Sequence[int]] = SHORT, label: str = "label") -> DataFrame:
-    """affs[o] = 1 where the labels at the voxel and at its offset are equal and above 0."""
-    long = shifted(df.select(*KEY, label), offsets, [label])
-    same = (F.col(label) > 0) & (F.col(label) == F.col(f"{label}_o"))
-    return _channels(long, F.when(same, 1).otherwise(0), "affs")
+    return map_arrays(df, [label], equal, "z long, y long, x long, affs array<int>", offsets, block)
 
 
-def affinity_mask(df: DataFrame, offsets: Sequence[Sequence[int]] = SHORT, mask: str = "mask") -> DataFrame:
-    """1 where both ends of the offset are masked-in."""
-    long = shifted(df.select(*KEY, mask), offsets, [mask])
-    return _channels(long, F.when((F.col(mask) > 0) & (F.col(f"{mask}_o") > 0), 1).otherwise(0), "affs_mask")
+def affinity_mask(df: DataFrame, offsets: Sequence[Sequence[int]] = SHORT, mask: str = "mask", block: Sequence[int] = BLOCK) -> DataFrame:
+    """1 where both ends of the offset are masked-in. By blocks of arrays."""
+
+    def both(b: Block) -> dict[str, pa.Array]:
+        own = b.at(b.values[mask]) > 0
+        return b.voxels(affs_mask=np.stack([own & (b.at(b.values[mask], o) > 0) for o in offsets]).astype(np.int32))
+
+    return map_arrays(df, [mask], both, "z long, y long, x long, affs_mask array<int>", offsets, block)
 
 
 def balance_weights(df: DataFrame, value: str, mask: str, by: Sequence[str]) -> DataFrame:

@@ -6,9 +6,12 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cortexgrid.operators.blocks import BLOCK, Block, map_arrays
 from cortexgrid.operators.components import components_of_edges, connected_components
 from cortexgrid.operators.features import shifted
 from cortexgrid.operators.grid import AXES, KEY
@@ -32,11 +35,54 @@ def half_neighbourhood(connectivity: int = 2) -> list[tuple[int, int, int]]:
     return [o for o in near if o < (0, 0, 0) and sum(map(abs, o)) <= connectivity]
 
 
-def rag_edges(df: DataFrame, connectivity: int = 2, label: str = "label") -> DataFrame:
-    """(u, v) of labels above 0 that touch."""
-    long = shifted(df.select(*KEY, label), half_neighbourhood(connectivity), [label])
-    met = long.where((F.col(label) > 0) & (F.col(f"{label}_o") > 0) & (F.col(label) != F.col(f"{label}_o")))
-    return met.select(F.least(label, f"{label}_o").alias("u"), F.greatest(label, f"{label}_o").alias("v")).distinct()
+def rag_edges(df: DataFrame, connectivity: int = 2, label: str = "label", block: Sequence[int] = BLOCK) -> DataFrame:
+    """(u, v) of labels above 0 that touch. A block gives each of its pairs once."""
+    offsets = half_neighbourhood(connectivity)
+
+    def touching(b: Block) -> dict[str, pa.Array]:
+        own, pairs = b.at(b.values[label]), []
+        for o in offsets:
+            near = b.at(b.values[label], o)
+            met = (own > 0) & (near > 0) & (own != near)
+            pairs.append(np.stack((np.minimum(own[met], near[met]), np.maximum(own[met], near[met])), axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0).astype(np.int64)
+        return {"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])}
+
+    return map_arrays(df, [label], touching, "u long, v long", offsets, block).select("u", "v").distinct()
+
+
+def contact_bins(df: DataFrame, affs: DataFrame, label: str = "label", block: Sequence[int] = BLOCK) -> DataFrame:
+    """(u, v, bin, n, whole): contacts across faces between labels above 0, by their affinity's bin, and the sum of their
+    affinities in WHOLE parts. Each block sums its own contacts; a face's affinity is that of its later voxel.
+    """
+    faces = [(-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+    # without affinities a voxel isn't the later one of a contact, but it is a neighbour
+    both = df.select(*KEY, label).join(affs.select(*KEY, "affs"), KEY, "left").withColumn("known", F.col("affs").isNotNull().cast("int"))
+    both = both.withColumn("affs", F.coalesce("affs", F.array_repeat(F.lit(0.0), 3)))
+
+    def summed(b: Block) -> dict[str, pa.Array]:
+        own, known, rows = b.at(b.values[label]), b.at(b.values["known"]) > 0, []
+        for k, o in enumerate(faces):
+            near = b.at(b.values[label], o)
+            met = known & (own > 0) & (near > 0) & (own != near)
+            a = b.at(b.values["affs"])[k][met]
+            rows.append((np.minimum(own[met], near[met]), np.maximum(own[met], near[met]), np.minimum(np.floor(a * (BINS - 1)), BINS - 1), np.rint(a * WHOLE)))
+        u, v, bins, whole = (np.concatenate(x).astype(np.int64) for x in zip(*rows))
+        found, at, n = np.unique(np.stack((u, v, bins)), axis=1, return_inverse=True, return_counts=True)
+        total = np.zeros(found.shape[1], np.int64)
+        np.add.at(total, at.ravel(), whole)
+        return {"u": pa.array(found[0]), "v": pa.array(found[1]), "bin": pa.array(found[2]), "n": pa.array(n.astype(np.int64)), "whole": pa.array(total)}
+
+    made = map_arrays(both, [label, "affs", "known"], summed, "u long, v long, bin long, n long, whole long", faces, block)
+    return made.groupBy("u", "v", "bin").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
+
+
+def score_bins(bins: DataFrame, how: str = "mean") -> DataFrame:
+    """F13 on contact_bins' sums; the same as score_edges on contacts."""
+    if how == "mean":
+        n, whole = F.sum("n"), F.sum("whole")
+        return bins.groupBy("u", "v").agg(n.alias("contacts"), F.round(1 - whole / (n * WHOLE), DIGITS).alias("merge_score"))
+    return quantile_scores(bins)
 
 
 def contacts(df: DataFrame, affs: DataFrame, label: str = "label") -> DataFrame:

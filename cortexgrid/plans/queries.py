@@ -672,19 +672,23 @@ j AS MATERIALIZED (SELECT s.label AS la, b.label AS lb, c, s.z, s.y, s.x FROM s
 met AS (SELECT least(la, lb) AS u, greatest(la, lb) AS v, f.affs[c] AS a FROM j JOIN fx_affs f ON f.z = j.z AND f.y = j.y AND f.x = j.x WHERE lb > 0 AND la <> lb)"""
 
 
+def _bins(spark, sf_dir):
+    return H.contact_bins(fx.labels(spark, sf_dir), fx.affs(spark, sf_dir))
+
+
 def _met(spark, sf_dir):
     return H.contacts(fx.labels(spark, sf_dir), fx.affs(spark, sf_dir))
 
 
 @query("f13_score_edges", _CONTACTS + " SELECT u, v, count(*) AS contacts, round(1 - CAST(sum(CAST(round(a * 1000000000) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 1000000000 AS DOUBLE), 9) AS merge_score FROM met GROUP BY u, v")
 def f13_score_edges(spark, sf_dir):
-    return H.score_edges(_met(spark, sf_dir))
+    return H.score_bins(_bins(spark, sf_dir))
 
 
 @query("f13_score_edges_quantile", _CONTACTS + """, h AS (SELECT u, v, CAST(floor(a * 255) AS INT) AS bin, count(*) AS n FROM met GROUP BY ALL), q AS (SELECT u, v, bin, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
 SELECT u, v, CAST(min(total) AS BIGINT) AS contacts, round(1 - min(bin) / 255.0::DOUBLE, 6) AS merge_score FROM q WHERE upto >= 0.25 * total GROUP BY u, v""")
 def f13_score_edges_quantile(spark, sf_dir):
-    return rounded(H.score_edges(_met(spark, sf_dir), "quantile"), "merge_score")
+    return rounded(H.score_bins(_bins(spark, sf_dir), "quantile"), "merge_score")
 
 
 @query("f14_edge_centers", "SELECT e.u, e.v, e.contacts, round((a.center_z + b.center_z) / 2, 4) AS center_z, round((a.center_y + b.center_y) / 2, 4) AS center_y, round((a.center_x + b.center_x) / 2, 4) AS center_x FROM fx_rag_edges e JOIN fx_rag_nodes a ON a.node = e.u JOIN fx_rag_nodes b ON b.node = e.v")
@@ -779,7 +783,7 @@ def f21_agglomerate(spark, sf_dir):
 @query("f21_agglomerate_quantile", _BY_QUANTILE, True)
 def f21_agglomerate_quantile(spark, sf_dir):
     nodes = H.fragment_nodes(fx.labels(spark, sf_dir))
-    return H.agglomerate_quantile(nodes, H.edge_histograms(_met(spark, sf_dir)), 0.75)
+    return H.agglomerate_quantile(nodes, _bins(spark, sf_dir), 0.75)
 
 
 @query("f22_sweep", _CONTACTS + """, e AS (SELECT u, v, 1 - avg(a) AS s FROM met GROUP BY u, v), n AS (SELECT DISTINCT label AS node FROM fx_labels WHERE label > 0), t AS (SELECT 0.35 + 0.05 * unnest(range(0, 9)) AS t),
