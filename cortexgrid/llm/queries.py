@@ -1,4 +1,4 @@
-"""One query per operator, with production parameters, over its whole table."""
+"""One query per operator, with production parameters, over its whole table; an empty table gives no rows in any of them."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256); null texts count as empty, repeated rows stay, no rows give none."""
     back = bpe.bpe_round_trip(docs.select("doc_id", "text"), tokenizer_path())
     return back.select(
         "doc_id",
@@ -43,65 +44,79 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of the text they decode to; null texts count as empty, repeated rows stay, very long words are encoded like others."""
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document; null and wordless texts have empty sets and are linked with nothing."""
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document; texts without a letter, null ones too, have none, ties go to the language listed first, repeated rows get equal results."""
     found = language.document_languages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 
 def op2_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of pages, with priors of the address's host and suffix; null pages have no language, a null address is a value of its own."""
     return language.page_languages(_table(spark, sf_dir, "pages")).withColumn("confidence", F.round("confidence", 6))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each document; null and empty texts have no words and fail the base rules; repeated rows get equal verdicts."""
     return rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record as read back from its archive; null pages are empty payloads."""
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text; null texts count as empty, equal texts have equal fingerprints, one document alone is its own next one."""
     found = fingerprints.document_fingerprints(_table(spark, sf_dir, "documents"))
     text = fingerprints.as_text
     return found.select("doc_id", "n_chars", "edited_sha256", text(F.col("sketch")).alias("fingerprint"), text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; null texts have size 0; null sources come last; rows that repeat share copies evenly."""
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; null and empty texts stay as they are, repeated rows keep the same lines."""
     docs = _table(spark, sf_dir, "documents")
     return lines.dedup_lines(docs.withColumn("old_chars", F.length("text"))).select("doc_id", "text", "lang", "source", "n_chars", "old_chars")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document; null texts have size 8; equal rows are told apart by a number."""
     return shards.document_shards(_table(spark, sf_dir, "documents"), 24)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of each document; null and empty texts have none; repeated rows share their spans."""
     return licenses.document_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 35 words that start twice; null texts are empty, repeated rows repeat each other."""
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=35)
     return kept.select("doc_id", "n_words", "n_removed", substrings.digest("text").alias("kept_sha256"))
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of each document; null and empty texts, and those that don't come back whole, have zeros; repeated rows count each."""
     found = alignment.align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path(), digest=True)
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost and repair of each damaged conversation; nulls read as one space, a null conv_id is one conversation."""
     given = _table(spark, sf_dir, "conversations")
     return conversations.conversation_digests(given, conversations.damaged(given))
 
