@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexgrid.operators.components import connected_components
 from cortexgrid.operators.graph import dense_ids
 from cortexgrid.operators.grid import AXES, KEY, gather_halo
+from cortexgrid.operators.lines import along
 from cortexgrid.operators.resample import gaussian
 from cortexgrid.plans import materialize
 
@@ -25,10 +25,6 @@ def apply_mask(df: DataFrame, mask: DataFrame, value: str) -> DataFrame:
     return df.join(mask.select(*KEY, "mask"), KEY, "left").withColumn(value, new).drop("mask")
 
 
-#: Voxels of lines, filled up to the longest, whose envelopes are made at once.
-LINE_VOXELS = 1 << 20
-
-
 def lower_envelope(place: np.ndarray, height: np.ndarray) -> np.ndarray:
     """min over j of height[j] + (place[i] - place[j])^2 for each i of each line (row); places rise, heights may be infinite.
 
@@ -65,60 +61,6 @@ def lower_envelope(place: np.ndarray, height: np.ndarray) -> np.ndarray:
     return out
 
 
-def _along(df: DataFrame, axis: str) -> DataFrame:
-    """df (KEY, g) with g, a squared distance or null, brought along one axis: a line's voxels go to one task, in order."""
-    rest = [k for k in KEY if k != axis]
-    column = df.columns.index(axis)
-    others = [df.columns.index(k) for k in rest]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            new = np.zeros(rows.num_rows, bool)
-            new[:1] = True
-            for k in others:
-                values = rows.column(k).combine_chunks() if rows.num_rows else rows.column(k)
-                code = values.dictionary_encode().indices.to_numpy(zero_copy_only=False) if not pa.types.is_integer(values.type) or values.null_count else values.to_numpy()
-                new[1:] |= code[1:] != code[:-1]
-            first = np.flatnonzero(new)
-            whole = rows.num_rows if last else int(first[-1])
-            held[:] = [] if last else rows.slice(whole).to_batches()
-            first = first[first < whole]
-            sizes = np.diff(np.append(first, whole))
-            order = np.argsort(sizes, kind="stable")  # lines of like length together
-            place = rows.column(column).to_numpy()
-            g = rows.column("g").combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64) if rows.num_rows else np.zeros(0)
-            g = np.where(np.isnan(g), np.inf, g)
-            made = np.full(rows.num_rows, np.inf)
-            while len(order):
-                many = max(1, min(len(order), int(np.searchsorted(sizes[order] * np.arange(1, len(order) + 1), LINE_VOXELS, "right"))))
-                own, order = order[:many], order[many:]
-                n = int(sizes[own].max())
-                at = first[own][:, None] + np.minimum(np.arange(n), sizes[own][:, None] - 1)
-                beyond = np.arange(n) >= sizes[own][:, None]
-                found = lower_envelope(place[at] + np.where(beyond, np.arange(n) - sizes[own][:, None] + 1, 0), np.where(beyond, np.inf, g[at]))
-                made[at[~beyond]] = found[~beyond]
-            made = made[:whole]
-            if whole:
-                out = rows.slice(0, whole).set_column(df_g, "g", pa.array(made, mask=np.isinf(made)))
-                yield from out.combine_chunks().to_batches()
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= LINE_VOXELS:
-                yield from ready(False)
-                size = sum(b.num_rows for b in held)
-        if held:
-            yield from ready(True)
-
-    df_g = df.columns.index("g")
-    return df.repartition(*rest).sortWithinPartitions(*rest, axis).mapInArrow(run, df.schema)
-
-
 def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "mask") -> DataFrame:
     """distance, in voxels along axes, to the nearest voxel with mask 0; null where there is none.
 
@@ -133,7 +75,7 @@ def distance_transform(df: DataFrame, axes: Sequence[str] = AXES, mask: str = "m
     near = F.least(F.col(last) - before, after - F.col(last))
     out = df.select(*KEY, (near * near).cast("double").alias("g"))
     for axis in others:
-        out = _along(out, axis)
+        out = along(out, axis, "g", lower_envelope)
     return out.select(*KEY, F.sqrt("g").alias("distance"))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cortexgrid.operators.components import connected_components
 from cortexgrid.operators.grid import AXES, KEY
+from cortexgrid.operators.lines import along
 
 
 def upsample(df: DataFrame, factors: Sequence[int]) -> DataFrame:
@@ -191,20 +193,29 @@ def gaussian_kernel(sigma: float, truncate: float = 3.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def reflected(at: Column, n: int) -> Column:
-    """Index reflected at both borders, the border voxel counted twice; at must be within n of the box."""
-    return F.when(at < 0, -at - 1).when(at >= n, 2 * n - 1 - at).otherwise(at)
+def gaussian(df: DataFrame, sigma: float, shape: dict[str, int], value: str = "raw") -> DataFrame:
+    """Separable smoothing along the axes in shape (axis -> length), with reflection at borders, the border voxel counted twice.
 
+    A line is one array and a pass is one sum of shifted arrays; voxels that are missing or null add nothing.
+    """
+    weights = gaussian_kernel(sigma)
+    r = len(weights) // 2
+
+    def smooth(n: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def run(place: np.ndarray, given: np.ndarray) -> np.ndarray:
+            row, at = np.nonzero(np.isfinite(given) & (place >= 0) & (place < n))
+            dense = np.zeros((len(given), n))
+            dense[row, place[row, at]] = given[row, at]
+            padded = np.pad(dense, ((0, 0), (r, r)), "symmetric")
+            made = sum(w * padded[:, k : k + n] for k, w in enumerate(weights))
+            out = np.full(given.shape, np.inf)
+            row, at = np.nonzero((place >= 0) & (place < n))
+            out[row, at] = made[row, place[row, at]]
+            return out
+
+        return run
 
-def gaussian(df: DataFrame, sigma: float, shape: dict[str, int], value: str = "raw") -> DataFrame:
-    """Separable smoothing along the axes in shape (axis -> length), with reflection at borders."""
-    kernel = gaussian_kernel(sigma)
-    r = len(kernel) // 2
-    weights = F.array(*(F.struct(F.lit(i - r).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(kernel)))
     out = df.select(*KEY, F.col(value).cast("double").alias(value))
     for axis, n in shape.items():
-        want = out.select(*KEY, F.explode(weights).alias("k")).select(*KEY, F.col("k.w").alias("w"), reflected(F.col(axis) + F.col("k.o"), n).cast("bigint").alias("_at"))
-        other = [k for k in KEY if k != axis]
-        have = out.select(*other, F.col(axis).alias("_at"), value)
-        out = want.join(have, [*other, "_at"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+        out = along(out, axis, value, smooth(n))
     return out

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cortexgrid.operators import features as E
 from cortexgrid.operators import fragments as R
+from cortexgrid.operators import lines
+from cortexgrid.operators import resample as D
 
 VOXELS = "volume_id int, z long, y long, x long, "
 
@@ -30,7 +32,7 @@ def test_lower_envelope():
 
 @pytest.mark.parametrize("many", [1 << 20, 40])
 def test_distances_of_sparse_volumes(spark, monkeypatch, many):
-    monkeypatch.setattr(R, "LINE_VOXELS", many)
+    monkeypatch.setattr(lines, "LINE_VOXELS", many)
     rng = np.random.default_rng(2)
     at = sorted({tuple(int(v) for v in p) for p in rng.integers(-9, 9, (300, 3))})
     rows = [(v, *p, int(rng.random() > 0.05)) for v in (0, 3) for p in at]
@@ -166,3 +168,25 @@ def test_descriptors_make_few_rows(spark):
         sums = E._weighted_along(sums, axis, sigma, "label", [()])
     # sums reach r beyond the volume, so a pass has at most (n + 2 r) / n times the rows of the one before
     assert made <= 3 * (2 * r + 1) * n**3 * ((n + 2 * r) / n) ** 2 < (2 * r + 1) ** 3 * n**3
+
+
+@pytest.mark.parametrize("sigma", [0.6, 2.0])
+def test_smoothing_reflects_at_borders(spark, sigma):
+    a = np.random.default_rng(8).random((5, 9, 7))
+    w = D.gaussian_kernel(sigma)
+    r, want = len(w) // 2, a
+    for axis in range(3):
+        padded = np.pad(want, [(r, r) if k == axis else (0, 0) for k in range(3)], "symmetric")
+        want = sum(x * np.take(padded, range(k, k + a.shape[axis]), axis) for k, x in enumerate(w))
+    plan = D.gaussian(table(spark, a, "raw", "double"), sigma, dict(zip("zyx", a.shape)))
+    assert {(v.z, v.y, v.x): v.raw for v in plan.collect()} == {i: pytest.approx(v) for i, v in np.ndenumerate(want)}
+    assert "explode" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_smoothing_skips_missing_voxels(spark):
+    df = spark.createDataFrame([(0, 0, 0, 0, 4.0), (0, 0, 0, 2, None), (0, 0, 0, 3, 2.0)], VOXELS + "raw double")
+    w = D.gaussian_kernel(0.5)
+    got = {r.x: r.raw for r in D.gaussian(df, 0.5, {"x": 5}).collect()}
+    r = len(w) // 2
+    line = np.pad(np.array([4.0, 0, 0, 2.0, 0]), r, "symmetric")
+    assert got == {x: pytest.approx(sum(v * line[x + k] for k, v in enumerate(w))) for x in (0, 2, 3)}
