@@ -253,3 +253,13 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch_root(Session)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fragment_whose_mean_is_the_threshold_stays(spark, parts):
+    rows = [(0, z, y, 0, 1 + (z == 99)) for z in range(100) for y in range(10)]
+    df = spark.createDataFrame(rows, "volume_id int, z long, y long, x long, fragment long").coalesce(1).repartition(parts)
+    mean = F.when(F.col("fragment") == 1, 0.1).otherwise(0.0999)
+    affs = df.select(*R.KEY, F.array(F.lit(9.0), mean, mean).alias("affs"))
+    got = R.filter_fragments(df, affs, 0.1, True).groupBy("fragment").count().collect()
+    assert {r.fragment: r["count"] for r in got} == {1: 990, 0: 10}
