@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -685,3 +686,36 @@ def test_licenses_of_a_given_table_of_templates(spark):
 def test_declared_languages_are_whole_codes(spark):
     tags = spark.createDataFrame([(x,) for x in ("en-GB", "de_AT", "SPA", "est", "frr", " fr ", "", None)], "tag string")
     assert [r[0] for r in tags.select(language.declared_code("tag")).collect()] == ["en", "de", "es", "est", "frr", "fr", "", ""]
+
+
+def test_line_dedup_compares_all_lines_of_a_block(spark):
+    rng = random.Random(17)
+    word = lambda k=6: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(k))
+    passage = " ".join(word() for _ in range(8))
+    given = []
+    for _ in range(400):  # lines of one passage: a few near copies are hidden among many that differ
+        own = [word() for _ in range(7)]
+        given.append(passage + " " + " ".join(own))
+        if rng.random() < 0.3:
+            given.append(passage + " " + " ".join([*own[:-3], *(word() for _ in range(3))]))
+    given = sorted(set(given))
+    blocks = lines._blocks([x.encode() for x in given]) >> np.uint64(lines._ORDER)
+    want = {}
+    for i in range(len(given)):
+        same = [j for j in range(i) if (blocks[i] == blocks[j]).any()]
+        near = edits.within([given[i]] * len(same), [given[j] for j in same], np.array([max(len(given[i]), len(given[j])) // 5 for j in same], np.int64))
+        want[i] = [j for j, hit in zip(same, near) if hit]
+    digest = {xxhash.xxh3_64_intdigest(x.encode()): x for x in given}
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(given)], DOCS)
+    part = {digest[r.node % 2**64]: r.component for r in lines.line_groups(docs.repartition(3)).collect()}
+    lost = [(i, j) for i, js in want.items() for j in js if given[i] not in part or part[given[i]] != part.get(given[j])]
+    assert sum(map(len, want.values())) > 100 and not lost
+
+
+def test_unlike_never_rules_out_near_strings():
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    texts += [edited(rng, t, 0.8, False) for t in texts if t]
+    left, right = (np.array(x) for x in zip(*itertools.combinations(range(len(texts)), 2)))
+    exact = edits.edit_distances([texts[i] for i in left], [texts[j] for j in right])
+    assert not edits.unlike(edits.run_counts(texts), left, right, exact).any()
