@@ -263,3 +263,8 @@ def test_fragment_whose_mean_is_the_threshold_stays(spark, parts):
     affs = df.select(*R.KEY, F.array(F.lit(9.0), mean, mean).alias("affs"))
     got = R.filter_fragments(df, affs, 0.1, True).groupBy("fragment").count().collect()
     assert {r.fragment: r["count"] for r in got} == {1: 990, 0: 10}
+
+
+def test_descriptors_pass_no_sums_on(spark):
+    plan = E.shape_descriptors(cube(spark, np.ones((3, 3, 3), np.int64), "label"), 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
