@@ -268,3 +268,11 @@ def test_fragment_whose_mean_is_the_threshold_stays(spark, parts):
 def test_descriptors_pass_no_sums_on(spark):
     plan = E.shape_descriptors(cube(spark, np.ones((3, 3, 3), np.int64), "label"), 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_graph_is_written_in_few_pieces(spark, tmp_path):
+    nodes = spark.createDataFrame([(i, float(i % 2), 0.0, 0.0) for i in range(400)], "node long, center_z double, center_y double, center_x double").repartition(8)
+    H.write_rag(nodes, nodes.select(F.col("node").alias("u"), (F.col("node") + 1).alias("v"), *(f"center_{a}" for a in "zyx")), str(tmp_path / "rag"), (0, 0, 0), (2, 1, 1), (1, 1, 1))
+    for name in ("nodes", "edges"):
+        assert spark.read.parquet(str(tmp_path / "rag" / name)).count() == 400
+        assert len(list((tmp_path / "rag" / name).rglob("*.parquet"))) == 2
