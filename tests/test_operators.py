@@ -276,3 +276,7 @@ def test_graph_is_written_in_few_pieces(spark, tmp_path):
     for name in ("nodes", "edges"):
         assert spark.read.parquet(str(tmp_path / "rag" / name)).count() == 400
         assert len(list((tmp_path / "rag" / name).rglob("*.parquet"))) == 2
+
+
+def test_affinities_join_whole_sections_once(spark):
+    assert fx.affs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
