@@ -280,3 +280,12 @@ def test_graph_is_written_in_few_pieces(spark, tmp_path):
 
 def test_affinities_join_whole_sections_once(spark):
     assert fx.affs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+@pytest.mark.parametrize("name", ["f21_agglomerate", "f22_sweep"])
+def test_edges_are_scored_from_sums_of_blocks(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("a row for each contact")
+
+    monkeypatch.setattr(H, "contacts", never)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
