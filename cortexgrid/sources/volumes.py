@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cortexgrid.operators.grid import AXES
 from cortexgrid.operators.graph import dense_ids
+from cortexgrid.plans import materialize
 from cortexgrid.sources.chunks import FORMAT, Array, check_format, load, register, unpack
 
 
@@ -208,21 +209,41 @@ def copy_datasets(spark: SparkSession, sources: Sequence[str], target: str, name
                 write_volume(read_volume(spark, source, name), f"{target}/{source.rstrip('/').rsplit('/', 1)[-1]}", name, meta["shape"], meta["chunks"], meta["dtype"], attributes)
 
 
+#: Pixels of small images that go into one batch of rows.
+PIXELS_AT_ONCE = 1 << 18
+
+
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     """(section_id, name, y, x, value) of the images in a folder, names sorted, grey 0..255."""
     images = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    images = materialize(images, "images")  # each file is opened once
     parts = F.transform(F.regexp_extract_all(F.lower("origin"), F.lit("([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p))
     # names alone are ranked; pixels are joined with their number
     number = dense_ids(images.select(parts.alias("_key"), "origin")).select("origin", (F.col("_id") - 1).alias("section_id"))
     images = images.join(number, "origin").select("section_id", *images.columns)
 
+    def rows_of(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        rows, sections, high, wide, grey = zip(*held)
+        sizes = np.multiply(high, wide)
+        own = np.repeat(np.arange(len(held)), sizes)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        y, x = np.divmod(at, np.array(wide)[own])
+        names = batch.column(1).take(pa.array(np.array(rows)[own]))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(sections, np.int64)[own]), names, pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(np.concatenate(grey))], names=["section_id", "name", "y", "x", "value"])
+
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for section, origin, h, w, c, data in zip(*(x.to_pylist() for x in batch.columns)):
+            held: list[tuple] = []
+            size = 0
+            for k, (section, h, w, c, data) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)))):
                 a = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
                 grey = a[:, :, 0] if c == 1 else 0.114 * a[:, :, 0] + 0.587 * a[:, :, 1] + 0.299 * a[:, :, 2]  # stored as BGR
-                y, x = np.indices((h, w)).reshape(2, -1)
-                n = h * w
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, section, np.int64)), pa.array([origin] * n), pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(np.rint(grey.ravel()).astype(np.int32))], names=["section_id", "name", "y", "x", "value"])
+                held.append((k, section, h, w, np.rint(grey.ravel()).astype(np.int32)))
+                size += h * w
+                if size >= PIXELS_AT_ONCE:
+                    yield rows_of(batch, held)
+                    held, size = [], 0
+            if held:
+                yield rows_of(batch, held)
 
     return images.mapInArrow(pixels, "section_id long, name string, y long, x long, value int")

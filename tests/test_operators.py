@@ -289,3 +289,8 @@ def test_edges_are_scored_from_sums_of_blocks(spark, monkeypatch, name):
 
     monkeypatch.setattr(H, "contacts", never)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_images_are_opened_once(spark):
+    found = QUERIES["a9_read_sections"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles())
