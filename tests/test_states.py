@@ -1,11 +1,13 @@
 """G4 with state: deadlines, late and repeated entries, restarts."""
 
+import math
 import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from cortexgrid.streaming.states import current_states, states_stream
+from cortexgrid.streaming.states import SPAN_BITS, current_states, states_stream, wait_idle
 
 LOG = "block_id long, duration double"
 
@@ -51,3 +53,25 @@ def test_blocks_go_pending_overdue_finished(spark, folders):
     put(spark, folders["log"], [(2, 4.5)], LOG)
     last = run(spark, folders, 20_000, lambda s: s[2][0] == "finished")
     assert last[2] == ("finished", True, 4.5) and last[3] == ("overdue", True, None)
+
+
+def test_state_is_kept_by_runs_of_blocks(spark, folders):
+    """The store has a row for each run of numbers, not for each block, and every block its own state."""
+    n, far = 40_000, [-3, 10**15, -(2**63), 2**63 - 1]
+    numbers = spark.range(n).unionByName(spark.createDataFrame([(i,) for i in far], "id long")).select(F.col("id").alias("block_id"))
+    numbers.write.parquet(folders["grid"])
+    odd = [(10**15, None), (-3, math.nan), (None, 1.0), (n + 5, 2.0)]
+    entries = spark.range(0, n, 3).select(F.col("id").alias("block_id"), (F.col("id") / 2).alias("duration")).unionByName(spark.createDataFrame(odd, LOG))
+    entries.unionByName(entries).write.parquet(folders["log"])
+    grid, log = spark.readStream.schema("block_id long").parquet(folders["grid"]), spark.readStream.schema(LOG).parquet(folders["log"])
+    query = states_stream(grid, log, folders["out"], folders["checkpoint"], 86_400_000, "1 second")
+    try:
+        wait_idle(query)
+        rows = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    finally:
+        query.stop()
+    got = {r.block_id: (r.status, r.overdue, r.duration) for r in current_states(spark, folders["out"]).collect()}
+    assert math.isnan(got.pop(-3)[2]) and got.pop(10**15) == ("finished", False, None)
+    want = {i: ("pending", False, None) if i % 3 else ("finished", False, i / 2) for i in range(n)}
+    assert got == want | {i: ("pending", False, None) for i in far[2:]}
+    assert rows <= 4 * ((n >> SPAN_BITS) + 1 + len(far))
