@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cortexgrid.llm import bpe, edits, fingerprints, jaccard, language, licenses, lines, mixing, queries, rules, shards, tokens, warc
+from cortexgrid.plans import materialize
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -719,3 +720,32 @@ def test_unlike_never_rules_out_near_strings():
     left, right = (np.array(x) for x in zip(*itertools.combinations(range(len(texts)), 2)))
     exact = edits.edit_distances([texts[i] for i in left], [texts[j] for j in right])
     assert not edits.unlike(edits.run_counts(texts), left, right, exact).any()
+
+
+def test_batch_lines_are_normalised_lines(monkeypatch):
+    rng = random.Random(19)
+    texts = [None, "", " ", "\n", " \n ", "  a  b \n\n c!d\t\n", *("".join(rng.choice(" \n\tA.é x0\x00\r") for _ in range(rng.randrange(12))) for _ in range(3000))]
+    for piece in (1, 50, lines.CHUNK_BYTES):
+        monkeypatch.setattr(lines, "CHUNK_BYTES", piece)
+        for given in (pa.array(texts), pa.array(texts).slice(3, 100), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+            got = []
+            for first, own, count in lines.batch_lines(given):
+                assert first == len(got)
+                ends = np.cumsum(count)
+                got += [own[e - n : e] for e, n in zip(ends.tolist(), count.tolist())]
+            assert got == [lines.normalised_lines(t.as_py()) for t in given]
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    out = lines.dedup_lines(spark.createDataFrame([(1, "one line\nanother\none line", "en", "a", 0)], DOCS))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and out.collect()[0].text == "one line\nanother"
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    materialize(spark.range(1000).repartition(3, "id"), "first")
+    before = tracker.size()
+    for _ in range(3):
+        materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "table")
+    assert tracker.size() <= before
