@@ -749,3 +749,20 @@ def test_tables_leave_no_shuffle_files(spark):
     for _ in range(3):
         materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "table")
     assert tracker.size() <= before
+
+
+def test_batches_of_a_table_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))  # 40 MB in one task
+    found = [r[0] for r in materialize(texts.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(found) > 40_000_000 and max(found) < 10_000_000 and spark.conf.get(key) == before
+
+
+def test_pipeline_encodes_in_small_batches(spark, docs):
+    assert "MapInArrow" not in corpus_pipeline.encode(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
