@@ -766,3 +766,37 @@ def test_batches_of_a_table_are_small(spark):
 
 def test_pipeline_encodes_in_small_batches(spark, docs):
     assert "MapInArrow" not in corpus_pipeline.encode(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edit_distances_keep_what_a_word_carries_into_the_last_column():
+    rng = random.Random(22)
+    given = [("".join(rng.choice("ab") for _ in range(n + rng.randrange(9))), "".join(rng.choice("ab") for _ in range(n))) for n in (65, 129, 193) * 400]
+    ends = [edits.trimmed(*pair) for pair in given]
+    ends = [pair for pair in ends if pair[1]]
+    exact = np.array([edits._alone(*pair, None) for pair in ends])
+    for most in (np.array([len(a) for a, _ in ends]), exact):
+        assert (edits._together([a for a, _ in ends], [b for _, b in ends], most) == exact).all()
+    assert (edits._together([a for a, _ in ends], [b for _, b in ends], exact - 1) >= exact).all()
+
+
+def test_line_blocks_in_pieces_lose_no_line(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda k=6: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(k))
+    passage = " ".join(word() for _ in range(8))
+    given = [passage + " " + " ".join(word() for _ in range(7)) for _ in range(150)]
+    given += [" ".join([*x.split(" ")[:-3], word(), word(), word()]) for x in given[:40]] + [x + " s" for x in given[:40]]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(given)], DOCS).repartition(3)
+    blocks = lines._blocks([x.encode() for x in given]) >> np.uint64(lines._ORDER)
+    groups = lambda: {(r.node, r.component) for r in lines.line_groups(docs).collect()}
+    want = groups()
+    for packed, held in ((1 << 19, 40), (400, 1 << 21)):
+        monkeypatch.setattr(lines, "ROWS_PACKED", packed)
+        monkeypatch.setattr(lines, "ROWS_HELD", held)
+        assert groups() == want
+    monkeypatch.undo()
+    # a block's first line, which all others meet, doesn't go to the tiles unless others have gone no further
+    one = docs.where("doc_id < 150").coalesce(1)
+    members = {(r.block, r.u) for r in lines.line_blocks(one).where("block is not null").collect()}
+    sizes = Counter(blocks[:150].ravel().tolist())
+    listed = Counter(block for block, _ in members)
+    assert max(sizes.values()) > 20 and any(listed[b] == n - 1 for b, n in sizes.items() if n > 2) and all(listed[b] in (n - 1, n) for b, n in sizes.items())
