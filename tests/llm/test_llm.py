@@ -779,6 +779,32 @@ def test_edit_distances_keep_what_a_word_carries_into_the_last_column():
     assert (edits._together([a for a, _ in ends], [b for _, b in ends], exact - 1) >= exact).all()
 
 
+def test_edit_distances_within_a_band():
+    rng = random.Random(24)
+    given = []
+    for k in range(240):
+        text = "".join(rng.choice("ab\x00\u0107"[: 2 + k % 3]) for _ in range(rng.choice((31, 32, 63, 64, 65, 128, 200))))
+        given.append(edits.trimmed(text, "".join(c if rng.random() < (0.95, 0.6)[k % 2] else rng.choice(("", "x", c + "y")) for c in text)))
+    given = [pair for pair in given if pair[1]]
+    exact = np.array([distance(*pair) for pair in given])
+    for most in (exact, exact + 1, exact - 1, exact // 2, exact * 2, np.full(len(given), 300)):
+        alone = np.array([edits._alone(*pair, int(k)) for pair, k in zip(given, most)])
+        for got in (alone, edits._together([a for a, _ in given], [b for _, b in given], most)):
+            assert np.where(exact <= most, got == exact, got > most).all()
+
+
+def test_tiles_of_several_batches_are_verified_together(monkeypatch):
+    rng = random.Random(25)
+    words = [["".join(rng.choice("klmnopqrstuvwxyz") for _ in range(6)) for _ in range(9)] for _ in range(6)]
+    given = [(block, " ".join(x)) for block in range(6) for x in (words[block], [*words[block][:-1], "other"], words[block][::-1])]
+    names = ["block", "a", "b", "tile", "component", "line_hash", "line"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, (block, 0, 0, 0, k, k, line))) for k, (block, line) in enumerate(given) if block // 2 == i]) for i in range(3)]
+    sizes = []
+    monkeypatch.setattr(lines, "within", lambda a, b, most: sizes.append(len(a)) or edits.within(a, b, most))
+    found = sorted((r["u"], r["v"]) for x in lines._tile_links(80)(iter(batches)) for r in x.to_pylist())
+    assert found == [(3 * i, 3 * i + 1) for i in range(6)] and len(sizes) == 1
+
+
 def test_line_blocks_in_pieces_lose_no_line(spark, monkeypatch):
     rng = random.Random(21)
     word = lambda k=6: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(k))
